@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_side
 
 #: Rank buckets per source, so that no window orders more than about this many rows.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def n_words(text: Column) -> Column:
