@@ -285,7 +285,7 @@ _MEASURES = {"impressions": "l_quantity", "cost": "l_extendedprice"}
 
 def d40_event_time_metrics(spark, d):
     q = M.metric_query(_fact(spark, d), {n: F.col(c) for n, c in _MEASURES.items()}, {"cpi": ("cost", "impressions")}, ["week", "channel"], "2000-01-01", "2000-06-30", F.col("flag") != "R")
-    return q.select(F.col("date").cast("string").alias("date"), "channel", F.round("impressions", 2).alias("impressions"), F.round("cost", 2).alias("cost"), F.round("cpi", 4).alias("cpi"))
+    return q.select(F.col("date").cast("string").alias("date"), "channel", F.round("impressions", 2).alias("impressions"), F.round("cost", 2).alias("cost"), F.round("cpi", 2).alias("cpi"))
 
 
 def d40_request_time_metrics(spark, d):
@@ -378,7 +378,7 @@ ORACLE = {
     "d46_article_stages": f"WITH {_ART}, v AS (SELECT id, category, quality, CAST(id % 13 AS DOUBLE) AS score FROM a WHERE id % 4 > 0 AND {_LANG} IN ('zh', 'en') AND id % 13 BETWEEN 6 AND 10) SELECT id, category, quality, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY quality DESC, id) AS r FROM v) WHERE r <= CASE category WHEN 'en' THEN 30 ELSE 1000000000 END ORDER BY quality DESC, id LIMIT 50",
     "d48_relevance_gate": "SELECT doc_id, CAST(doc_id % 13 AS DOUBLE) AS score FROM documents WHERE doc_id % 13 BETWEEN 6 AND 10",
     "d37_batch_labelling": "SELECT conv_id, turn, CASE WHEN length(text) % 10 = 0 THEN NULL WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS label, CASE WHEN length(text) % 10 > 0 THEN ROUND(length(text) / 100, 2) END AS score, CASE WHEN length(text) % 10 = 0 THEN 'failed' ELSE 'success' END AS prediction_status, CASE WHEN length(text) % 10 = 0 THEN 'no answer' END AS error_message, 'stub' AS llm_model FROM conversations",
-    "d40_event_time_metrics": f"WITH {_FACT} SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS date, channel, ROUND(SUM(l_quantity), 2) AS impressions, ROUND(SUM(l_extendedprice), 2) AS cost, ROUND(SUM(l_extendedprice) / SUM(l_quantity), 4) AS cpi FROM fact WHERE day BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' AND flag <> 'R' GROUP BY 1, 2",
+    "d40_event_time_metrics": f"WITH {_FACT} SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS date, channel, ROUND(SUM(l_quantity), 2) AS impressions, ROUND(SUM(l_extendedprice), 2) AS cost, ROUND(SUM(l_extendedprice) / SUM(l_quantity), 2) AS cpi FROM fact WHERE day BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' AND flag <> 'R' GROUP BY 1, 2",
     "d40_request_time_metrics": f"WITH {_FACT} SELECT CAST(req_day AS VARCHAR) AS req_day, channel, ROUND(SUM(l_quantity), 2) AS impressions, ROUND(SUM(l_extendedprice), 2) AS cost FROM fact WHERE day BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' + 90 AND req_day BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' GROUP BY 1, 2",
     "a29_ratio_metrics": f"WITH {ADS_SQL} SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS date, app, CAST(SUM(imp) AS BIGINT) AS imp, CAST(SUM(click) AS BIGINT) AS click, CAST(SUM(conv) AS BIGINT) AS conv, ROUND(SUM(click) / NULLIF(SUM(imp), 0), 6) AS ctr, ROUND(SUM(conv) / NULLIF(SUM(click), 0), 6) AS cvr FROM ads WHERE day BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1, 2",
     "t5_truncated": f"WITH {ADS_SQL}, g AS (SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS date, app, CAST(SUM(imp) AS BIGINT) AS imp FROM ads WHERE day BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1, 2) SELECT *, (SELECT COUNT(*) FROM g) AS total FROM g ORDER BY imp DESC, date, app LIMIT 100",
