@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audience_queries, model_queries, need_queries, stream_queries, web_queries, wide_queries
+from .plans import audience_queries, extra_queries, model_queries, need_queries, stream_queries, web_queries, wide_queries
 
 FLAGSHIP = "d1_rule_lift"
-MODULES = (audience_queries, wide_queries, need_queries, web_queries, model_queries, stream_queries)
+MODULES = (audience_queries, wide_queries, need_queries, web_queries, model_queries, stream_queries, extra_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
