@@ -10,6 +10,7 @@ from ..operators import audience as A
 from ..operators import lift as L
 from ..operators import scoring as S
 from . import rule_sets
+from ..streaming.run import stored
 from .driver_tables import RUN_DATE, SQL, profile, raw_events, table
 
 
@@ -81,7 +82,18 @@ STATS = ", stats AS (SELECT rule, COUNT(*) AS users, ROUND(COUNT(*) / ANY_VALUE(
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    return A.behaviour_flags(profile(spark, d), raw_events(spark, d), rule_sets.BEHAVIOUR_RULES, rule_sets.TOTAL_RULES, run_date())
+    """Users with their rule flags, computed once: one pass over the events, then a narrow table that all else reads."""
+    return stored(A.behaviour_flags(profile(spark, d), raw_events(spark, d), rule_sets.BEHAVIOUR_RULES, rule_sets.TOTAL_RULES, run_date()))
+
+
+def _people(flags: DataFrame) -> DataFrame:
+    """The profile columns of the flags table."""
+    return flags.select("user_id", "segment", "nation", "balance", "is_lead")
+
+
+def _stats(spark, d) -> DataFrame:
+    f = _flags(spark, d)
+    return A.run_rules(f, NAMES, _people(f))
 
 
 def _hits(spark, d) -> DataFrame:
@@ -92,7 +104,7 @@ def _hits(spark, d) -> DataFrame:
 
 
 def d1_rule_lift(spark, d):
-    return A.run_rules(_flags(spark, d), NAMES, profile(spark, d))
+    return _stats(spark, d)
 
 
 def a12_builtin_rules(spark, d):
@@ -156,13 +168,13 @@ def u4_bitmap_audiences(spark, d):
 
 
 def d2_segments(spark, d):
-    seg = A.segments(_flags(spark, d), NAMES)
-    return L.lift(seg, profile(spark, d), "segment")
+    f = _flags(spark, d)
+    return L.lift(A.segments(f, NAMES), _people(f), "segment")
 
 
 def a2_lift_matrix(spark, d):
     f = _flags(spark, d)
-    return L.lift_matrix(f.select("user_id", "segment"), R.matches(f, NAMES).withColumnRenamed("rule", "event"), profile(spark, d))
+    return L.lift_matrix(f.select("user_id", "segment"), R.matches(f, NAMES).withColumnRenamed("rule", "event"), _people(f))
 
 
 def a1_baseline(spark, d):
@@ -197,7 +209,7 @@ def a10_event_distribution(spark, d):
 def d3_causal_check(spark, d):
     f = _flags(spark, d)
     pairs = spark.createDataFrame([(n,) for n in NAMES], "event string").crossJoin(F.broadcast(f.select("segment").distinct()))
-    return L.causal_check(pairs, R.matches(f, NAMES).withColumnRenamed("rule", "event"), f.select("user_id", "segment"), profile(spark, d))
+    return L.causal_check(pairs, R.matches(f, NAMES).withColumnRenamed("rule", "event"), f.select("user_id", "segment"), _people(f))
 
 
 D3_SQL = (
@@ -214,14 +226,14 @@ SELECT event, segment, ROUND(a, 6) AS with_rate, ROUND(b, 6) AS without_rate, RO
 
 
 def d11_stability(spark, d):
-    p = L.hash_split(profile(spark, d), "user_id", "is_lead", 0.4)
-    h = _hits(spark, d)
+    f = _flags(spark, d)
+    p, h = L.hash_split(_people(f), "user_id", "is_lead", 0.4), R.matches(f, NAMES)
     return L.stability(L.lift(h, p.where("split = 'train'")), L.lift(h, p.where("split = 'val'")))
 
 
 def d10_generalisation(spark, d):
-    p = L.hash_split(profile(spark, d), "user_id", "is_lead", 0.4)
-    h = _hits(spark, d)
+    f = _flags(spark, d)
+    p, h = L.hash_split(_people(f), "user_id", "is_lead", 0.4), R.matches(f, NAMES)
     return L.generalisation(L.lift(h, p.where("split = 'train'")), L.lift(h, p.where("split = 'val'")), threshold=100)
 
 
@@ -242,30 +254,30 @@ def d4_candidate_check(spark, d):
     pairs = pairs.distinct().withColumn("candidate", F.lit(1))
     pairs = pairs.union(pairs.where("event = 'test_drive_user'").withColumn("candidate", F.lit(2)))
     nodes = hits.select(F.col("event").alias("name")).union(seg.select("segment"))
-    p = profile(spark, d)
+    p = _people(f)
     return A.check_candidates(pairs, L.lift_matrix(seg, hits, p), L.causal_check(pairs.where("candidate = 1"), hits, seg, p), nodes, 100)
 
 
 def d7_import_gate(spark, d):
     rules = spark.createDataFrame([(n, "" if i % 9 == 8 else "text") for i, n in enumerate(NAMES)], "name string, rule_text string")
     known = spark.createDataFrame([("ad_click_user",), ("test_drive_user",)], "name string")
-    return A.gate(rules, A.run_rules(_flags(spark, d), NAMES, profile(spark, d)), 60, known)
+    return A.gate(rules, _stats(spark, d), 60, known)
 
 
 def d8_publish(spark, d):
-    s = A.run_rules(_flags(spark, d), NAMES, profile(spark, d))
+    s = _stats(spark, d)
     kind = F.when(F.length("rule") % 2 == 0, "behaviour").otherwise("need")
     state = F.when(F.length("rule") % 5 == 0, "published").otherwise("draft")
     return A.publish(s.select("rule", "tgi", kind.alias("kind"), state.alias("status")))
 
 
 def d9_merge_rules(spark, d):
-    s = A.run_rules(_flags(spark, d), NAMES, profile(spark, d)).select(F.col("rule").alias("src"), F.lit("lead").alias("dst"), F.lit("Triggers_Need").alias("type"), "tgi")
+    s = _stats(spark, d).select(F.col("rule").alias("src"), F.lit("lead").alias("dst"), F.lit("Triggers_Need").alias("type"), "tgi")
     return A.merge_rules(s.where(F.length("src") % 3 > 0).withColumn("tgi", F.col("tgi") - 1), s.where(F.length("src") % 3 < 2))
 
 
 def t4_top_rules(spark, d):
-    return A.run_rules(_flags(spark, d), NAMES, profile(spark, d)).orderBy(F.desc("tgi"), "rule").limit(10)
+    return _stats(spark, d).orderBy(F.desc("tgi"), "rule").limit(10)
 
 
 # ── scores and plans ───────────────────────────────────────────────────────
@@ -283,16 +295,18 @@ _SAT = {"detail_view_user": 5, "loan_calc_user": 2, "map_app_power_user": 10, "t
 
 
 def _need_frames(spark, d):
-    hits = A.derived_events(_flags(spark, d), NAMES, raw_events(spark, d))
+    """Derived events (stored: they are read for counts, times and memberships), the needs' actions, members, and people."""
+    f = _flags(spark, d)
+    hits = stored(A.derived_events(f, NAMES, raw_events(spark, d)))
     acts = spark.createDataFrame(_NEED_ROWS, "need_name string, action string")
     members = hits.join(F.broadcast(acts.withColumnRenamed("action", "derived_event_type")), "derived_event_type").select("need_name", "user_id").distinct()
-    return hits, acts, members
+    return hits, acts, members, _people(f)
 
 
 def d6_need_scores_rules(spark, d):
-    hits, acts, members = _need_frames(spark, d)
+    hits, acts, members, people = _need_frames(spark, d)
     sat = spark.createDataFrame(list(_SAT.items()), "action string, saturation int")
-    return S.rule_scores(members, profile(spark, d), acts, sat, hits, run_date())
+    return S.rule_scores(members, people, acts, sat, hits, run_date())
 
 
 _NEED_SQL = ", acts(need_name, action) AS (VALUES " + ", ".join(f"('{n}', '{a}')" for n, a in _NEED_ROWS) + "), sat(action, saturation) AS (VALUES " + ", ".join(f"('{a}', {s})" for a, s in _SAT.items()) + f"""),
@@ -310,8 +324,8 @@ scores AS (SELECT user_id, need_name, ROUND(raw_score, 6) AS raw_score, ROUND(EX
 
 
 def a27_need_coverage(spark, d):
-    _, _, members = _need_frames(spark, d)
-    c = S.need_coverage(members, profile(spark, d))
+    _, _, members, people = _need_frames(spark, d)
+    c = S.need_coverage(members, people)
     return c.select("need_name", "users", F.round("rate", 6).alias("rate"), F.round("tgi", 4).alias("tgi"), "tier", F.round("specificity", 6).alias("specificity"))
 
 
@@ -329,7 +343,8 @@ _EDGES = [(a, n, 0.5 + 0.1 * i, 100.0 + 15 * i) for i, (n, a) in enumerate(_NEED
 def _graph(spark, d):
     edges = spark.createDataFrame(_EDGES, "event string, need_name string, weight double, tgi double")
     comp = spark.createDataFrame([("need_space", 1.2), ("need_price", 0.8)], "need_name string, score double")
-    return S.graph_scores(edges, profile(spark, d), A.derived_events(_flags(spark, d), NAMES, raw_events(spark, d)), run_date(), comp)
+    hits, _, _, people = _need_frames(spark, d)
+    return S.graph_scores(edges, people, hits, run_date(), comp)
 
 
 def d5_need_scores_graph(spark, d):
@@ -348,17 +363,18 @@ gs AS (SELECT user_id, need_name, ROUND(raw_score, 6) AS raw_score, ROUND(EXP(ra
 
 def d26_exclusions(spark, d):
     """Exclusion audiences of rules taken as needs."""
-    hits = A.derived_events(_flags(spark, d), NAMES, raw_events(spark, d))
+    hits, _, _, people = _need_frames(spark, d)
     m = hits.select(F.col("derived_event_type").alias("need_name"), "user_id")
-    cover = S.need_coverage(m, profile(spark, d)).where(F.col("tgi") < 95).select("need_name", "users", F.round("tgi", 4).alias("tgi"))
+    cover = S.need_coverage(m, people).where(F.col("tgi") < 95).select("need_name", "users", F.round("tgi", 4).alias("tgi"))
     return cover
 
 
 def _intent(spark, d):
-    h = _hits(spark, d)
+    f = _flags(spark, d)
+    h = R.matches(f, NAMES)
     needs = spark.createDataFrame([(n, w) for n, (_, w) in NEEDS.items()], "need_name string, weight double")
     mapped = spark.createDataFrame([(a, n) for n, a in _NEED_ROWS], "rule string, need_name string")
-    return S.intents(h, L.lift(h, profile(spark, d)), mapped, needs), needs
+    return stored(S.intents(h, L.lift(h, _people(f)), mapped, needs)), needs
 
 
 def d12_intents(spark, d):
@@ -425,9 +441,11 @@ SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item, need_name ORDER B
 
 
 def d25_chains(spark, d):
-    hits, acts, _ = _need_frames(spark, d)
+    hits, acts, members, people = _need_frames(spark, d)
+    sat = spark.createDataFrame(list(_SAT.items()), "action string, saturation int")
+    scores = S.rule_scores(members, people, acts, sat, hits, run_date())
     satisfies = spark.createDataFrame([("suv", "need_space"), ("sedan", "need_price"), ("suv", "need_travel")], "item string, need string")
-    return A.audience_chains(acts.select(F.col("need_name").alias("need"), F.col("action").alias("event")), satisfies, hits.select("user_id", F.col("derived_event_type").alias("event")), profile(spark, d), d6_need_scores_rules(spark, d))
+    return A.audience_chains(acts.select(F.col("need_name").alias("need"), F.col("action").alias("event")), satisfies, hits.select("user_id", F.col("derived_event_type").alias("event")), people, scores)
 
 
 def d27_edge_conformity(spark, d):
@@ -444,7 +462,7 @@ FROM (SELECT rule AS src, CASE length(rule) % 4 WHEN 0 THEN 'need_space' WHEN 1
 
 
 def j18_leaf_needs(spark, d):
-    _, _, members = _need_frames(spark, d)
+    _, _, members, _ = _need_frames(spark, d)
     h = spark.createDataFrame([("need_price", "need_space"), ("need_drive", "need_travel")], "sub string, super string")
     return A.leaf_classes(members.select("user_id", F.col("need_name").alias("need")), h)
 

@@ -19,7 +19,7 @@ from ..operators import wide_table as T
 from ..sources import files as FS
 from ..streaming.run import shared_folder
 from . import model_queries, need_queries, rule_sets
-from .audience_queries import FLAGS, NAMES, _SPLIT, _flags, run_date
+from .audience_queries import FLAGS, NAMES, _SPLIT, _stats, run_date
 from .driver_tables import SQL, profile, raw_events, table
 
 
@@ -57,7 +57,7 @@ def f13_touched_users(spark, d):
 
 
 def f14_minimum_coverage(spark, d):
-    return A.run_rules(_flags(spark, d), NAMES, profile(spark, d)).where("support >= 0.5").select("rule", "users", "support")
+    return _stats(spark, d).where("support >= 0.5").select("rule", "users", "support")
 
 
 def j7_exists_split(spark, d):

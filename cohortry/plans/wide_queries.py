@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import wide_table as T
+from ..streaming.run import stored
 from .driver_tables import table
 
 
@@ -159,7 +160,7 @@ def j6_anti_join_pool(spark, d):
 
 
 def d39_wide_table(spark, d):
-    pool = _pool(spark, d)
+    pool = stored(_pool(spark, d))  # a bounded sample that six joins read
     b = binding(spark, d)
     c = table(spark, d, "customer")
     text = T.profile_text({"segment": F.col("c_mktsegment"), "nation": T.decoded(F.col("c_nationkey"), {0: "zero", 1: "one", 2: "two"}), "balance": F.round("c_acctbal", 0).cast("long")})
@@ -176,7 +177,7 @@ def a24_wide_coverage(spark, d):
 
 
 def a25_class_overlaps(spark, d):
-    p = _pool(spark, d)
+    p = stored(_pool(spark, d))
     return p.groupBy("sample_label").agg(F.count("*").alias("n")).join(T.overlaps(p).groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("overlaps")))
 
 

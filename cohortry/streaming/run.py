@@ -18,6 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder and read back: computed once, however often it is used."""
+    out = shared_folder(frame.sparkSession)
+    frame.write.parquet(out)
+    return frame.sparkSession.read.schema(frame.schema).parquet(out)
+
+
 def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """The result of a stream over what is there now (trigger ``availableNow``).
 
