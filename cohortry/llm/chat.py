@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import counter
 
 #: A turn is ``### role:\n`` + text + ``</turn>\n``.  Both control strings and the escape are escaped inside texts and roles.
@@ -149,7 +150,7 @@ def format_chat(
     so a very long conversation is spread over tasks; a block's history reaches back HISTORY_TURNS numbers.
     Within a task rows stream in order, one block at a time.
     """
-    t = turns.select(
+    t = small_batches(turns).select(
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 #: Bytes of benchmark text searched at a time; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 16 << 20
 #: Words of one shard's index at most, but for a longer single document.
@@ -150,14 +152,29 @@ def benchmark_hits(
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import from_arrow_type
 
-    sc = docs.sparkSession.sparkContext
-    docs = docs.drop(out_col)
+    docs = small_batches(docs).drop(out_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, from_arrow_type(_KIND))])
-    for n, items in enumerate(_blocks(bench, item_col, item_text_col)):
-        docs = docs.mapInArrow(_searcher(sc.broadcast(Windows(items, width)), text_col, out_col, n == 0), schema)
+    return _searched(docs, schema, bench, width, text_col, item_col, item_text_col, out_col, None, schema)
+
+
+def _searched(docs, schema, bench, width, text_col, item_col, item_text_col, out_col, finish, last) -> DataFrame:
+    """``docs`` searched for one block of windows after the other; ``finish`` is done to batches of the last search."""
+    sc = docs.sparkSession.sparkContext
+    blocks = _blocks(bench, item_col, item_text_col)
+    items, n = next(blocks), 0
+    while items is not None:
+        following = next(blocks, None)
+        run = _searcher(sc.broadcast(Windows(items, width)), text_col, out_col, n == 0)
+        done = finish if following is None else None
+        docs = docs.mapInArrow(tidy(_then(run, done)), last if following is None else schema)
+        items, n = following, n + 1
     return docs
 
 
+def _then(run, finish):
+    return run if finish is None else lambda batches: finish(run(batches))
+
+
 def _searcher(shared, text_col: str, out_col: str, first: bool):
     """Searches one block of windows; after the first block, adds to what earlier ones found."""
 
@@ -239,4 +256,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, text_col:
             columns = [pa.array(texts, pa.string()) if i == k else c for i, c in enumerate(b.columns) if i != f]
             yield pa.RecordBatch.from_arrays(columns, names=fields.names)
 
-    return benchmark_hits(docs, bench, width, text_col, out_col=found).mapInArrow(cut, fields)
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    schema = T.StructType([*fields.fields, T.StructField(found, from_arrow_type(_KIND))])
+    return _searched(small_batches(docs), schema, bench, width, text_col, "item_id", "text", found, cut, fields)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -380,4 +382,4 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
             )
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kind}, text string, n_chars long, n_lines long")
+    return small_batches(pages).select(F.col(id_col), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kind}, text string, n_chars long, n_lines long")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .decontaminate import words
 
 # The phrases that alone name a licence, and openings of public licence notices.
@@ -232,7 +233,7 @@ def license_scan(
             )
 
     of = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(
+    return small_batches(docs).select(id_col, F.col(text_col).alias("text")).mapInArrow(
         run,
         f"`{id_col}` {of}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, spans array<struct<first:long,stop:long,label:string>>",

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches, tidy
 
 #: Keys shorter than this many code points are never dropped.
 MIN_CHARS = 20
@@ -47,8 +47,8 @@ class BloomPair:
         import numpy as np
 
         self.bits = bits
-        self.once = np.zeros(bits, bool)
-        self.twice = np.zeros(bits, bool)
+        self.once = np.zeros(bits // 8, np.uint8)
+        self.twice = np.zeros(bits // 8, np.uint8)
 
     @staticmethod
     def places(hashes, bits: int):
@@ -59,14 +59,12 @@ class BloomPair:
 
     @classmethod
     def holds(cls, filter_, hashes):
-        """Which hashes ``filter_`` (a bit per bool, or packed) may hold."""
+        """Which hashes the filter (packed bits) may hold."""
         import numpy as np
 
-        packed = filter_.dtype != bool
-        at = cls.places(hashes, len(filter_) * (8 if packed else 1))
         out = np.ones(len(hashes), bool)
-        for p in at:
-            out &= ((filter_[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) if packed else filter_[p]
+        for p in cls.places(hashes, len(filter_) * 8):
+            out &= ((filter_[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
         return out
 
     def add(self, hashes) -> None:
@@ -75,33 +73,36 @@ class BloomPair:
 
         one, n = np.unique(hashes, return_counts=True)
         again = one[(n > 1) | self.holds(self.once, one)]
-        for p in self.places(again, self.bits):
-            self.twice[p] = True
-        for p in self.places(one, self.bits):
-            self.once[p] = True
+        for filter_, hashes in ((self.twice, again), (self.once, one)):
+            for p in self.places(hashes, self.bits):
+                np.bitwise_or.at(filter_, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
 
     def segments(self) -> Iterator[tuple[int, bytes, bytes]]:
         for k in range(0, max(1, self.bits // SEGMENT)):
-            part = slice(k * SEGMENT, (k + 1) * SEGMENT)
+            part = slice(k * SEGMENT // 8, (k + 1) * SEGMENT // 8)
             if self.once[part].any():
                 yield k, _pack(self.once[part]), _pack(self.twice[part])
 
 
-def _pack(bits) -> bytes:
-    """Bits as the places of ones where they are few, else packed."""
+def _pack(packed) -> bytes:
+    """Packed bits as the places of ones where they are few, else as they are."""
     import numpy as np
 
-    at = np.flatnonzero(bits)
-    return b"p" + at.astype("<u4").tobytes() if len(at) * 32 < len(bits) else b"b" + np.packbits(bits, bitorder="little").tobytes()
+    filled = np.flatnonzero(packed)
+    at = np.flatnonzero(np.unpackbits(packed[filled], bitorder="little"))
+    at = filled[at >> 3] * 8 + (at & 7)
+    return b"p" + at.astype("<u4").tobytes() if len(at) * 4 < len(packed) else b"b" + packed.tobytes()
 
 
 def _unpack(data: bytes, size: int):
+    """The packed bits again; ``size`` in bits."""
     import numpy as np
 
     if data[:1] == b"b":
-        return np.unpackbits(np.frombuffer(data, np.uint8, offset=1), bitorder="little").astype(bool)
-    out = np.zeros(size, bool)
-    out[np.frombuffer(data, "<u4", offset=1)] = True
+        return np.frombuffer(data, np.uint8, offset=1).copy()
+    out = np.zeros(size // 8, np.uint8)
+    at = np.frombuffer(data, "<u4", offset=1)
+    np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
     return out
 
 
@@ -148,10 +149,10 @@ def _suspects(docs: DataFrame, text_col: str, min_chars: int):
                     once[k], twice[k] = o, t
         for k, t in twice.items():
             if t.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes()], pa.binary())], names=["k", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([t.tobytes()], pa.binary())], names=["k", "twice"])
 
-    parts = docs.select(text_col).mapInArrow(build, "k int, once binary, twice binary")
-    merged = parts.repartition("k").mapInArrow(merge, "k int, twice binary").collect()  # 32 MB at most
+    parts = docs.select(text_col).mapInArrow(tidy(build), "k int, once binary, twice binary")
+    merged = parts.repartition("k").mapInArrow(tidy(merge), "k int, twice binary").collect()  # 32 MB at most
     out = np.zeros(bits // 8, np.uint8)
     for row in merged:
         out[row["k"] * (SEGMENT // 8) :][: piece // 8] = np.frombuffer(row["twice"], np.uint8)
@@ -185,7 +186,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = MIN_CHAR
                 keys = [k for k, h in zip(keys, hit) if h]
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(keys, pa.binary())], names=["id", "key"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(emit, f"id {kind.simpleString()}, key binary")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(emit), f"id {kind.simpleString()}, key binary")
     exact = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
     return exact.select(F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("digest"), "keep")
 
@@ -219,7 +220,7 @@ def _plan(docs: DataFrame, repeats: DataFrame, min_chars: int, id_col: str, text
                 [pa.array([i for i, _ in pairs], b.column(0).type), pa.array([d for _, d in pairs], pa.binary())], names=["id", "digest"]
             )
 
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lines, f"id {kind}, digest binary")
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(lines), f"id {kind}, digest binary")
     drops = held.join(repeats, "digest").where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id").agg(F.collect_set("digest").alias("_dropped"))
     with_drops = docs.join(drops.withColumnRenamed("id", "_drop_id"), docs[id_col].eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
     return with_drops, None, "_dropped"
@@ -249,7 +250,7 @@ def _kept(text: str | None, row_id, min_chars: int, table, dropped: set | None)
 
 
 def _apply(docs: DataFrame, min_docs: int, min_chars: int, id_col: str, text_col: str, finish, schema) -> DataFrame:
-    repeats = materialize(repeated_lines(docs, min_docs, min_chars, id_col, text_col), "lines")
+    repeats = materialize(repeated_lines(small_batches(docs), min_docs, min_chars, id_col, text_col), "lines")
     ready, shared, extra = _plan(docs, repeats, min_chars, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +264,7 @@ def _apply(docs: DataFrame, min_docs: int, min_chars: int, id_col: str, text_col
             ]
             yield finish(b, rows)
 
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(tidy(run), schema)
 
 
 def line_dedup_report(docs: DataFrame, min_docs: int = 3, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

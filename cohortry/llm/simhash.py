@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import linked_groups, materialize, without_ids
+from .common import linked_groups, materialize, small_batches, tidy, without_ids
 
 BITS = 64
 #: Postings of at most this many fingerprints are compared pair by pair; longer ones go by midpoints.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed, pa.int64())], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, fp long")
 
 
 def _byte(column: str, k: int):

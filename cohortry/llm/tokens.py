@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Distinct pieces whose lengths a Python worker remembers between batches.
 CACHE_PIECES = 800_000
 #: Pieces longer than this are encoded each time they occur.
@@ -137,4 +139,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 #: Labelled documents of each class that the model is fitted on, at most (in expectation: a hash of the id decides).
 TRAIN_DOCS = 3_000
 #: Features kept: those that tell toxic documents best by the likelihood ratio.
@@ -24,7 +26,7 @@ ROUNDS = 400
 RATE = 0.1
 RIDGE = 2e-5
 #: Words whose weight a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 _SENTENCE = re.compile(rb"[^.!?\n]+")
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -57,9 +59,9 @@ class ToxicityModel:
         return {"weights": self.weights, "bias": self.bias, "known": {}}
 
     def word(self, word: bytes) -> float:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        w = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        w = sum(self.weights.get(f, 0.0) for f in features(word))
+        if len(self.known) < CACHE_WORDS:
+            self.known[word] = w
         return w
 
     def score(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
     left out.  Features are counted and selected in Spark; what reaches the driver is bounded by
     ``train_docs`` documents as numbers of at most FEATURES features.  Without toxic labels the model is the bias alone.
     """
-    spark = docs.sparkSession
+    docs = small_batches(docs)
     y = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
         )
 
     P, Q = float(n[1] * share[1]), float(max(1.0, n.get(0, 0) * share[0]))
-    counted = texts.mapInArrow(count, "f string, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counted = texts.mapInArrow(tidy(count), "f string, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     p, q = F.col("p"), F.col("q")
     both = (p + q) / (P + Q)
     gain = p * F.log(p / P / both) + F.when(q > 0, q * F.log(q / Q / both)).otherwise(0.0)
@@ -189,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_c
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32()))), pa.array(bare, pa.int64())], names=["id", "y", "bag", "bare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sorted(texts.mapInArrow(encode, f"id {kind}, y int, bag array<array<int>>, bare long").collect())
+    rows = sorted(texts.mapInArrow(tidy(encode), f"id {kind}, y int, bag array<array<int>>, bare long").collect())
     if not any(r["y"] for r in rows):
         return ToxicityModel({}, math.log(1e-3))
     w, b = _fit([(r["y"], 1 / share[r["y"]], r["bag"], r["bare"]) for r in rows], len(numbers))
@@ -205,7 +207,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", leas
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
-    docs = docs.drop(score_col, spans_col)
+    docs = small_batches(docs).drop(score_col, spans_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -217,7 +219,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", leas
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import from_arrow_type
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(spans_col, from_arrow_type(kind))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(spans_col, from_arrow_type(kind))]))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
