@@ -16,7 +16,8 @@ def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """``(id, url, place, link)``: every link of every page, canonical, in order."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
     raw = pages.select(id_col, "url", F.posexplode(hrefs).alias("place", "href"))
-    return raw.select(id_col, "url", "place", X.canonical_url(X.resolved(F.col("url"), F.col("href"))).alias("link")).where("link is not null")
+    absolute = raw.select(id_col, "url", "place", X.resolved(F.col("url"), F.col("href")).alias("absolute"))
+    return absolute.select(id_col, "url", "place", X.canonical_url(F.col("absolute")).alias("link")).where("link is not null")
 
 
 def keep_first(frame: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
