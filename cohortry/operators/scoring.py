@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lift import MEAT, POISON, tgi, tier
+from .lift import POISON, tgi, tier
 
 #: Hits that satisfy an action without one of its own; days assumed for an action never seen.
 SATURATION, UNSEEN_DAYS = 3, 30

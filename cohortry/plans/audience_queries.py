@@ -19,8 +19,7 @@ def run_date():
 
 NAMES = [*rule_sets.BEHAVIOUR_RULES, *rule_sets.TOTAL_RULES]
 
-#: The behaviour rules as SQL conditions over one user's events.
-_T = "COUNT(*) FILTER (event_type IN ({}))"
+
 _s, _d = "COUNT(*) FILTER (event_type IN ('search_vertical','search_general'))", "COUNT(*) FILTER (event_type = 'view_car_detail')"
 
 

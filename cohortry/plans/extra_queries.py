@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -19,7 +18,7 @@ from ..operators import wide_table as T
 from ..sources import files as FS
 from ..streaming.run import shared_folder
 from . import model_queries, need_queries, rule_sets
-from .audience_queries import FLAGS, NAMES, _SPLIT, _stats, run_date
+from .audience_queries import _SPLIT, FLAGS, _stats, run_date
 from .driver_tables import SQL, profile, raw_events, table
 
 
