@@ -136,3 +136,29 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id (null is an id) isn't in the one column of ``ids``."""
     gone = materialize(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct(), "gone")
     return docs.join(small_side(gone), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def text_key(text_col: str):
+    """A text's MD5, by which rows that share an id are told apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each group one row of ``docs``: the smallest id (null comes last), then the smallest text key.
+
+    ``rows`` has ``(id, key, root)`` for every row of ``docs``; texts with the same key have the same root.  Rows
+    are told apart by id and key, so an id or null that occurs in several groups is judged in each.
+    """
+    rows = materialize(rows, "rows")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    told = rows.join(small_side(materialize(best, "best")), "root").select(
+        "id", "key", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))).alias("stays")
+    )
+    told = materialize(told.groupBy("id", "key", "stays").count(), "told")
+    gone = materialize(told.where("not stays").select(F.col("id").alias("_id"), F.col("key").alias("_key")), "gone")
+    keyed = docs.withColumn("_text_key", text_key(text_col))
+    kept = keyed.join(small_side(gone), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti")
+    if told.where("stays and count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, "_text_key"])
+    return kept.drop("_text_key")
