@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import linked_groups, materialize, small_batches, tidy, without_ids
+from .common import keep_one, linked_groups, materialize, small_batches, text_key, tidy
 
 BITS = 64
 #: Postings of at most this many fingerprints are compared pair by pair; longer ones go by midpoints.
@@ -154,13 +154,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col:
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: in each component the one with the smallest id.
+    """The rows of ``docs`` that stay: of each component one row with the smallest id.
 
-    Rows with a null id stay only where their whole component lacks ids.  Repeated rows
-    with the smallest id are cut to one.
+    Null ids come last, and repeated rows are cut to one.  Rows are told apart by id and text, so rows
+    that share an id (or have none) are judged each in its own component.
     """
-    groups = materialize(simhash_groups(docs, shingle, distance, id_col, text_col), "groups")
-    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
-    kept = without_ids(docs, groups.where(~stays).select(id_col), id_col)
-    repeated = groups.where(stays).groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    texts = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    fps = materialize(fingerprints(texts.select(F.struct("id", "key").alias("row"), "text"), shingle, "row", "text"), "fingerprints")
+    groups = linked_groups(links(fps.select("fp").distinct(), distance))
+    rows = fps.join(groups, F.col("fp") == F.col("node"), "left").select("row.id", "row.key", F.coalesce("root", "fp").alias("root"))
+    return keep_one(docs, rows, id_col, text_col)
