@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,11 +155,12 @@ class Scanner:
             long.append((len(found) - n, len(found), v))
         return base, long
 
-    def chains(self, long: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """For each template met: the share of its words that the best chain covers, and where it lies.
+    def chains(self, long: list[tuple[int, int, int]]) -> dict[int, list[tuple[float, int, int]]]:
+        """For each template met: its chains as (share of the template's words covered, first word, stop).
 
         A chain's matches follow one another in text and template; what overlaps counts once, and
-        at most GAP words of other text lie between two of them.
+        at most GAP words of other text lie between two of them.  Each chain is the best that ends
+        where it does; of chains that overlap in the text the one that covers most stays (then the earliest).
         """
         by: dict[int, list[tuple[int, int, int]]] = {}
         for i, j, v in long:
@@ -166,7 +168,6 @@ class Scanner:
                 by.setdefault(t, []).append((i, j, end + 1))
         out = {}
         for t, met in by.items():
-            best: tuple[int, int, int] = (0, 0, 0)
             done: list[tuple[int, int, int, int, int]] = []  # start, stop, template stop, words covered, chain's start
             low = 0
             for i, j, stop in met:
@@ -179,8 +180,15 @@ class Scanner:
                         if more > covered:
                             covered, start = more, first
                 done.append((i, j, stop, covered, start))
-                best = max(best, (covered, -start, j))
-            out[t] = (best[0] / len(self.templates[t]), -best[1], best[2])
+            starts: list[int] = []  # of the chains taken, which don't overlap
+            taken: dict[int, tuple[float, int, int]] = {}
+            for covered, first, stop in sorted(((c, f, j) for _, j, _, c, f in done), key=lambda x: (-x[0], x[1], x[2])):
+                at = bisect_left(starts, first)
+                if (at < len(starts) and starts[at] < stop) or (at and taken[starts[at - 1]][2] > first):
+                    continue
+                insort(starts, first)
+                taken[first] = (covered / len(self.templates[t]), first, stop)
+            out[t] = [taken[f] for f in starts]
         return out
 
     def scan(self, text: str | None, covered: float = COVERED):
@@ -189,8 +197,8 @@ class Scanner:
         base, long = self.matches(found)
         chains = self.chains(long)
         of_phrases = {self.phrase_labels[k] for _, k in base}
-        spans = sorted({(i, j, self.labels[t]) for t, (share, i, j) in chains.items() if share >= (1.0 if t < len(self.phrase_labels) else covered)})
-        return len(found), base, of_phrases, of_phrases | {s[2] for s in spans}, max((c[0] for c in chains.values()), default=0.0), spans
+        spans = sorted({(i, j, self.labels[t]) for t, found_at in chains.items() for share, i, j in found_at if share >= (1.0 if t < len(self.phrase_labels) else covered)})
+        return len(found), base, of_phrases, of_phrases | {s[2] for s in spans}, max((c[0] for found_at in chains.values() for c in found_at), default=0.0), spans
 
 
 def license_scan(
