@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from test_decontaminate import brute as benchmark_hits
 from test_line_dedup import brute as line_report
 from test_mixing import reshare
-from test_simhash import classes, slow_fingerprint
+from test_near_copies import brute as near_heads
 
 from cohortry.llm import toxicity
 
@@ -30,10 +30,7 @@ def test_stages_equal_brute_force(spark):
             want = line_report([(i, r["text"]) for i, r in before.items()])
             assert {i: hashlib.sha256((r["text"] or "").encode()).hexdigest() for i, r in after.items()} == {i: w[2] for i, w in want.items()}
         elif name == "near_dedup":
-            fps = {i: slow_fingerprint(r["text"]) for i, r in before.items()}
-            ids = sorted(fps)
-            near = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2]
-            assert set(after) == set(classes(ids, near).values())
+            assert set(after) == set(near_heads({i: r["text"] for i, r in before.items()})[0])
         elif name == "decontamination":
             hits = dict(zip(before, benchmark_hits([r["text"] for r in before.values()], bench, 10)))
             assert set(after) == set(before)
