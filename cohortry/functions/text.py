@@ -25,10 +25,10 @@ def mapped_tags(tag: Column, names: dict[str, str]) -> list[Column]:
     return [F.try_element_at(m, F.lit(k)).alias(out) for k, out in names.items()]
 
 
-# The layouts of behaviour keys, tried in order: (pattern, event type, attributes from groups).
-KEY_LAYOUTS: list[tuple[str, str, dict[str, int]]] = [
+# The layouts of behaviour keys, tried in order: (pattern, event type, attributes from groups, or as they are).
+KEY_LAYOUTS: list[tuple[str, str, dict[str, int | str]]] = [
     (r"^留资_(.+)$", "lead_submit", {"channel": 1}),
-    (r"^搜索_三车垂媒_(.+?)\{\{.*\}\}$", "search_vertical", {"brand": 1}),
+    (r"^搜索_三车垂媒_(.+?)\{\{.*\}\}$", "search_vertical", {"brand": 1, "channel": "三车垂媒"}),
     (r"^搜索_泛资讯_(.+?)\{\{.*\}\}$", "search_general", {"brand": 1}),
     (r"^搜索__(.+?)\{\{.*\}\}$", "search_general", {"brand": 1}),
     (r"^搜索_泛娱乐种草_([^-]+?)(?:-(.+?))?\{\{.*\}\}$", "search_entertainment", {"brand": 1, "model": 2}),
@@ -46,18 +46,21 @@ KEY_LAYOUTS: list[tuple[str, str, dict[str, int]]] = [
     (r"租车", "rental_app_use", {}),
 ]
 NO_BRAND = "无明确品牌"
+#: Event types whose brand stands as it is, also an unclear one.
+ANY_BRAND = ("view_car_detail", "view_loan_calc", "ad_click")
 
 
 def behaviour_key(key: Column) -> tuple[Column, Column]:
-    """A behaviour key's event type, and its attributes as a map; an unclear brand is none, a key of no layout is unknown."""
+    """A behaviour key's event type, and its attributes as a map; an unclear brand is none (but in ANY_BRAND), a key of no layout is unknown."""
     k = F.trim(key)
     kind, attrs = F.lit("unknown"), F.create_map(F.lit("raw"), k)
     for pattern, name, groups in reversed(KEY_LAYOUTS):
         hit = k.rlike(pattern)
         pairs: list[Column] = []
         for attr, n in groups.items():
-            v = F.trim(F.regexp_extract(k, pattern, n))
-            pairs += [F.lit(attr), F.when((v != "") & ~(F.lit(attr == "brand") & v.contains(NO_BRAND)), v)]
+            v = F.lit(n) if isinstance(n, str) else F.trim(F.regexp_extract(k, pattern, n))
+            unclear = v.contains(NO_BRAND) if attr == "brand" and name not in ANY_BRAND else F.lit(False)
+            pairs += [F.lit(attr), F.when((v != "") & ~unclear, v)]
         kind = F.when(hit, F.lit(name)).otherwise(kind)
         attrs = F.when(hit, F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).otherwise(attrs)
     return kind, attrs

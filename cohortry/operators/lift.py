@@ -99,9 +99,10 @@ def field_distribution(frame: DataFrame, fields: list[str], top: int = 50) -> Da
     """``(field, value, n, pct)``: the most frequent values of every field, in one pass over the rows."""
     pairs = frame.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("p")).select("p.*")
     n = pairs.groupBy("field", "value").agg(F.count("*").alias("n"))
-    by = W.partitionBy("field")
-    ranked = n.withColumn("pct", F.round(F.col("n") * 100 / F.sum("n").over(by), 4)).withColumn("r", F.row_number().over(by.orderBy(F.desc("n"), F.col("value").asc_nulls_first())))
-    return ranked.where(F.col("r") <= top).select("field", "value", "n", "pct")
+    totals = n.groupBy(F.col("field").alias("f")).agg(F.sum("n").alias("total"))  # a row for each field
+    # The fixed limit next to the rank lets each partition pass on its most frequent values only.
+    ranked = n.withColumn("r", F.row_number().over(W.partitionBy("field").orderBy(F.desc("n"), F.col("value").asc_nulls_first()))).where(F.col("r") <= top)
+    return ranked.join(F.broadcast(totals), F.col("field") == F.col("f")).select("field", "value", "n", F.round(F.col("n") * 100 / F.col("total"), 4).alias("pct"))
 
 
 def event_distribution(raw: DataFrame, profile: DataFrame) -> DataFrame:
@@ -136,10 +137,19 @@ def generalisation(train: DataFrame, val: DataFrame, drift: float = 20, threshol
 def hash_split(frame: DataFrame, id_col: str, by: str, val_ratio: float = 0.2, seed: str = "split") -> DataFrame:
     """``frame`` with ``split``: by class, the first share of rows in the order of a digest is validation, one at least.
 
-    The order is that of the MD5 of seed and id, so the split repeats.
+    The order is that of the MD5 of seed and id, so the split repeats.  Rows are counted in 4,096 ranges of the digest:
+    ranges before the boundary are validation as a whole, and only the rows of the boundary's own range are ordered.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.col(id_col).cast("string")).cast("binary"))
-    w = W.partitionBy(by)
-    r = F.row_number().over(w.orderBy("_h", id_col))
-    n = F.count("*").over(w)
-    return frame.withColumn("_h", key).withColumn("split", F.when(r <= F.greatest(F.lit(1), F.floor(n * val_ratio)), "val").otherwise("train")).drop("_h")
+    keyed = frame.withColumn("_h", key).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    counts = keyed.groupBy(F.col(by).alias("_c"), F.col("_b").alias("_k")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy("_c")
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = F.greatest(F.lit(1), F.floor(F.sum("_n").over(w) * val_ratio)) - before
+    marks = counts.withColumn("_left", left)  # at most 4,096 rows for each class
+    j = keyed.join(F.broadcast(marks), keyed[by].eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_k")))
+    edge = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+    sure = j.where(~edge).withColumn("split", F.when(F.col("_left") > 0, "val").otherwise("train"))
+    r = F.row_number().over(W.partitionBy("_c", "_b").orderBy("_h", id_col))
+    some = j.where(edge).withColumn("split", F.when(r <= F.col("_left"), "val").otherwise("train"))
+    return sure.unionByName(some).select(*frame.columns, "split")

@@ -90,17 +90,23 @@ def token_share(query: Column, text: Column) -> Column:
     return F.when((F.size(q) > 0) & (F.size(t) > 0), hit / F.size(q)).otherwise(0.0)
 
 
-def value_search(queries: DataFrame, catalog: DataFrame, top: int = 5, fix: float = 0.5, vectors: bool = False) -> DataFrame:
+def value_search(queries: DataFrame, catalog: DataFrame, top: int = 5, fix: float = 0.5, vectors: bool = False, block: int = 10_000) -> DataFrame:
     """The ``top`` catalog values for each row of ``queries(query_id, query[, query_vector])``; ``fixed`` marks a best value sure enough to use.
 
-    Similarity is the token share, or 0.7 cosine + 0.3 token share with vectors.  ``catalog(value, value_desc[, vector])`` is
-    a dimension's list of values and is broadcast; ties go to the smaller value.
+    Similarity is the token share, or 0.7 cosine + 0.3 token share with vectors.  All of ``catalog(value, value_desc[, vector])`` is
+    searched where it lies: queries are sent to it in blocks of about ``block`` rows, and each partition passes on its ``top`` values
+    of a query only.  Ties go to the smaller value.
     """
     words = token_share(F.col("query"), F.concat_ws(" ", "value", "value_desc"))
     sim = cosine(F.col("query_vector"), F.col("vector")) * 0.7 + words * 0.3 if vectors else words
-    j = queries.join(F.broadcast(catalog)).withColumn("similarity", F.round(sim, 4))
-    r = j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "value"))).where(F.col("rank") <= top)
-    return r.select("query_id", "value", "similarity", "rank", ((F.col("rank") == 1) & (F.col("similarity") >= fix)).alias("fixed"))
+    blocks = -(-queries.count() // block) or 1
+    out = None
+    for k in range(blocks):
+        asked = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        j = catalog.join(F.broadcast(asked)).withColumn("similarity", F.round(sim, 4)).select("query_id", "value", "similarity")
+        r = j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "value"))).where(F.col("rank") <= top)
+        out = r if out is None else out.unionAll(r)
+    return out.select("query_id", "value", "similarity", "rank", ((F.col("rank") == 1) & (F.col("similarity") >= fix)).alias("fixed"))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -104,14 +104,25 @@ def importances(model: PipelineModel, names: list[str], top: int = 10) -> list[t
     return sorted(zip(names, map(float, v)), key=lambda x: (-x[1], x[0]))[:top]
 
 
+def _running(counts: DataFrame, c: str, ranges: int = 256) -> DataFrame:
+    """``counts(c, _n)`` with ``_upto``, the sum of ``_n`` up to each value; values are cut in ranges, so that no window holds them all."""
+    cuts = counts.agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<double>")
+    cut = counts.withColumn("_k", F.size(F.filter(bounds, lambda b: b < F.col(c))))
+    sums = cut.groupBy(F.col("_k").alias("_range")).agg(F.sum("_n").alias("_s"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = cut.withColumn("_within", F.sum("_n").over(W.partitionBy("_k").orderBy(c)))
+    return within.join(F.broadcast(before), F.col("_k") == F.col("_range")).withColumn("_upto", F.col("_before") + F.col("_within")).select(*counts.columns, "_upto")
+
+
 def regression_report(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     """MAE, RMSE, R2, Pearson and Spearman of a frame of predictions."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     rank = scored.select(y.alias("y"), p.alias("p"))
-    # Mean ranks by distinct value: ties share a rank, and no window holds all rows but the one over distinct values.
+    # Mean ranks by distinct value: ties share a rank.
     for c in ("y", "p"):
         n = rank.groupBy(c).agg(F.count("*").alias("_n"))
-        r = n.select(F.col(c).alias(f"_{c}"), (F.sum("_n").over(W.orderBy(c)) - (F.col("_n") - 1) / 2).alias(f"r{c}"))
+        r = _running(n, c).select(F.col(c).alias(f"_{c}"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r{c}"))
         rank = rank.join(r, rank[c] == r[f"_{c}"])
     mean = scored.agg(F.avg(y).alias("m"))
     return (

@@ -82,8 +82,9 @@ def stage_counters(frame: DataFrame, reason: str = "drop_reason") -> DataFrame:
 
 def quota_top(frame: DataFrame, quotas: DataFrame, top: int, category: str = "category", score: str = "quality", key: str = "id") -> DataFrame:
     """At most a category's quota of its best rows (no quota: all), then the best ``top`` of all."""
-    r = F.row_number().over(W.partitionBy(category).orderBy(F.desc(score), key))
-    q = frame.withColumn("_r", r).join(F.broadcast(quotas.select(category, "quota")), category, "left").where(F.col("quota").isNull() | (F.col("_r") <= F.col("quota")))
+    # No category gives more than ``top`` rows: with that fixed limit each partition passes on its best rows only.
+    best = frame.withColumn("_r", F.row_number().over(W.partitionBy(category).orderBy(F.desc(score), key))).where(F.col("_r") <= top)
+    q = best.join(F.broadcast(quotas.select(category, "quota")), category, "left").where(F.col("quota").isNull() | (F.col("_r") <= F.col("quota")))
     return q.drop("_r", "quota").orderBy(F.desc(score), key).limit(top)
 
 
@@ -134,6 +135,16 @@ def same_titles(titles: DataFrame, ratio: float = 0.9, key: str = "id", norm: st
     return titles.join(keeps, norm, "left").select(key, F.coalesce("keep", key).alias("keep"))
 
 
+def feed_entries(pages: DataFrame, cutoff: Column, most: int = 500, key: str = "page_id") -> DataFrame:
+    """``(key, summary, n_content, images, date)`` of feed entries: a summary of ``most`` characters without tags, the length of
+    the whole content, addresses of its images, and its date.  Entries dated before ``cutoff`` go; undated ones stay.
+    """
+    date, _ = X.html_date(F.col("html"), F.col("url"))
+    images = F.regexp_extract_all("html", F.lit(r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    e = pages.select(key, X.html_plain(F.col("html")).alias("content"), images.alias("images"), date.alias("date"))
+    return e.where(F.col("date").isNull() | (F.col("date") >= cutoff)).select(key, F.substring("content", 1, most).alias("summary"), F.length("content").alias("n_content"), "images", "date")
+
+
 def longer_content(articles: DataFrame, bodies: DataFrame, key: str = "id", short: int = 200) -> DataFrame:
     """Short contents replaced by the longer body of the page table; summaries extended to it."""
     b = bodies.select(key, F.col("body"))

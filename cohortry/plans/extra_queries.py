@@ -129,11 +129,11 @@ def p21_platform_articles(spark, d):
     """Platform article pages to title, author, time, cover and body; short bodies are dropped."""
     p = table(spark, d, "pages")
     k = F.col("page_id")
-    html = F.concat(F.lit('<h1 class="rich_media_title"> T'), k.cast("string"), F.lit('</h1><a id="js_name"> Author </a><script>var ct = "'), (F.lit(1_700_000_000) + k).cast("string"), F.lit('"; var msg_cdn_url = "https://img.example/c.png";</script><div id="js_content">'), F.substring(X.html_plain(F.col("html")), F.lit(1), (k % 3 * 100).cast("int")), F.lit("</div>"))
-    return X_articles(p.select("page_id", html.alias("html")))
+    html = F.concat(F.lit('<h1 class="rich_media_title"> T'), k.cast("string"), F.lit('</h1><a id="js_name"> Author </a><script>var ct = "'), (F.lit(1_700_000_000) + k).cast("string"), F.lit('"; var msg_cdn_url = "https://img.example/c.png";</script><div id="js_content">'), X.html_plain(F.col("html")), F.lit("</div>"))
+    return _platform_articles(p.select("page_id", html.alias("html")))
 
 
-def X_articles(pages, least: int = 100):
+def _platform_articles(pages, least: int = 100):
     body = X.folded(F.regexp_replace(F.regexp_extract("html", r'(?is)id="js_content"[^>]*>(.*?)</div>', 1), r"<[^>]+>", " "))
     out = pages.select(
         "page_id",

@@ -129,8 +129,9 @@ def s2_labelled_sets(spark, d):
 def s3_profiles_last_line(spark, d):
     out = shared_folder(spark)
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_mktsegment").alias("seg"))
-    c.coalesce(1).write.csv(f"{out}/p", sep="\t", header=True)
-    return S.read_profiles(spark, f"{out}/p", "tsv").groupBy("seg").agg(F.count("*").alias("n"))
+    c.write.csv(f"{out}/p/a", sep="\t", header=True)
+    c.where("user_id % 2 = 0").select("user_id", F.lit("later").alias("seg")).repartition(3).write.csv(f"{out}/p/b", sep="\t", header=True)
+    return S.read_profiles(spark, f"{out}/p/*", "tsv").groupBy("seg").agg(F.count("*").alias("n"))
 
 
 def s5_load_summary(spark, d):
@@ -186,7 +187,7 @@ ORACLE = {
     "d36_classification_report": f"WITH {_PRED}, k AS (SELECT k, COUNT(*) FILTER (label = k) AS n, COUNT(*) FILTER (pred = k) AS q, COUNT(*) FILTER (label = k AND pred = k) AS tp FROM p, (VALUES (0), (1), (2)) v(k) GROUP BY k) SELECT ROUND(SUM(tp) / SUM(n), 6) AS accuracy, ROUND(AVG(2 * tp / (n + q)), 6) AS macro_f1, ROUND(SUM(2 * tp / (n + q) * n) / SUM(n), 6) AS weighted_f1 FROM k",
     "d36_confusion": f"WITH {_PRED} SELECT CAST(label AS INT) AS label, CAST(pred AS INT) AS prediction, COUNT(*) AS n FROM p GROUP BY 1, 2",
     "s2_labelled_sets": "WITH p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(user_id IN (SELECT user_id FROM p) AS INT) AS is_lead, COUNT(*) AS n, ROUND(SUM(value), 2) AS dwell FROM events WHERE event_type = 'purchase' OR user_id NOT IN (SELECT user_id FROM p) GROUP BY 1, 2",
-    "s3_profiles_last_line": "SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY 1",
+    "s3_profiles_last_line": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'later' ELSE c_mktsegment END AS seg, COUNT(*) AS n FROM customer GROUP BY 1",
     "s5_load_summary": f"WITH {SQL} SELECT COUNT(*) AS users, ROUND(AVG(is_lead), 6) AS rate, (SELECT COUNT(*) FROM raw) AS behaviours, (SELECT COUNT(DISTINCT user_id) FROM raw) AS active_users FROM profile",
     "s6_csv_with_check": "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1",
     "s8_partition_range": "SELECT strftime(l_shipdate, '%Y%m') AS pt_d, COUNT(*) AS n FROM lineitem WHERE strftime(l_shipdate, '%Y%m') BETWEEN '199601' AND '199606' GROUP BY 1",

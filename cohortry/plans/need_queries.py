@@ -43,7 +43,7 @@ def users(spark, d) -> DataFrame:
         F.when(k % 5 > 0, (k % 23).cast("string")).otherwise("far").alias("commute_distance_delta"),
         _pick(k, ["线索", "试驾", "小订", "none"]).alias("conversion_stage"),
     )
-    o = table(spark, d, "orders").where("o_orderkey % 7 = 0")
+    o = table(spark, d, "orders")
     key = F.col("o_orderkey")
     v = o.select(
         F.col("o_custkey").alias("user_id"),
@@ -58,7 +58,7 @@ def users(spark, d) -> DataFrame:
 
 
 _FUEL = "CASE WHEN c_custkey % 6 = 5 THEN 'free' WHEN c_custkey % 5 IN (0, 3) THEN 'plate' WHEN c_custkey % 5 IN (1, 4) THEN 'road' ELSE 'unknown' END"
-SQL = f"""v AS (SELECT o_custkey AS user_id, {_pick_sql('(o_orderkey // 7)', ['ev', 'phev', 'fuel', 'erev'])} AS power, {_pick_sql('(o_orderkey // 7)', ['SUV', 'MPV', '轿车'])} AS body, {_pick_sql('(o_orderkey // 14)', ['10-20', '20-30'])} AS band, {_pick_sql('(o_orderkey // 21)', ['small', 'large'])} AS size FROM orders WHERE o_orderkey % 7 = 0),
+SQL = f"""v AS (SELECT o_custkey AS user_id, {_pick_sql('(o_orderkey // 7)', ['ev', 'phev', 'fuel', 'erev'])} AS power, {_pick_sql('(o_orderkey // 7)', ['SUV', 'MPV', '轿车'])} AS body, {_pick_sql('(o_orderkey // 14)', ['10-20', '20-30'])} AS band, {_pick_sql('(o_orderkey // 21)', ['small', 'large'])} AS size FROM orders),
 vw AS (SELECT user_id, COUNT(*) AS n, BOOL_OR(power = 'ev') AS ev, BOOL_OR(power IN ('phev', 'erev')) AS plug, BOOL_OR(power IN ('fuel', 'erev')) AS fuel, BOOL_OR(body = 'MPV' OR body = 'SUV' AND size = 'large') AS big, BOOL_OR(body = '轿车' OR body = 'SUV' AND size = 'small') AS small, COUNT(DISTINCT band) AS bands FROM v GROUP BY 1),
 u AS (SELECT c_custkey AS user_id, c_custkey AS k, {_FUEL} AS policy, {_pick_sql('c_custkey', [*N.GENERATIONS.values(), '未来车主'])} AS gen, COALESCE(n, 0) AS n_views, COALESCE(ev, FALSE) AS ev, COALESCE(plug, FALSE) AS plug, COALESCE(fuel, FALSE) AS fuel, COALESCE(big, FALSE) AS big, COALESCE(small, FALSE) AS small, COALESCE(bands, 0) AS bands FROM customer LEFT JOIN vw ON user_id = c_custkey),
 nd AS (SELECT *, policy IN ('plate', 'road') AND ev AS green_plate, policy IN ('plate', 'road') AND plug AND NOT ev AS no_parking, policy = 'free' AS plate_free, gen = '中坚家庭' AND big AS six_seven_seats, gen IN ('新锐青年', '年轻新贵') AND small AS single_commute,

@@ -30,7 +30,7 @@ def p2_tag_map(spark, d):
     return _tags(spark, d).select("c_custkey", F.size(m).alias("n"), F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"), "tag")
 
 
-_KEYS = ["留资_官网", "搜索_三车垂媒_b{k}{{{{x}}}}", "搜索_泛资讯_无明确品牌{{{{x}}}}", "搜索__b{k}{{{{}}}}", "搜索_泛娱乐种草_b{k}-m{k}{{{{x}}}}", "浏览_三车垂媒车辆详情_b{k}-m{k}{{{{x}}}}", "浏览_三车垂媒车型对比_b{k}{{{{x}}}}", "浏览_三车垂媒车贷计算_b{k}{{{{x}}}}", "浏览_三车垂媒短视频_b{k}{{{{x}}}}", "浏览_三车垂媒联系销售_b{k}{{{{x}}}}", "浏览_三车垂媒查落地价_b{k}{{{{x}}}}", "试驾_", "大定_m{k}", "广告点击_App@_@工具#3_b{k}#t#创意", "路过门店", "使用地图", "租车软件", "其他"]
+_KEYS = ["留资_官网", "搜索_三车垂媒_b{k}{{{{x}}}}", "搜索_泛资讯_无明确品牌{{{{x}}}}", "搜索__b{k}{{{{}}}}", "搜索_泛娱乐种草_b{k}-m{k}{{{{x}}}}", "浏览_三车垂媒车辆详情_b{k}-m{k}{{{{x}}}}", "浏览_三车垂媒车型对比_b{k}{{{{x}}}}", "浏览_三车垂媒车贷计算_无明确品牌{{{{x}}}}", "浏览_三车垂媒短视频_b{k}{{{{x}}}}", "浏览_三车垂媒联系销售_b{k}{{{{x}}}}", "浏览_三车垂媒查落地价_b{k}{{{{x}}}}", "试驾_", "大定_m{k}", "广告点击_App@_@工具#3_b{k}#t#创意", "路过门店", "使用地图", "租车软件", "其他"]
 
 
 def p3_behaviour_keys(spark, d):
@@ -40,7 +40,7 @@ def p3_behaviour_keys(spark, d):
     for i, t in enumerate(_KEYS):
         key = F.when(F.col("event_id") % len(_KEYS) == i, F.replace(F.lit(t.replace("{{{{", "{{").replace("}}}}", "}}")), F.lit("{k}"), k)).otherwise(key)
     kind, attrs = X.behaviour_key(F.col("key"))
-    return e.select("event_id", key.alias("key")).select("event_id", kind.alias("event_type"), F.try_element_at(attrs, F.lit("brand")).alias("brand"), F.try_element_at(attrs, F.lit("model")).alias("model"))
+    return e.select("event_id", key.alias("key")).select("event_id", kind.alias("event_type"), *[F.try_element_at(attrs, F.lit(a)).alias(a) for a in ("brand", "model", "channel")])
 
 
 _KINDS = ["lead_submit", "search_vertical", "search_general", "search_general", "search_entertainment", "view_car_detail", "view_car_compare", "view_loan_calc", "view_short_video", "view_contact_sales", "view_floor_price", "test_drive", "order_placed", "ad_click", "pass_dealership", "map_app_use", "rental_app_use", "unknown"]
@@ -111,9 +111,8 @@ def p20_html_fields(spark, d):
 
 
 def p22_feed_summaries(spark, d):
-    """Summaries of 500 characters without tags, of pages as feed entries within the window."""
-    p = table(spark, d, "pages").where(F.col("page_id") % 3 > 0)
-    return p.select("page_id", F.substring(X.html_plain(F.col("html")), 1, 500).alias("summary"))
+    """All pages as feed entries; those whose page tells a date before the cutoff go."""
+    return B.feed_entries(table(spark, d, "pages"), F.lit("2024-01-01").cast("date")).select("page_id", "summary", "n_content", F.size("images").alias("n_images"), F.col("date").cast("string").alias("date"))
 
 
 def p23_short_summaries(spark, d):
@@ -129,8 +128,9 @@ def p25_prompts(spark, d):
 
 
 def _answers(spark, d):
+    """A stand-in for a scorer: its answer follows from the length of the whole text."""
     p = table(spark, d, "documents")
-    k = F.col("doc_id")
+    k = F.length(F.coalesce("text", F.lit("")))
     kind = F.when(k % 5 == 0, "bad").otherwise("trend")
     n = (k % 7).cast("int")
     tags = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.concat(F.lit("t"), i.cast("string")))
@@ -143,7 +143,7 @@ def p26_scorer_checks(spark, d):
 
 
 def p27_quality_totals(spark, d):
-    k = F.col("doc_id")
+    k = F.length(F.coalesce("text", F.lit("")))
     parts = [F.lit(float(i)).alias(n) if i else (k % 10).cast("double").alias(n) for i, n in enumerate(X.QUALITY)]
     answer = F.when(k % 9 == 0, F.lit("{}")).otherwise(F.to_json(F.struct(F.struct(*parts, F.when(k % 3 == 0, (k % 14).cast("double")).alias("total")).alias("quality_score"))))
     return table(spark, d, "documents").select("doc_id", X.quality_total(answer).alias("total"))
@@ -225,20 +225,20 @@ def d47_best_of_group(spark, d):
 
 def t8_scored_or_filled(spark, d):
     a = _articles(spark, d)
-    scores = a.where("id % 40 = 0").select("id", F.col("quality").alias("score"))
+    scores = a.where("quality >= 9.7").select("id", F.col("quality").alias("score"))
     return B.scored_or_filled(a.select("id", F.col("id").alias("place")), scores, 50).select("id", "score")
 
 
 def d50_longer_content(spark, d):
-    a = _articles(spark, d).select("id", F.substring("text", 1, 100).alias("content"), F.lit("").alias("summary"))
-    body = _articles(spark, d).where("id % 2 = 0").select("id", F.col("text").alias("body"))
+    """Whole texts as contents; bodies are the plain texts of the pages of the same number."""
+    a = _articles(spark, d).select("id", F.col("text").alias("content"), F.lit("").alias("summary"))
+    body = table(spark, d, "pages").select(F.col("page_id").alias("id"), X.html_plain(F.col("html")).alias("body"))
     return B.longer_content(a, body).select("id", F.length("content").alias("n"), "summary")
 
 
 def _titles(spark, d):
-    t = table(spark, d, "documents")
-    title = F.regexp_replace(F.lower(F.substring(F.substring_index("text", ".", 1), 1, 60)), r"[\p{P}\p{S}\s]+", "")
-    return t.select(F.col("doc_id").alias("id"), title.alias("norm"))
+    """The whole titles of all pages."""
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), X.normal_title(X.html_title(F.col("html"))).alias("norm"))
 
 
 def d45_same_titles(spark, d):
@@ -312,15 +312,17 @@ def d41_resolve_names(spark, d):
 
 
 def d42_value_search(spark, d):
-    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    values = table(spark, d, "part").where("p_partkey < 60").select(F.col("p_name").alias("value"), F.col("p_type").alias("value_desc")).distinct()
+    """Names of the parts whose key is divisible by 100, among the values of all parts."""
+    q = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    values = table(spark, d, "part").select(F.col("p_name").alias("value"), F.col("p_type").alias("value_desc")).distinct()
     return M.value_search(q, values, 3)
 
 
 def t6_vector_search(spark, d):
+    """Vectors whose id is divisible by 100, among all vectors."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.concat(F.lit("l"), "label").alias("query"))
-    c = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.concat(F.lit("l"), "label").alias("value"), F.lit("").alias("value_desc"), "vector")
+    c = e.select(F.concat(F.lit("v"), "vec_id").alias("value"), F.concat(F.lit("l"), "label").alias("value_desc"), F.col("embedding").alias("vector"))
     return M.value_search(q, c, 3, vectors=True)
 
 
@@ -328,7 +330,8 @@ _SCENARIOS = [("no delivery", ["nothing delivered", "zero volume"]), ("the cost
 
 
 def d43_scenario_tags(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") == 1, "The cost is high?").when(F.col("turn") == 2, "zero  volume").when(F.col("turn") == 3, "no deliveries").otherwise(F.substring("text", 1, 12)).alias("text"))
+    """The scenario of every turn by its whole text."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
     return M.scenario_tags(t, spark.createDataFrame(_SCENARIOS, "scenario string, names array<string>"), key=["conv_id", "turn"])
 
 
@@ -336,6 +339,7 @@ QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys
 
 _FOLD = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _U = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', {})"
+_PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<!--.*?-->', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<head\\b.*?</head>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 _KEEP = "array_to_string(list_filter(string_split(" + _U.format(4) + ", '&'), lambda p: p <> '' AND NOT {}), '&')"
 _PATH = "CASE WHEN " + _U.format(3) + " = '/' THEN '/' ELSE regexp_replace(" + _U.format(3) + ", '/+$', '') END"
 _CANON = "'https://' || " + _U.format(2) + " || " + _PATH + " || CASE WHEN " + _KEEP.format("lower(split_part(p, '=', 1)) IN (" + ", ".join(f"'{t}'" for t in X.TRACKING) + ")") + " <> '' THEN '?' || " + _KEEP.format("lower(split_part(p, '=', 1)) IN (" + ", ".join(f"'{t}'" for t in X.TRACKING) + ")") + " ELSE '' END"
@@ -343,12 +347,12 @@ _KEPT = _U.format(1) + " || '://' || lower(" + _U.format(2) + ") || " + _PATH +
 _LANG = "CASE WHEN length(COALESCE(text, '')) = 0 THEN 'other' WHEN (length(substr(text, 1, 2000)) - length(regexp_replace(substr(text, 1, 2000), '[一-鿿]', '', 'g'))) / length(substr(text, 1, 2000)) > 0.05 THEN 'zh' WHEN (length(substr(text, 1, 2000)) - length(regexp_replace(substr(text, 1, 2000), '[a-zA-Z]', '', 'g'))) / length(substr(text, 1, 2000)) > 0.30 THEN 'en' ELSE 'other' END"
 _ART = "a AS (SELECT doc_id AS id, source, lang AS category, text, n_chars % 100 / 10 AS quality FROM documents)"
 _FACT = "fact AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS req_day, o_orderpriority AS channel, l_returnflag AS flag, l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-_BRANDED = (1, 3, 4, 5, 6, 7, 8, 9, 10, 13)
+_BRANDED = (1, 3, 4, 5, 6, 8, 9, 10, 13)
 
 ORACLE = {
     "p1_tag_columns": "SELECT c_custkey, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation, 'http://x' AS url FROM customer",
     "p2_tag_map": "SELECT c_custkey, 4 AS n, 'name,nation,seg,url' AS keys, 'seg:' || c_mktsegment || '#nation:' || c_nationkey || '#url:http://x#odd#name:' || c_name AS tag FROM customer",
-    "p3_behaviour_keys": "SELECT event_id, CASE event_id % 18 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END AS event_type, CASE WHEN event_id % 18 IN (" + ", ".join(map(str, _BRANDED)) + ") THEN 'b' || (event_id % 10) END AS brand, CASE WHEN event_id % 18 IN (4, 5, 12) THEN 'm' || (event_id % 10) END AS model FROM events",
+    "p3_behaviour_keys": "SELECT event_id, CASE event_id % 18 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END AS event_type, CASE WHEN event_id % 18 IN (" + ", ".join(map(str, _BRANDED)) + ") THEN 'b' || (event_id % 10) WHEN event_id % 18 = 7 THEN '无明确品牌' END AS brand, CASE event_id % 18 WHEN 0 THEN '官网' WHEN 1 THEN '三车垂媒' END AS channel, CASE WHEN event_id % 18 IN (4, 5, 12) THEN 'm' || (event_id % 10) END AS model FROM events",
     "p4_event_times": "SELECT event_id, strftime(CASE event_id % 4 WHEN 0 THEN date_trunc('hour', CAST(ts AS TIMESTAMP)) WHEN 3 THEN NULL ELSE date_trunc('second', CAST(ts AS TIMESTAMP)) END, '%Y-%m-%d %H:%M:%S') AS t FROM events",
     "p5_conversion_inferred": "SELECT user_id, MAX(CAST(event_type = 'purchase' AS INT)) AS is_converted FROM events GROUP BY 1",
     "p9_payloads": "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, c_mktsegment AS c, CAST(NULL AS VARCHAR) AS missing, c_name AS name, c_name AS app FROM customer",
@@ -359,10 +363,10 @@ ORACLE = {
     "p17_language": f"SELECT doc_id, {_LANG} AS language FROM documents",
     "p18_publish_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-20' WHEN 2 THEN '2023-11-05' WHEN 3 THEN '2023-12-30' END AS date, CASE page_id % 4 WHEN 0 THEN 'field' WHEN 2 THEN 'url_path' WHEN 3 THEN 'content_regex' ELSE 'none' END AS source, page_id % 4 = 0 AS within FROM pages",
     "p19_html_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2023-05-06' WHEN 2 THEN '2022-03-04' END AS date, CASE page_id % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'json_ld' WHEN 2 THEN 'url' ELSE 'none' END AS source FROM pages",
-    "p23_short_summaries": None,
+    "p20_html_fields": f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<meta[^>]+name=[\"'']description[\"''][^>]+content=[\"'']([^\"'']*)', 1), '\\s+', ' ', 'g')) AS description, length({_PLAIN}) AS n_plain FROM pages",
     "p25_prompts": "SELECT c_custkey, 'Rate ' || c_name || ' of ' || c_mktsegment || ' (' || c_nationkey || ').' AS prompt FROM customer",
-    "p26_scorer_checks": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'bad insight_type' WHEN doc_id % 11 = 0 THEN 'no thoughts' WHEN doc_id % 7 < 2 THEN 'fewer than 3 tags' END AS error, CASE WHEN doc_id % 5 > 0 AND doc_id % 11 > 0 AND doc_id % 7 >= 2 THEN array_to_string(list_transform(range(1, CAST(LEAST(doc_id % 7 + 2, 7) AS INT)), lambda i: 't' || i), ',') END AS tags, CASE WHEN doc_id % 13 <= 10 THEN CAST(doc_id % 13 AS DOUBLE) END AS score FROM documents",
-    "p27_quality_totals": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 3 = 0 AND doc_id % 14 <= 10 THEN CAST(doc_id % 14 AS DOUBLE) ELSE ROUND((doc_id % 10) * 0.2::DOUBLE + 1 * 0.1::DOUBLE + 2 * 0.4::DOUBLE + 3 * 0.15::DOUBLE + 4 * 0.1::DOUBLE + 5 * 0.05::DOUBLE, 1) END AS total FROM documents",
+    "p26_scorer_checks": "SELECT doc_id, CASE WHEN length(text) % 5 = 0 THEN 'bad insight_type' WHEN length(text) % 11 = 0 THEN 'no thoughts' WHEN length(text) % 7 < 2 THEN 'fewer than 3 tags' END AS error, CASE WHEN length(text) % 5 > 0 AND length(text) % 11 > 0 AND length(text) % 7 >= 2 THEN array_to_string(list_transform(range(1, CAST(LEAST(length(text) % 7 + 2, 7) AS INT)), lambda i: 't' || i), ',') END AS tags, CASE WHEN length(text) % 13 <= 10 THEN CAST(length(text) % 13 AS DOUBLE) END AS score FROM documents",
+    "p27_quality_totals": "SELECT doc_id, CASE WHEN length(text) % 9 = 0 THEN NULL WHEN length(text) % 3 = 0 AND length(text) % 14 <= 10 THEN CAST(length(text) % 14 AS DOUBLE) ELSE ROUND((length(text) % 10) * 0.2::DOUBLE + 1 * 0.1::DOUBLE + 2 * 0.4::DOUBLE + 3 * 0.15::DOUBLE + 4 * 0.1::DOUBLE + 5 * 0.05::DOUBLE, 1) END AS total FROM documents",
     "s10_upsert": "SELECT c_custkey, c_mktsegment, ROUND(c_acctbal, 2) + CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 0 END AS bal FROM customer",
     "s11_insert_or_ignore": "SELECT c_custkey, c_mktsegment, ROUND(c_acctbal, 2) + 1 AS bal FROM customer WHERE c_custkey % 3 = 0",
     "s12_changed_only": f"SELECT doc_id, sha256({_FOLD.format('text')}) AS content_hash FROM documents WHERE doc_id % 4 < 2",
@@ -373,17 +377,18 @@ ORACLE = {
     "a31_stage_counters": f"WITH {_ART} SELECT CASE WHEN quality < 2 THEN 'low score' WHEN id % 9 = 0 THEN 'skipped' ELSE 'kept' END AS reason, COUNT(*) AS n FROM a GROUP BY 1",
     "w12_quota_top": f"WITH {_ART} SELECT id, category, quality FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY quality DESC, id) AS r FROM a) WHERE r <= CASE category WHEN 'en' THEN 20 WHEN 'fr' THEN 5 ELSE 1000000000 END ORDER BY quality DESC, id LIMIT 60",
     "d47_best_of_group": f"WITH {_ART}, g AS (SELECT *, CASE WHEN id % 5 > 0 THEN id % 50 END AS grp FROM a) SELECT id, grp, quality FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY COALESCE(CAST(grp AS VARCHAR), 'own:' || id) ORDER BY quality DESC, id) AS r FROM g) WHERE r = 1",
-    "t8_scored_or_filled": f"WITH {_ART} SELECT id, CASE WHEN id % 40 = 0 THEN quality END AS score FROM a ORDER BY score DESC NULLS LAST, id LIMIT 50",
-    "d45_same_titles": r"WITH t AS (SELECT doc_id AS id, regexp_replace(lower(substr(split_part(text, '.', 1), 1, 60)), '[\p{P}\p{S}\s]+', '', 'g') AS norm FROM documents), p AS (SELECT a.id, MIN(b.id) AS k FROM t a JOIN t b ON a.norm <> '' AND b.norm <> '' AND abs(length(a.norm) - length(b.norm)) <= 6 AND levenshtein(a.norm, b.norm) <= 0.1::DOUBLE * greatest(length(a.norm), length(b.norm)) + 1e-9 GROUP BY a.id) SELECT t.id, COALESCE(k, t.id) AS keep FROM t LEFT JOIN p USING (id)",
-    "d46_article_stages": f"WITH {_ART}, v AS (SELECT id, category, quality, CAST(id % 13 AS DOUBLE) AS score FROM a WHERE id % 4 > 0 AND {_LANG} IN ('zh', 'en') AND id % 13 BETWEEN 6 AND 10) SELECT id, category, quality, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY quality DESC, id) AS r FROM v) WHERE r <= CASE category WHEN 'en' THEN 30 ELSE 1000000000 END ORDER BY quality DESC, id LIMIT 50",
-    "d48_relevance_gate": "SELECT doc_id, CAST(doc_id % 13 AS DOUBLE) AS score FROM documents WHERE doc_id % 13 BETWEEN 6 AND 10",
+    "t8_scored_or_filled": f"WITH {_ART} SELECT id, CASE WHEN quality >= 9.7 THEN quality END AS score FROM a ORDER BY score DESC NULLS LAST, id LIMIT 50",
+    "d43_scenario_tags": r"""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(COALESCE(text, '')), '[\s()（）_—,，。！？!?:：;''"“”‘’/\\-]+', '', 'g') AS t FROM conversations), n(scenario, n, how) AS (VALUES ('no delivery', 'nodelivery', 1), ('no delivery', 'nothingdelivered', 2), ('no delivery', 'zerovolume', 2), ('the cost is high', 'thecostishigh', 1), ('the cost is high', 'expensive', 2), ('the and of', 'theandof', 1), ('the and of', 'into', 2)), s AS (SELECT DISTINCT t, scenario, how, ROUND(CASE WHEN t = '' THEN 0 WHEN t = n THEN 1 WHEN contains(t, n) OR contains(n, t) THEN least(length(t), length(n)) / greatest(length(t), length(n)) ELSE 1 - levenshtein(t, n) / greatest(length(t), length(n)) END, 6) AS score FROM t, n), b AS (SELECT t, arg_min((scenario, CASE WHEN score = 1 THEN how ELSE 3 END, score), (CASE WHEN score = 1 THEN how ELSE 3 END, -score, scenario)) AS m FROM s WHERE score >= 0.45 GROUP BY t) SELECT conv_id, turn, m[1] AS scenario, CASE m[2] WHEN 1 THEN 'exact' WHEN 2 THEN 'alias' WHEN 3 THEN 'fuzzy' ELSE 'none' END AS "match", m[3] AS score FROM t LEFT JOIN b USING (t)""",
+    "d45_same_titles": r"WITH t AS (SELECT page_id AS id, regexp_replace(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '[\p{P}\p{S}\s]+', '', 'g') AS norm FROM pages), p AS (SELECT a.id, MIN(b.id) AS k FROM t a JOIN t b ON a.norm <> '' AND b.norm <> '' AND abs(length(a.norm) - length(b.norm)) <= 6 AND levenshtein(a.norm, b.norm) <= 0.1::DOUBLE * greatest(length(a.norm), length(b.norm)) + 1e-9 GROUP BY a.id) SELECT t.id, COALESCE(k, t.id) AS keep FROM t LEFT JOIN p USING (id)",
+    "d46_article_stages": f"WITH {_ART}, v AS (SELECT id, category, quality, CAST(length(text) % 13 AS DOUBLE) AS score FROM a WHERE id % 4 > 0 AND {_LANG} IN ('zh', 'en') AND length(text) % 13 BETWEEN 6 AND 10) SELECT id, category, quality, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY quality DESC, id) AS r FROM v) WHERE r <= CASE category WHEN 'en' THEN 30 ELSE 1000000000 END ORDER BY quality DESC, id LIMIT 50",
+    "d48_relevance_gate": "SELECT doc_id, CAST(length(text) % 13 AS DOUBLE) AS score FROM documents WHERE length(text) % 13 BETWEEN 6 AND 10",
     "d37_batch_labelling": "SELECT conv_id, turn, CASE WHEN length(text) % 10 = 0 THEN NULL WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS label, CASE WHEN length(text) % 10 > 0 THEN ROUND(length(text) / 100, 2) END AS score, CASE WHEN length(text) % 10 = 0 THEN 'failed' ELSE 'success' END AS prediction_status, CASE WHEN length(text) % 10 = 0 THEN 'no answer' END AS error_message, 'stub' AS llm_model FROM conversations",
     "d40_event_time_metrics": f"WITH {_FACT} SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS date, channel, ROUND(SUM(l_quantity), 2) AS impressions, ROUND(SUM(l_extendedprice), 2) AS cost, ROUND(SUM(l_extendedprice) / SUM(l_quantity), 2) AS cpi FROM fact WHERE day BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' AND flag <> 'R' GROUP BY 1, 2",
     "d40_request_time_metrics": f"WITH {_FACT} SELECT CAST(req_day AS VARCHAR) AS req_day, channel, ROUND(SUM(l_quantity), 2) AS impressions, ROUND(SUM(l_extendedprice), 2) AS cost FROM fact WHERE day BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' + 90 AND req_day BETWEEN DATE '2000-01-01' AND DATE '2000-03-31' GROUP BY 1, 2",
     "a29_ratio_metrics": f"WITH {ADS_SQL} SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS date, app, CAST(SUM(imp) AS BIGINT) AS imp, CAST(SUM(click) AS BIGINT) AS click, CAST(SUM(conv) AS BIGINT) AS conv, ROUND(SUM(click) / NULLIF(SUM(imp), 0), 6) AS ctr, ROUND(SUM(conv) / NULLIF(SUM(click), 0), 6) AS cvr FROM ads WHERE day BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1, 2",
     "t5_truncated": f"WITH {ADS_SQL}, g AS (SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS date, app, CAST(SUM(imp) AS BIGINT) AS imp FROM ads WHERE day BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1, 2) SELECT *, (SELECT COUNT(*) FROM g) AS total FROM g ORDER BY imp DESC, date, app LIMIT 100",
     "d41_resolve_names": "WITH v AS (SELECT DISTINCT CASE o_orderkey % 5 WHEN 0 THEN 'minor' WHEN 1 THEN 'Very Urgent!' WHEN 2 THEN 'unknown' ELSE o_orderpriority END AS value FROM orders) SELECT value, CASE WHEN value IN ('minor', '5-LOW') THEN '5-LOW' WHEN value IN ('Very Urgent!', '1-URGENT') THEN '1-URGENT' WHEN value = '2-HIGH' THEN '2-HIGH' END AS code, CASE WHEN value IN ('5-LOW', '1-URGENT', '2-HIGH') THEN 1 WHEN value = 'minor' THEN 2 WHEN value = 'Very Urgent!' THEN 3 END AS how FROM v",
-    "d42_value_search": r"WITH c AS (SELECT DISTINCT p_name AS value, p_type AS value_desc FROM part WHERE p_partkey < 60), ct AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(value || ' ' || value_desc), '[\s,，;；/_-]+'), lambda t: t <> '')) AS t FROM c), q AS (SELECT p_partkey AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[\s,，;；/_-]+'), lambda t: t <> '')) AS qs FROM part), s AS (SELECT query_id, value, value_desc, ROUND(len(list_filter(qs, lambda x: len(list_filter(t, lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(qs), 4) AS similarity FROM q, ct), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, value) AS rank FROM s) SELECT query_id, value, similarity, rank, rank = 1 AND similarity >= 0.5 AS fixed FROM r WHERE rank <= 3",
-    "t6_vector_search": "WITH c AS (SELECT 'l' || label AS value, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label), s AS (SELECT vec_id AS query_id, value, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) * 0.7::DOUBLE + CASE WHEN contains(value, 'l' || label) OR contains('l' || label, value) THEN 0.3::DOUBLE ELSE 0 END, 4) AS similarity FROM embeddings, c WHERE vec_id % 100 = 0), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, value) AS rank FROM s) SELECT query_id, value, similarity, rank, rank = 1 AND similarity >= 0.5 AS fixed FROM r WHERE rank <= 3",
+    "d42_value_search": r"WITH c AS (SELECT DISTINCT p_name AS value, p_type AS value_desc FROM part ), ct AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(value || ' ' || value_desc), '[\s,，;；/_-]+'), lambda t: t <> '')) AS t FROM c), q AS (SELECT p_partkey AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[\s,，;；/_-]+'), lambda t: t <> '')) AS qs FROM part WHERE p_partkey % 100 = 0), s AS (SELECT query_id, value, value_desc, ROUND(len(list_filter(qs, lambda x: len(list_filter(t, lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(qs), 4) AS similarity FROM q, ct), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, value) AS rank FROM s) SELECT query_id, value, similarity, rank, rank = 1 AND similarity >= 0.5 AS fixed FROM r WHERE rank <= 3",
+    "t6_vector_search": "WITH c AS (SELECT 'v' || vec_id AS value, 'l' || label AS l, embedding AS v FROM embeddings), s AS (SELECT vec_id AS query_id, value, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) * 0.7::DOUBLE + CASE WHEN contains(l, 'l' || label) OR contains('l' || label, l) THEN 0.3::DOUBLE ELSE 0 END, 4) AS similarity FROM embeddings, c WHERE vec_id % 100 = 0), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, value) AS rank FROM s) SELECT query_id, value, similarity, rank, rank = 1 AND similarity >= 0.5 AS fixed FROM r WHERE rank <= 3",
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}

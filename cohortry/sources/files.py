@@ -14,11 +14,23 @@ def read_users(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     return spark.read.schema(USER_SCHEMA).option("multiLine", not lines).json(path)
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """``rows``, read from files, with ``_place``: file name, block and place in it, which order lines as they stand.
+
+    Row numbers alone don't: files are dealt to tasks by size.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias("_place"))
+
+
 def labelled_sets(positive: DataFrame, negative: DataFrame) -> DataFrame:
-    """Both sets with ``is_lead``; of a user's records the first counts, positive before negative."""
-    both = positive.withColumn("is_lead", F.lit(1)).unionByName(negative.withColumn("is_lead", F.lit(0)))
-    r = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("is_lead"), "_order"))
-    return both.withColumn("_order", F.monotonically_increasing_id()).withColumn("_r", r).where("_r = 1").drop("_r", "_order")
+    """Both sets with ``is_lead``; of a user's records the first counts, positive before negative.
+
+    Both are frames just read from files, whose order (names of files, then lines) is that of the records.
+    """
+    both = with_place(positive).withColumn("is_lead", F.lit(1)).unionByName(with_place(negative).withColumn("is_lead", F.lit(0)))
+    r = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("is_lead"), "_place"))
+    return both.withColumn("_r", r).where("_r = 1").drop("_r", "_place")
 
 
 def exploded_events(users: DataFrame) -> DataFrame:
@@ -28,10 +40,9 @@ def exploded_events(users: DataFrame) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Profiles from JSON lines or tab-separated text; of equal keys the last line counts."""
-    rows = spark.read.json(path) if kind == "json" else spark.read.csv(path, sep="\t", header=True)
-    rows = rows.withColumn("_order", F.monotonically_increasing_id())
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("_order")))).where("_r = 1").drop("_r", "_order")
+    """Profiles from JSON lines or tab-separated text; of equal keys the last line of the last file (by name) counts."""
+    rows = with_place(spark.read.json(path) if kind == "json" else spark.read.csv(path, sep="\t", header=True))
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("_place")))).where("_r = 1").drop("_r", "_place")
 
 
 def load_summary(profiles: DataFrame, behaviours: DataFrame, label: str = "is_converted") -> DataFrame:

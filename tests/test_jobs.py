@@ -72,3 +72,22 @@ def test_bad_event_lines_are_rejected(spark):
 def test_triples_escape_literals(spark, tmp_path):
     f = spark.createDataFrame([(1, 'a "b"\n\\', None)], "k int, x string, y string")
     assert [tuple(r) for r in files.triples(f, "k", ["x", "y"]).collect()] == [("<urn:entity:1>", "<urn:entity:p:x>", '"a \\"b\\"\\n\\\\"')]
+
+
+def test_last_line_of_the_last_file_counts(spark, tmp_path):
+    from cohortry.sources import files as S
+
+    (tmp_path / "a.tsv").write_text("user_id\tv\n1\tfirst\n2\told\n2\tnewer\n")
+    (tmp_path / "b.tsv").write_text("user_id\tv\n" + "".join(f"x{i}\tfill\n" for i in range(500)) + "1\tlast\n")
+    got = {r["user_id"]: r["v"] for r in S.read_profiles(spark, str(tmp_path), "tsv").where("user_id in ('1', '2')").collect()}
+    assert got == {"1": "last", "2": "newer"}
+
+
+def test_every_row_is_split_once_and_repeatably(spark):
+    from cohortry.operators import lift as L
+
+    rows = spark.range(3000).selectExpr("id user_id", "if(id < 2, null, id % 3) c")
+    got = L.hash_split(rows, "user_id", "c", 0.25)
+    by = {(r["c"], r["split"]): r["count"] for r in got.groupBy("c", "split").count().collect()}
+    assert by == {(0, "val"): 249, (0, "train"): 750, (1, "val"): 249, (1, "train"): 750, (2, "val"): 250, (2, "train"): 750, (None, "val"): 1, (None, "train"): 1}
+    assert got.exceptAll(L.hash_split(rows, "user_id", "c", 0.25)).count() == 0

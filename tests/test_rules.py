@@ -66,18 +66,20 @@ leaf = st.sampled_from([c[0] for c in CASES])
 tree = st.recursive(leaf, lambda s: st.one_of(st.lists(s, min_size=1, max_size=3).map(lambda x: {"all": x}), st.lists(s, min_size=1, max_size=3).map(lambda x: {"any": x}), s.map(lambda x: {"not": x})), max_leaves=5)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rule=tree)
 def test_algebra_over_all_users(spark, small, rule):
     profile, raw = small
     known = {str(r): w for r, w in CASES}
 
     def value(r):
+        if str(r) in known:
+            return known[str(r)]
         if "all" in r:
             return set.intersection(*map(value, r["all"]))
         if "any" in r:
             return set.union(*map(value, r["any"]))
-        return {1, 2, 3, 4} - value(r["not"]) if "not" in r else known[str(r)]
+        return {1, 2, 3, 4} - value(r["not"])
 
     frame = R.rule_frame(profile, {"r": rule, "not r": {"not": rule}}, raw)
     got = {(r["user_id"], r["rule"]) for r in R.matches(frame, ["r", "not r"]).collect()}
