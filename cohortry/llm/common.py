@@ -127,6 +127,14 @@ def linked_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``frame`` has no such column (names differ by more than case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df``, a written table of a few narrow columns, marked for broadcast if it has at most BROADCAST_IDS rows."""
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
@@ -134,8 +142,9 @@ def small_side(df: DataFrame) -> DataFrame:
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id (null is an id) isn't in the one column of ``ids``."""
-    gone = materialize(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct(), "gone")
-    return docs.join(small_side(gone), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = materialize(ids.select(F.col(ids.columns[0]).alias(name)).distinct(), "gone")
+    return docs.join(small_side(gone), docs[id_col].eqNullSafe(F.col(name)), "left_anti")
 
 
 def text_key(text_col: str):
@@ -156,9 +165,10 @@ def keep_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Da
         "id", "key", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))).alias("stays")
     )
     told = materialize(told.groupBy("id", "key", "stays").count(), "told")
-    gone = materialize(told.where("not stays").select(F.col("id").alias("_id"), F.col("key").alias("_key")), "gone")
-    keyed = docs.withColumn("_text_key", text_key(text_col))
-    kept = keyed.join(small_side(gone), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti")
+    own, gone_id, gone_key = (free_name(docs, n) for n in ("_text_key", "_gone_id", "_gone_key"))
+    gone = materialize(told.where("not stays").select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)), "gone")
+    keyed = docs.withColumn(own, text_key(text_col))
+    kept = keyed.join(small_side(gone), keyed[id_col].eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_key)), "left_anti")
     if told.where("stays and count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "_text_key"])
-    return kept.drop("_text_key")
+        kept = kept.dropDuplicates([id_col, own])
+    return kept.drop(own)

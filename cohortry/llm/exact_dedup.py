@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import free_name, materialize, small_side
 
 #: A chunk ends after the first space, from 256 characters on, before six of these letters and digits (about half
 #: of all, so in prose one space in some seventy does); where none comes within 4,096 characters, there.
@@ -80,10 +80,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``exact_groups``.  Rows are told apart by id and text."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    gone_id, gone_sha = free_name(docs, "_gone_id"), free_name(docs, "_gone_sha")
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias(gone_id), F.col("text_sha256").alias(gone_sha))
     gone = small_side(materialize(gone.distinct(), "gone"))
     sha = F.sha2(normalized(docs[text_col]), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col(gone_id)) & (sha == F.col(gone_sha)), "left_anti")
 
 
 #: The same groups as one DuckDB query over ``documents``.

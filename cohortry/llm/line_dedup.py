@@ -9,20 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, tidy
+from .common import free_name, materialize, small_batches, tidy
 
 #: Keys shorter than this many code points are never dropped.
 MIN_CHARS = 20
-#: A filter has a bit for so many bytes of text (lines of 250 bytes: 16 bits a line) ...
+#: Hashes are dealt to ranges; a range's filters have a bit for so many bytes of text (lines of 250 bytes: 16 bits a line).
 BYTES_PER_BIT = 16
-#: ... but at most so many bits (32 MB), which is what gets broadcast.  Fuller filters suspect more, and miss nothing.
-MAX_BITS = 1 << 28
-#: Beyond so many times MAX_BITS a filter would suspect nearly all: then all keys go to the exact step.
-HOPELESS = 4
+#: Text that a range stands for: as little as makes up RANGES ranges, between these bounds (two filters of 16 MB at most).
+RANGES, LEAST_BYTES, MOST_BYTES = 64, 1 << 22, 1 << 30
 PROBES = 4
-#: Filters travel in pieces of so many bits.
-SEGMENT = 1 << 19
-#: Confirmed repeats are broadcast up to this number (24 bytes each), and joined beyond it.
+#: Suspected hashes (8 bytes each) and confirmed repeats (24 bytes each) are broadcast up to these numbers, and joined beyond.
+BROADCAST_HASHES = 4_000_000
 BROADCAST_KEYS = 1_000_000
 
 
@@ -67,43 +64,16 @@ class BloomPair:
             out &= ((filter_[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
         return out
 
-    def add(self, hashes) -> None:
-        """Hashes of a batch, each once for every document that holds it."""
+    def add(self, hashes, sure: bool = False):
+        """Takes distinct ``hashes`` in; gives those seen before that weren't given yet (``sure``: also those new here)."""
         import numpy as np
 
-        one, n = np.unique(hashes, return_counts=True)
-        again = one[(n > 1) | self.holds(self.once, one)]
-        for filter_, hashes in ((self.twice, again), (self.once, one)):
-            for p in self.places(hashes, self.bits):
+        again = hashes if sure else hashes[self.holds(self.once, hashes)]
+        told = again[~self.holds(self.twice, again)]
+        for filter_, new in ((self.twice, told), (self.once, hashes)):
+            for p in self.places(new, self.bits):
                 np.bitwise_or.at(filter_, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
-
-    def segments(self) -> Iterator[tuple[int, bytes, bytes]]:
-        for k in range(0, max(1, self.bits // SEGMENT)):
-            part = slice(k * SEGMENT // 8, (k + 1) * SEGMENT // 8)
-            if self.once[part].any():
-                yield k, _pack(self.once[part]), _pack(self.twice[part])
-
-
-def _pack(packed) -> bytes:
-    """Packed bits as the places of ones where they are few, else as they are."""
-    import numpy as np
-
-    filled = np.flatnonzero(packed)
-    at = np.flatnonzero(np.unpackbits(packed[filled], bitorder="little"))
-    at = filled[at >> 3] * 8 + (at & 7)
-    return b"p" + at.astype("<u4").tobytes() if len(at) * 4 < len(packed) else b"b" + packed.tobytes()
-
-
-def _unpack(data: bytes, size: int):
-    """The packed bits again; ``size`` in bits."""
-    import numpy as np
-
-    if data[:1] == b"b":
-        return np.frombuffer(data, np.uint8, offset=1).copy()
-    out = np.zeros(size // 8, np.uint8)
-    at = np.frombuffer(data, "<u4", offset=1)
-    np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    return out
+        return told
 
 
 def _hashes(texts, min_chars: int):
@@ -118,57 +88,65 @@ def _hashes(texts, min_chars: int):
     return np.array(found, np.uint64)
 
 
-def _suspects(docs: DataFrame, text_col: str, min_chars: int):
-    """The packed filter of keys seen at least twice; None where no filter of the allowed size would help."""
-    import numpy as np
+def _suspects(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+    """The written table ``h`` of hashes of keys that two rows or more hold, and a few others.
 
+    Hashes alone travel, each once from a batch of rows (with those held twice in it apart), to the range of the hash
+    space they lie in.  Each range has a pair of filters of its own: a hash that the first holds goes into the
+    second, and is told when it wasn't there yet.  The number of ranges grows with the text, their filters don't.
+    """
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    want = size // BYTES_PER_BIT
-    if want > HOPELESS * MAX_BITS:
-        return None
-    bits = min(MAX_BITS, 1 << max(16, int(want).bit_length()))
-    piece = min(bits, SEGMENT)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = BloomPair(bits)
+    ranges = max(1, -(-size // min(MOST_BYTES, max(LEAST_BYTES, size // RANGES))))
+    bits = 1 << max(16, (size // ranges // BYTES_PER_BIT).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for b in batches:
-            pair.add(_hashes(b.column(0), min_chars))
-        for k, once, twice in pair.segments():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], names=["k", "once", "twice"])
+            one, n = np.unique(_hashes(b.column(0), min_chars), return_counts=True)
+            # Ranges are cut from the high bits; filters use others, mixed again.
+            of = ((one >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            order = np.lexsort((n > 1, of))
+            one, of, twice = one[order], of[order], (n > 1)[order]
+            cut = np.flatnonzero((of[1:] != of[:-1]) | (twice[1:] != twice[:-1])) + 1
+            starts = np.concatenate(([0], cut)).astype(np.int64)[: len(one)]
+            parts = np.split(one, cut) if len(one) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of[starts].astype(np.int32), pa.int32()), pa.array(twice[starts], pa.bool_()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["k", "twice", "hashes"],
+            )
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        pairs: dict[int, BloomPair] = {}  # of a partition's ranges, one after the other
+        last = None
         for b in batches:
-            for k, o, t in zip(*(c.to_pylist() for c in b.columns)):
-                o, t = _unpack(o, piece), _unpack(t, piece)
-                if k in once:
-                    twice[k] |= t | (once[k] & o)
-                    once[k] |= o
-                else:
-                    once[k], twice[k] = o, t
-        for k, t in twice.items():
-            if t.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([t.tobytes()], pa.binary())], names=["k", "twice"])
-
-    parts = docs.select(text_col).mapInArrow(tidy(build), "k int, once binary, twice binary")
-    merged = parts.repartition("k").mapInArrow(tidy(merge), "k int, twice binary").collect()  # 32 MB at most
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged:
-        out[row["k"] * (SEGMENT // 8) :][: piece // 8] = np.frombuffer(row["twice"], np.uint8)
-    return out
+            for k, twice, packed in zip(*(c.to_pylist() for c in b.columns)):
+                if k != last:
+                    pairs, last = {k: BloomPair(bits)}, k
+                told = pairs[k].add(np.frombuffer(packed, np.uint64), twice)
+                if len(told):
+                    yield pa.RecordBatch.from_arrays([pa.array(told.view(np.int64), pa.int64())], names=["h"])
+
+    parts = docs.select(text_col).mapInArrow(tidy(deal), "k int, twice boolean, hashes binary")
+    owned = parts.repartition(ranges, "k").sortWithinPartitions("k")
+    return materialize(owned.mapInArrow(tidy(tell), "h long"), "suspects")
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(digest, keep)`` of every key found in at least ``min_docs`` rows; keep is the largest id holding it.
 
     Each row of ``docs`` is a document.  Rows with a null id count, but name a key only if no other row
-    holds it.  ``min_docs`` is 2 at least.
+    holds it.  ``min_docs`` is 2 at least.  Keys are told apart by 128 bits of their SHA-256.
     """
     kind = docs.schema[id_col].dataType
-    sc = docs.sparkSession.sparkContext
     suspects = _suspects(docs, text_col, min_chars)
-    shared = None if suspects is None else sc.broadcast(suspects)
+    shared = None
+    if suspects.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        import numpy as np
+
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(suspects.toArrow()["h"].to_numpy()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -180,15 +158,18 @@ def repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = MIN_CHAR
                 own = list({k for k in keys_of(t.as_py(), min_chars)[1] if k is not None})
                 ids += [i] * len(own)
                 keys += own
-            if shared is not None and keys:
-                hit = BloomPair.holds(shared.value, np.array([xxh3_64_intdigest(k) for k in keys], np.uint64)).tolist()
-                ids = [i for i, h in zip(ids, hit) if h]
-                keys = [k for k, h in zip(keys, hit) if h]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(keys, pa.binary())], names=["id", "key"])
+            h = np.array([xxh3_64_intdigest(k) for k in keys], np.uint64).view(np.int64)
+            if shared is not None:
+                known = shared.value
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                hit = np.flatnonzero(known[at] == h) if len(known) else []
+                ids, keys, h = [ids[i] for i in hit], [keys[i] for i in hit], h[hit] if len(hit) else h[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, b.column(0).type), pa.array([_digest(k) for k in keys], pa.binary())], names=["h", "id", "digest"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(emit), f"id {kind.simpleString()}, key binary")
-    exact = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
-    return exact.select(F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("digest"), "keep")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(emit), f"h long, id {kind.simpleString()}, digest binary")
+    if shared is None:
+        found = found.join(suspects.distinct(), "h", "left_semi")
+    return found.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("digest", "keep")
 
 
 def _digest(key: bytes) -> bytes:
@@ -203,10 +184,11 @@ def _plan(docs: DataFrame, repeats: DataFrame, min_chars: int, id_col: str, text
     """
     import numpy as np
 
-    if repeats.count() <= BROADCAST_KEYS:
-        rows = sorted((bytes(r["digest"]), r["keep"]) for r in repeats.collect())
-        high = np.array([int.from_bytes(d[:8], "big") for d, _ in rows], np.uint64)
-        return docs, docs.sparkSession.sparkContext.broadcast((high, [d for d, _ in rows], [k for _, k in rows])), None
+    if repeats.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        rows = repeats.toArrow().sort_by("digest")
+        names = rows["digest"].to_pylist()
+        high = np.frombuffer(b"".join(d[:8] for d in names), ">u8").astype(np.uint64)
+        return docs, docs.sparkSession.sparkContext.broadcast((high, names, rows["keep"].to_pylist())), None
     kind = docs.schema[id_col].dataType.simpleString()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +203,10 @@ def _plan(docs: DataFrame, repeats: DataFrame, min_chars: int, id_col: str, text
             )
 
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(lines), f"id {kind}, digest binary")
-    drops = held.join(repeats, "digest").where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id").agg(F.collect_set("digest").alias("_dropped"))
-    with_drops = docs.join(drops.withColumnRenamed("id", "_drop_id"), docs[id_col].eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
-    return with_drops, None, "_dropped"
+    drops = held.join(repeats, "digest").where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id").agg(F.collect_set("digest").alias("dropped"))
+    of, extra = free_name(docs, "_drop_id"), free_name(docs, "_dropped")
+    with_drops = docs.join(drops.select(F.col("id").alias(of), F.col("dropped").alias(extra)), docs[id_col].eqNullSafe(F.col(of)), "left").drop(of)
+    return with_drops, None, extra
 
 
 def _kept(text: str | None, row_id, min_chars: int, table, dropped: set | None) -> tuple[int, int, bytes]:

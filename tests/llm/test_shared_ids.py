@@ -8,5 +8,6 @@ WANT = [("7", "a b c d"), ("None", "q r s t"), ("None", "u v w x"), ("3", "k l m
 
 @pytest.mark.parametrize("dedup", [exact_dedup.exact_dedup, simhash.near_dedup, near_copies.near_copies])
 def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark, dedup):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    clash = ["_gone_id", "_gone_key", "_gone_sha", "_text_key", "_id", "_key"]
+    docs = spark.createDataFrame([(*r, *range(len(clash))) for r in ROWS], "doc_id long, text string, " + ", ".join(f"{c} int" for c in clash))
     assert sorted((str(r["doc_id"]), r["text"]) for r in dedup(docs).collect()) == sorted(WANT)
