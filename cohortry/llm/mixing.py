@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import free_name, materialize, small_side
 
 #: Rank buckets per source, so that no window orders more than about this many rows.
 BUCKET_ROWS = 1_000
@@ -51,6 +51,23 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, m
     )
 
 
+def inclusion_scale(sizes: DataFrame) -> DataFrame:
+    """``(source, scale, certain)`` from ``sizes(source, size, n, wanted)``, one row for each source and size.
+
+    A document's inclusion probability is ``scale * size``, and 1 where that is more; ``scale`` makes the expected words
+    taken ``wanted``.  ``certain`` are the words of the documents whose probability is 1.  With sizes in falling order,
+    those before the first whose probability is then below 1 are certain.
+    """
+    falling = W.partitionBy("source").orderBy(F.desc("size"))
+    words = (F.col("n") * F.col("size")).cast("decimal(38,0)")
+    before = F.coalesce(F.sum(words).over(falling.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("decimal(38,0)"))
+    squares = F.sum(words * F.col("size")).over(falling.rowsBetween(W.currentRow, W.unboundedFollowing))
+    scaled = sizes.where("size > 0").withColumn("certain", before.cast("double")).withColumn("scale", (F.col("wanted") - F.col("certain")) / squares.cast("double"))
+    fits = scaled.where(F.col("scale") * F.col("size") < 1)
+    best = fits.groupBy("source").agg(F.max(F.struct("size", "scale", "certain")).alias("m"))
+    return best.select("source", "m.scale", "m.certain")
+
+
 def mix(
     docs: DataFrame,
     weights: list[float] = (3, 1, 2),
@@ -63,11 +80,12 @@ def mix(
 ) -> DataFrame:
     """``(id, size, source_size, target, taken)`` for every row.
 
-    Every document of a source is due ``target / source_size`` copies: the whole part is certain.
-    For the rest documents are ranked by Pareto's statistic, random odds over inclusion odds
-    (the inclusion probability is the fraction due), and are taken from the smallest on until the words
-    taken come nearest to the source's remaining words.  Ranks of a source are
-    cut at values spread so that no window orders more than about BUCKET_ROWS rows: whole buckets before
+    Every document of a source is due ``target / source_size`` copies: the whole part is certain.  One more copy goes to
+    documents with probability proportional to size, so that the expected words are the source's remaining
+    ones; where that reaches 1 the copy is certain too.  The others are ranked by Pareto's statistic, their random odds over
+    their own inclusion odds, and are taken from the smallest on until the words
+    taken come nearest to what remains.  Ranks of a source (as x / (1 + x), which are spread over 0 to 1) are
+    cut in buckets of about BUCKET_ROWS rows: whole buckets before
     the boundary are in, whole buckets after it out, and only the boundary bucket is ordered.
 
     The random numbers are digests of the id, so reruns agree; rows with equal ids are ordered by size.
@@ -92,24 +110,28 @@ def mix(
         .withColumn("part", F.col("due") - F.col("whole")),
         "sources",
     )
-    named = sources.select(F.col("source").alias("s"), "source_size", "target", "whole", "part", "buckets")
-    u = uniform(F.col("id"), seed)
+    named = sources.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "s")
+    by_size = sized.groupBy("source", "size").agg(F.count("*").alias("n")).join(F.broadcast(named.where("part > 0").select("s", "wanted")), F.col("source").eqNullSafe(F.col("s")))
+    scales = materialize(inclusion_scale(by_size.select("source", "size", "n", "wanted")).withColumnRenamed("source", "z"), "scales")
+    named = materialize(named.join(scales, F.col("s").eqNullSafe(F.col("z")), "left").drop("z"), "named")
+    u, p = uniform(F.col("id"), seed), F.col("scale") * F.col("size")
     ranked = (
-        sized.join(named, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("u", u)
-        .withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
-        # Within a source the inclusion odds are equal, so the statistic rises with u and buckets of u are buckets of ranks.
-        .withColumn("rank", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))))
-        .select("id", "source", "size", "source_size", "target", "whole", "part", "bucket", "rank")
+        sized.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s")))  # a row for each source
+        .withColumn("sure", F.coalesce(p >= 1, F.lit(False)))
+        .withColumn("whole", F.col("whole") + F.col("sure").cast("int"))
+        .withColumn("rank", F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p))))
+        .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("buckets")))
+        .select("id", "source", "size", "source_size", "target", "whole", "bucket", "rank", (F.col("wanted") - F.col("certain")).alias("rest"))
     )
     ranked = materialize(ranked, "ranked")
-    sums = ranked.where("part > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("whole").alias("whole"))
-    running = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    cut = (
-        sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-        .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size") - F.col("before"))
-        .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "words", "left")
-    )
+    sums = ranked.where("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
+    # Running sums over blocks of buckets, then within each.
+    sums = sums.withColumn("block", F.floor(F.col("bucket") / 1000))
+    blocks = sums.groupBy(F.col("source").alias("s"), F.col("block").alias("k")).agg(F.sum("words").alias("words"))
+    blocks = blocks.select("s", "k", F.coalesce(F.sum("words").over(W.partitionBy("s").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("words").over(W.partitionBy("source", "block").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = sums.withColumn("within", within).join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
+    cut = cut.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "words", (F.col("rest") - F.col("earlier") - F.col("within")).alias("left"))
     return _take(ranked, cut, id_col)
 
 
@@ -119,9 +141,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat an id share a decision (the most copies any of them gets); texts without
     words are left out.  A column named like ``copies_col`` is replaced.
     """
+    docs = docs.drop(copies_col)
     taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
-    copies = materialize(taken.groupBy(F.col(id_col).alias("_taken")).agg(F.max((F.col("taken") / F.col("size")).cast("long")).alias(copies_col)), "copies")
-    return docs.drop(copies_col).join(small_side(copies), docs[id_col].eqNullSafe(F.col("_taken"))).where(n_words(F.col(text_col)) > 0).drop("_taken")
+    name = free_name(docs, "_taken")
+    copies = materialize(taken.groupBy(F.col(id_col).alias(name)).agg(F.max((F.col("taken") / F.col("size")).cast("long")).alias(copies_col)), "copies")
+    # A text has words if anything but white space is left of it.
+    return docs.join(small_side(copies), docs[id_col].eqNullSafe(F.col(name))).where(F.trim(F.translate(text_col, "\t\n\x0b\x0c\r", "     ")) != "").drop(name)
 
 
 def _take(ranked: DataFrame, cut: DataFrame, id_col: str) -> DataFrame:
@@ -159,13 +184,25 @@ WITH sized AS (
 ), due AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS whole,
          CASE WHEN source_size = 0 THEN 0 ELSE target / source_size - floor(target / source_size) END AS part FROM targets
+), hist AS (
+  SELECT d.source, s.size, COUNT(*) AS n, any_value(d.target - d.whole * d.source_size) AS wanted
+  FROM sized s JOIN due d ON s.source IS NOT DISTINCT FROM d.source WHERE d.part > 0 AND s.size > 0 GROUP BY 1, 2
+), scaled AS (
+  SELECT source, size, wanted,
+         CAST(COALESCE(SUM(CAST(n AS HUGEINT) * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS certain,
+         CAST(SUM(CAST(n AS HUGEINT) * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS squares FROM hist
+), scale AS (
+  SELECT source, arg_max((wanted - certain) / squares, size) AS scale, arg_max(certain, size) AS certain FROM scaled WHERE (wanted - certain) / squares * size < 1 GROUP BY 1
 ), drawn AS (
-  SELECT s.doc_id, s.size, d.*, (CAST('0x' || substr(md5('mix:' || COALESCE(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN due d ON s.source IS NOT DISTINCT FROM d.source
+  SELECT s.doc_id, s.size, d.*, COALESCE(c.scale * s.size, 0) AS p, target - whole * source_size - c.certain AS rest,
+         (CAST('0x' || substr(md5('mix:' || COALESCE(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM sized s JOIN due d ON s.source IS NOT DISTINCT FROM d.source LEFT JOIN scale c ON c.source IS NOT DISTINCT FROM s.source
+), ordered AS (
+  SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM drawn
 ), summed AS (
-  SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM drawn
+  SELECT *, SUM(CASE WHEN rank IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank NULLS FIRST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ordered
 )
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN part > 0 AND upto - size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN p >= 1 OR (rank IS NOT NULL AND upto - size / 2.0::DOUBLE <= rest) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM summed
 """

@@ -23,6 +23,27 @@ def test_taken_words_come_near_the_targets(spark):
     assert by.target.sum() == pytest.approx(1.5 * by["size"].sum())
 
 
+def test_longer_documents_are_likelier_as_their_probabilities_tell(spark):
+    sizes = [1 + i % 40 for i in range(400)] + [900, 700]
+    docs = spark.createDataFrame([(i, "w " * n, "s") for i, n in enumerate(sizes)], "doc_id long, text string, source string").cache()
+    due, runs = 0.4, 12
+    wanted, certain = due * sum(sizes), 0
+    rest = sorted(sizes, reverse=True)
+    while rest and (wanted - certain) / sum(x * x for x in rest) * rest[0] >= 1:
+        certain += rest.pop(0)
+    scale = (wanted - certain) / sum(x * x for x in rest)
+    got = [0.0] * len(sizes)
+    for k in range(runs):
+        out = M.mix(docs, weights=[1.0], share=due, seed=f"run {k}").collect()
+        assert abs(sum(r["taken"] for r in out) - wanted) <= 40
+        for r in out:
+            got[r["doc_id"]] += (r["taken"] > 0) / runs
+    assert got[400] == got[401] == 1
+    for low, high in ((1, 10), (11, 20), (21, 30), (31, 40)):
+        own = [i for i, n in enumerate(sizes) if low <= n <= high]
+        assert sum(got[i] for i in own) / len(own) == pytest.approx(sum(min(1, scale * sizes[i]) for i in own) / len(own), abs=0.06)
+
+
 def reshare(sizes, weights, share=1.5):
     """Targets by sharing out the excess again and again."""
     target, free, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
@@ -56,5 +77,5 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert len(got) == 5 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     assert sorted(map(tuple, M.mix(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert M.mix(docs.limit(0)).count() == 0
-    kept = M.mix_documents(docs).collect()
+    kept = M.mix_documents(docs.withColumnRenamed("rank", "_taken")).collect()
     assert all(r["copies"] in (1, 2) and r["text"] for r in kept)
