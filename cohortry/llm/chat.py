@@ -5,24 +5,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches, tidy
 from .tokens import counter
 
 #: A turn is ``### role:\n`` + text + ``</turn>\n``.  Both control strings and the escape are escaped inside texts and roles.
 OPEN, CLOSE, ESCAPE = "### ", "</turn>", "\\"
 #: Tokens of a window, and of the history that a window repeats.
 BUDGET, HISTORY = 2048, 512
-#: Turn numbers that are formatted together; a longer conversation is dealt to several tasks.
+#: Turn numbers whose running sums are made in one place; sums go on from one such block to the next.
 BLOCK_TURNS = 512
-#: How many turn numbers before a block its history may come from.
-HISTORY_TURNS = 16
-
 #: The block of turns without a number.
 NULL_BLOCK = -(1 << 60)
 
@@ -62,72 +59,65 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-@dataclass
-class Turn:
-    role: str
-    text: str
-    tokens: int
+def counted(turns: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``turns``, which has ``role`` and ``text``, with ``n``: the tokens of the formatted turn.  No shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(tokenizer_path).count
+        for b in batches:
+            of = lambda name: b.column(b.schema.names.index(name)).to_pylist()
+            n = count([render(r, x)[0] for r, x in zip(of("role"), of("text"))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "n"])
 
-def plan(tokens: list[int], budget: int, history: int, fixed: int = 0, context: list[int] = ()) -> list[tuple[int, int, int]]:
-    """Windows (first repeated, first new, stop) over turns with these token counts.
+    kinds = ", ".join(f"{n} {k}" for n, k in turns.dtypes)
+    return small_batches(turns).mapInArrow(tidy(run), f"{kinds}, n long")
 
-    ``fixed`` tokens (the system turn) are in every window.  ``context`` are token counts of turns before
-    the first, which may be repeated (they have negative numbers).  By prefix sums a window repeats as many
-    turns before its first new one as fit in ``history``, and takes new turns while all fit in ``budget``;
-    one turn is taken even if it is longer than that, and history gives way to it.
-    """
-    sums = [0]
-    for n in [*context, *tokens]:
-        sums.append(sums[-1] + n)
-    k = len(context)
-    out, at = [], 0
-    while at < len(tokens):
-        spare = budget - fixed - tokens[at]
-        back = at
-        while back > -k and sums[at + k] - sums[back - 1 + k] <= min(history, spare):
-            back -= 1
-        stop = at + 1
-        while stop < len(tokens) and sums[stop + 1 + k] - sums[back + k] <= budget - fixed:
-            stop += 1
-        out.append((back, at, stop))
-        at = stop
-    return out
 
+def placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """``turns(key, block, turn, role, text, n)`` with where each stands, and the window ``(after, big, cell)`` it is new in.
+
+    ``fixed`` is the conversation's system turn (its first turn, if its role is that) in tokens, ``start`` and ``stop`` the tokens
+    before and with a turn.  The tokens that windows have for new turns are cut in cells of equal size by these prefix sums,
+    and turns that start in the same cell are one window.  What a window may repeat (``back``) is left for the last of
+    them to reach beyond the cell.  A turn longer than ``back`` is a window of its own (``big``) and parts the
+    others (``after`` counts those before).
 
-_WINDOW = pa.schema([
-    ("conv_id", pa.int64()),
-    ("block", pa.int64()),
-    ("window", pa.int64()),
-    ("n_context", pa.int64()),
-    ("n_new", pa.int64()),
-    ("n_tokens", pa.int64()),
-    ("formatted", pa.string()),
-    ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-])
-
-
-def _windows(turns: list[Turn], system: Turn | None, context: list[Turn], budget: int, history: int):
-    """The windows of one block: (number of context turns, number of new turns, tokens, text, loss spans)."""
-    own = system is not None and bool(turns) and turns[0] is system
-    fixed = system.tokens if system is not None else 0
-    rest = turns[1:] if own else turns
-    spans = plan([t.tokens for t in rest], budget, history, fixed, [t.tokens for t in context])
-    line = [*context, *rest]
-    if own and not spans:
-        spans = [(0, 0, 0)]
-    for n, (back, first, stop) in enumerate(spans):
-        shown = [*([system] if system is not None else []), *line[back + len(context) : stop + len(context)]]
-        fresh = stop - first + (1 if own and n == 0 else 0)
-        pieces, loss, at = [], [], 0
-        for i, t in enumerate(shown):
-            text, a, b = render(t.role, t.text)
-            new = i >= len(shown) - (stop - first) or (own and n == 0 and i == 0)
-            if new and t.role == "assistant":
-                loss.append((at + a, at + b))
-            pieces.append(text)
-            at += len(text)
-        yield len(shown) - fresh, fresh, sum(t.tokens for t in shown), "".join(pieces), loss
+    Sums are made within blocks of turn numbers and go on over blocks, so they don't depend on where blocks begin.
+    """
+    order = W.partitionBy("key", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    upto = order.rowsBetween(W.unboundedPreceding, -1)
+    line = W.partitionBy("key").orderBy("block")
+    earlier = line.rowsBetween(W.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    # A row for each conversation and block.
+    least = F.min(F.struct(F.col("turn").isNotNull().alias("some"), "turn", "role", "text", "n"))
+    blocks = turns.groupBy("key", "block").agg(F.sum("n").alias("n"), least.alias("least"))
+    opening = F.first("least").over(line)
+    blocks = blocks.select(
+        "key",
+        "block",
+        F.coalesce(F.sum("n").over(earlier), none).alias("before"),
+        F.when(opening["role"] == "system", opening["n"]).otherwise(none).alias("fixed"),
+        (F.row_number().over(line) == 1).alias("opens"),
+    )
+    room = F.greatest(F.lit(2), F.lit(budget) - F.col("fixed"))
+    at = (
+        turns.join(blocks, ["key", "block"])
+        .withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(upto), none))
+        .withColumn("first", F.col("opens") & (F.col("fixed") > 0) & (F.row_number().over(order) == 1))
+        .withColumn("back", F.least(F.lit(history), F.floor(room / 2)).cast("long"))
+        .withColumn("big", ~F.col("first") & (F.col("n") > F.col("back")))
+        .withColumn("cell", F.when(F.col("first") | F.col("big"), none).otherwise(F.floor((F.col("start") - F.col("fixed")) / (room - F.col("back")))))
+        .withColumn("bigs", F.coalesce(F.sum(F.col("big").cast("long")).over(upto), none))
+    )
+    at = materialize(at.select("key", "block", "role", "text", "n", "fixed", "back", "first", "start", "big", "cell", "bigs"), "placed")
+    more = at.groupBy("key", "block").agg(F.sum(F.col("big").cast("long")).alias("own"))
+    more = more.select("key", "block", F.coalesce(F.sum("own").over(earlier), none).alias("ahead")).where("ahead > 0")
+    return (
+        at.join(more, ["key", "block"], "left")
+        .withColumn("after", F.coalesce("ahead", none) + F.col("bigs"))
+        .select("key", "role", "text", "n", "fixed", "back", "first", "start", (F.col("start") + F.col("n")).alias("stop"), "after", "big", "cell")
+    )
 
 
 def format_chat(
@@ -137,92 +127,117 @@ def format_chat(
     history: int = HISTORY,
     block_turns: int = BLOCK_TURNS,
 ) -> DataFrame:
-    """Windows ``(conv_id, block, window, n_context, n_new, n_tokens, formatted, loss)`` of ``turns(conv_id, turn, role, text)``.
+    """Windows ``(conv_id, window, n_context, n_new, n_tokens, formatted, loss)`` of ``turns(conv_id, turn, role, text)``.
 
-    Rows are ordered by turn (nulls first; ties by role and text).  A window shows the system turn (the
-    conversation's first turn, if its role is ``system``), the turns it repeats, and its ``n_new`` new turns, of which
-    the system turn is one in the first window.  ``loss`` has the places, in code points, of the
+    Rows are ordered by turn (nulls first; ties by role and text); ``window`` is the number of tokens before its first new turn.
+    A window shows the system turn (the conversation's first turn, if its role is ``system``), the turns it repeats, and its ``n_new``
+    new turns, of which the system turn is one in the first window.  It repeats as many turns before its new ones as fit in
+    ``history`` and in what they leave of ``budget``.  ``loss`` has the places, in code points, of the
     escaped texts of new assistant turns only, so each is learned once.  A turn over budget has
-    a window of its own with less history or none; no text is cut.
+    a window of its own without history; no text is cut.
 
     Null texts and roles count as empty; rows without a conv_id are one conversation; repeated rows are turns of
-    their own; other columns are ignored.  Turn numbers are dealt in blocks of ``block_turns``,
-    so a very long conversation is spread over tasks; a block's history reaches back HISTORY_TURNS numbers.
-    Within a task rows stream in order, one block at a time.
+    their own; other columns are ignored; ids may be of any type.  A long conversation is spread over tasks: its prefix sums by
+    blocks of ``block_turns`` turn numbers, its windows each by itself.  Turns that share a number are ordered in one place.
     """
-    t = small_batches(turns).select(
-        "conv_id",
+    kind = turns.schema["conv_id"].dataType
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    t = turns.select(
+        key.alias("key"),
+        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(NULL_BLOCK)).alias("block"),
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(NULL_BLOCK)).alias("block"),
     )
-    again = t.where((F.col("block") > NULL_BLOCK) & (F.pmod("turn", F.lit(block_turns)) >= block_turns - HISTORY_TURNS))
-    # Every conversation's first turn, wanted in the blocks after the first; conversations of one block have none.
-    starts = t.groupBy("conv_id").agg(F.min(F.struct(F.col("turn").isNotNull().alias("n"), "turn", "role", "text")).alias("s"), F.min("block").alias("b0"))
-    starts = starts.where(F.col("s.role") == "system").select(F.col("conv_id").alias("c"), "b0", "s")
-    later = t.groupBy("conv_id", "block").agg(F.lit(1).alias("one")).join(starts, F.col("conv_id").eqNullSafe(F.col("c"))).where(F.col("block") > F.col("b0"))
+    at = materialize(placed(materialize(counted(t, tokenizer_path), "counted"), budget, history), "turns")
+    window = ["key", "after", "big", "cell"]
+    spans = at.groupBy(*window).agg(F.min("start").alias("opens"), F.sum("n").alias("new"), F.max("fixed").alias("fixed"), F.max("back").alias("back"), F.max("first").alias("first"))
+    # A system turn counts among the new tokens of its own window.
+    left = F.lit(budget) - F.col("new") - F.when(F.col("first"), 0).otherwise(F.col("fixed"))
+    spans = materialize(spans.withColumn("limit", F.least("back", left)).select(*window, "opens", "limit", "fixed", "first"), "spans")
+    # Windows open within ``history`` tokens of the turns they repeat: both meet in cells of that many tokens.
+    wide = F.lit(max(1, history))
+    near = spans.where("limit > 0").select(*window, "opens", "limit", F.floor(F.col("opens") / wide).alias("g"))
+    shown = at.where("not first").select("key", "role", "text", "n", "start", "stop", F.explode(F.sequence(F.floor(F.col("stop") / wide), F.floor((F.col("start") + wide) / wide))).alias("g"))
+    shown = shown.where(F.col("n") <= wide).join(near, ["key", "g"]).where((F.col("stop") <= F.col("opens")) & (F.col("opens") - F.col("start") <= F.col("limit")))
+    system = at.where("first").select("key", "role", "text", "n", "start")
+    system = spans.where("fixed > 0 and not first").select(*window).join(system, "key")
+    columns = [*window, "part", "start", "role", "text", "n"]
     rows = (
-        t.select("conv_id", "block", F.lit(2).alias("part"), "turn", "role", "text")
-        .unionAll(again.select("conv_id", (F.col("block") + 1).alias("block"), F.lit(1).alias("part"), "turn", "role", "text"))
-        .unionAll(later.select("conv_id", "block", F.lit(0).alias("part"), "s.turn", "s.role", "s.text"))
+        at.withColumn("part", F.lit(2)).select(*columns)
+        .unionAll(shown.withColumn("part", F.lit(1)).select(*columns))
+        .unionAll(system.withColumn("part", F.lit(0)).select(*columns))
     )
-    dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", F.col("turn").asc_nulls_first(), "role", "text")
+    dealt = rows.repartition(*[F.col(c) for c in window]).sortWithinPartitions(*window, "part", "start", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path).count
-
-        def blocks():
-            key, parts = None, {0: [], 1: [], 2: []}
-            for b in batches:
-                cols = [c.to_pylist() for c in b.columns]
-                sizes = count([render(r, x)[0] for r, x in zip(cols[4], cols[5])])
-                for conv, block, part, _, role, text, n in zip(*cols, sizes):
-                    if (conv, block) != key:
-                        if key is not None:
-                            yield key, parts
-                        key, parts = (conv, block), {0: [], 1: [], 2: []}
-                    parts[part].append(Turn(role, text, n))
-            if key is not None:
-                yield key, parts
-
         out: list[tuple] = []
-        size = 0
-        for (conv, block), parts in blocks():
-            new = parts[2]
-            if not new:
-                continue
-            system = parts[0][0] if parts[0] else new[0] if not parts[1] and new[0].role == "system" else None
-            context = [x for x in parts[1] if not (system is not None and parts[0] and x == system)]
-            for n, (n_context, n_new, tokens, text, loss) in enumerate(_windows(new, system, context, budget, history)):
-                out.append((conv, block, n, n_context, n_new, tokens, text, [{"start": a, "stop": b} for a, b in loss]))
-                size += len(text)
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _WINDOW)], schema=_WINDOW)
-                    out, size = [], 0
+        size, now, own = 0, None, []
+
+        def done() -> None:
+            nonlocal size
+            pieces, loss, at = [], [], 0
+            for part, _, role, text, _ in own:
+                piece, i, j = render(role, text)
+                if part == 2 and role == "assistant":
+                    loss.append({"start": at + i, "stop": at + j})
+                pieces.append(piece)
+                at += len(piece)
+            fresh = [x for x in own if x[0] == 2]
+            out.append((now[0], fresh[0][1], len(own) - len(fresh), len(fresh), sum(x[4] for x in own), "".join(pieces), loss))
+            size += at
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS.values())], names=list(_KINDS))
+
+        for b in batches:
+            for *key, part, start, role, text, n in zip(*(c.to_pylist() for c in b.columns)):
+                if key != now:
+                    if own:
+                        done()
+                    now, own = key, []
+                    if size > 1 << 22:
+                        yield batch()
+                        out, size = [], 0
+                own.append((part, start, role, text, n))
+        if own:
+            done()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _WINDOW)], schema=_WINDOW)
+            yield batch()
+
+    made = dealt.mapInArrow(tidy(run), "key string, window long, n_context long, n_new long, n_tokens long, formatted string, loss array<struct<start:long,stop:long>>")
+    conv = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).cast(kind)
+    return made.select(conv.alias("conv_id"), "window", "n_context", "n_new", "n_tokens", "formatted", "loss")
 
-    from pyspark.sql.pandas.types import from_arrow_schema
 
-    return dealt.mapInArrow(run, from_arrow_schema(_WINDOW))
+_KINDS = {
+    "key": pa.string(),
+    "window": pa.int64(),
+    "n_context": pa.int64(),
+    "n_new": pa.int64(),
+    "n_tokens": pa.int64(),
+    "formatted": pa.string(),
+    "loss": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])),
+}
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """Digests of what the formatted windows say: ``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``.
 
     Every window is parsed; its new turns, and what its loss mask covers, count.  Windows of a conversation
-    are digested in order, block by block, in a stream.
+    are digested in order, in a stream: a digest of all turns can't be made in parts.
     """
-    rows = windows.select("conv_id", "block", "window", "n_new", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "block", "window")
+    kind = windows.schema["conv_id"].dataType.simpleString()
+    rows = windows.select("conv_id", "window", "n_new", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key, s):
             return key, s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["all"]
 
-        key, state, out = None, None, []
+        key, state, out, kinds = None, None, [], None
         for b in batches:
-            for conv, _, _, n_new, text, loss in zip(*(c.to_pylist() for c in b.columns)):
+            kinds = b.column(0).type
+            for conv, _, n_new, text, loss in zip(*(c.to_pylist() for c in b.columns)):
                 if state is None or conv != key:
                     if state is not None:
                         out.append(done(key, state))
@@ -240,11 +255,11 @@ def read_back(windows: DataFrame) -> DataFrame:
             out.append(done(key, state))
         if out:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))],
+                [pa.array(c, t) for c, t in zip(zip(*out), (kinds, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))],
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
             )
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def probe_conversation(spark: SparkSession) -> DataFrame:

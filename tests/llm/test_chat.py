@@ -17,21 +17,6 @@ def test_escapes_are_reversible():
         assert C.parse(C.render(role, said)[0] + C.render("u", said)[0]) == [(role, said), ("u", said)]
 
 
-def test_plans_keep_to_the_budget():
-    rng = random.Random(7)
-    for _ in range(500):
-        tokens = [rng.randint(1, 30) for _ in range(rng.randint(0, 25))]
-        before = [rng.randint(1, 30) for _ in range(rng.randint(0, 3))]
-        fixed, budget, history = rng.choice([0, 5]), 40, 15
-        spans = C.plan(tokens, budget, history, fixed, before)
-        assert [s[1] for s in spans] == [0, *[s[2] for s in spans[:-1]]][: len(spans)] and (not tokens or spans[-1][2] == len(tokens))
-        line = before + tokens
-        for back, first, stop in spans:
-            shown = sum(line[back + len(before) : stop + len(before)])
-            assert shown + fixed <= budget or (back, stop) == (first, first + 1)
-            assert sum(line[back + len(before) : first + len(before)]) <= history
-
-
 def brute(rows):
     out = {}
     for conv in {r[0] for r in rows}:
@@ -49,16 +34,53 @@ def test_query_equals_brute_force(spark, sf):
     assert {r[0]: tuple(r)[1:5] for r in op9_chat_format(spark, sf).collect()} == want
 
 
+def plan(tokens, budget, history, fixed):
+    """(first repeated, first new, stop) of the windows over the turns after the system turn, from sums over the whole list."""
+    room = max(2, budget - fixed)
+    back = min(history, room // 2)
+    starts = [sum(tokens[:i]) for i in range(len(tokens))]
+    names = [(sum(n > back for n in tokens[:i]), n > back, 0 if n > back else starts[i] // (room - back)) for i, n in enumerate(tokens)]
+    spans, at = [], 0
+    while at < len(tokens):
+        stop = at + 1
+        while stop < len(tokens) and names[stop] == names[at]:
+            stop += 1
+        limit, first = min(back, budget - fixed - sum(tokens[at:stop])), at
+        while first and sum(tokens[first - 1 : at]) <= limit:
+            first -= 1
+        spans.append((first, at, stop))
+        at = stop
+    return spans
+
+
+def test_long_conversations_are_planned_as_one(spark):
+    rng = random.Random(11)
+    count = C.counter(tokenizer_path()).count
+    said = [(t, rng.choice(["user", "assistant"]), " ".join(["word"] * rng.choice([0, 1, 5, 20, 90]))) for t in range(1500)]
+    said[0] = (0, "system", "be kind")
+    tokens = count([C.render(r, x)[0] for _, r, x in said])
+    want = [(i - a, j - i) for a, i, j in plan(tokens[1:], 120, 40, tokens[0])]
+    assert max(n for _, n in want) > 3 and any(c > 1 for c, _ in want)
+    for shift, block in ((0, 512), (300, 512), (7, 4)):
+        turns = spark.createDataFrame([("x", t + shift, r, x) for t, r, x in said], "conv_id string, turn long, role string, text string")
+        got = C.format_chat(turns, tokenizer_path(), budget=120, history=40, block_turns=block).orderBy("window").collect()
+        plain = [(w["n_context"] - 1, w["n_new"]) for w in got]
+        if tokens[1] <= 40:  # the system turn is new in the first window
+            plain[0] = (plain[0][0] + 1, plain[0][1] - 1)
+        assert plain == want and {w["conv_id"] for w in got} == {"x"}
+        assert all(w["n_tokens"] <= 120 or w["n_new"] == 1 for w in got)
+        assert [x for w in got for x in C.parse(w["formatted"])[-w["n_new"] :]] == [(r, x) for _, r, x in said]
+
+
 @pytest.mark.parametrize("block_turns", [4, 512])
-def test_windows_repeat_history_and_mask_it(spark, monkeypatch, block_turns):
-    monkeypatch.setattr(C, "HISTORY_TURNS", 2)
+def test_windows_repeat_history_and_mask_it(spark, block_turns):
     rng = random.Random(8)
     rows = [(1, 0, "system", "be kind")]
     rows += [(1, t, "assistant" if t % 2 == 0 else "user", " ".join(rng.choice(["one", "two"]) for _ in range(rng.randint(1, 30)))) for t in range(1, 40)]
     rows += [(2, 5, "assistant", None), (2, None, "user", "first"), (2, 5, "assistant", None), (None, 1, None, "no id"), (3, 0, "user", "long " * 5000), (3, 1, "assistant", "ok")]
     turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, block string")
     windows = C.format_chat(turns, tokenizer_path(), budget=120, history=40, block_turns=block_turns)
-    shown = windows.where("conv_id = 1").orderBy("block", "window").collect()
+    shown = windows.where("conv_id = 1").orderBy("window").collect()
     assert len(shown) > 3 and all(C.parse(w["formatted"])[0] == ("system", "be kind") for w in shown)
     assert sum(w["n_new"] for w in shown) == 40 and any(w["n_context"] > 1 for w in shown)
     assert all(w["n_tokens"] <= 120 for w in shown)
