@@ -24,6 +24,11 @@ _unsafe = re.compile(r" (?:\s|\Z)").search
 _counters: dict[str, "TokenCounter"] = {}
 
 
+def _n_bytes(text: str) -> int:
+    """UTF-8 bytes of ``text``."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class TokenCounter:
     """Counts tokens of texts with one tokenizer file; only lengths leave it.
 
@@ -76,7 +81,7 @@ class TokenCounter:
         size = 0
         for p in pieces:
             batch.append(p)
-            size += len(p) + 16
+            size += _n_bytes(p) + 16
             if size >= BATCH_BYTES:
                 lengths += [len(e) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
                 batch, size = [], 0
@@ -109,10 +114,10 @@ def counter(path: str) -> TokenCounter:
 
 
 def by_bytes(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about equal size, so that a few long texts don't make one heavy batch."""
+    """Ranges of ``texts`` of about equal size in bytes, so that a few long texts don't make one heavy batch."""
     start = size = 0
     for i, t in enumerate(texts):
-        size += len(t or "") + 32
+        size += _n_bytes(t or "") + 32
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
