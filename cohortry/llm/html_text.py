@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -11,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist param source track area col colgroup".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas datalist param source track area col colgroup desc defs metadata symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary svg table tbody td text tfoot th thead tr ul caption".split()
 )
 APART = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir".split())
 CLOSES_P = (BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption option optgroup legend".split())) | {"table"}
@@ -41,15 +42,16 @@ IMPLIED_END = {
 }
 #: An end tag looks no farther up than these.
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "template"})
-#: Elements nested deeper hang at this depth.
-DEPTH = 200
-#: A table column is padded to this width at most.
-PAD = 40
+#: Spans of cells at most, as the standard has it.
+COLSPAN, ROWSPAN = 1000, 65534
+#: Padding that aligned columns may add: so many times a table's text and some more; where it would be more, columns are
+#: padded to NARROW characters only.  Text is never cut.
+PADDING, PADDING_MORE, NARROW = 8, 1 << 16, 40
 
 _tag = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
 _attr = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_hide = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_rule = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_declared = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_brace = re.compile(r"[{};]")
 _simple = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)\Z", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
 
@@ -61,17 +63,20 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
-def tree(html: str) -> tuple[Node, list[str]]:
-    """The page's tree and its style sheets; missing end tags, html, head, body, tbody and tr are implied."""
+def tree(html: str) -> tuple[Node, list[str], int]:
+    """The page's tree, its style sheets and its depth; missing end tags, html, head, body, tbody and tr are implied."""
     root = Node("html", {})
     stack = [root]
     styles: list[str] = []
+    deepest = 1
 
     def push(tag: str, attrs: dict[str, str]) -> None:
+        nonlocal deepest
         node = Node(tag, attrs)
-        stack[min(len(stack), DEPTH) - 1].children.append(node)
+        stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
+            deepest = max(deepest, len(stack))
 
     def pop_to(depth: int) -> None:
         del stack[max(1, depth) :]
@@ -84,7 +89,7 @@ def tree(html: str) -> tuple[Node, list[str]]:
             pop_to(len(stack) - 1)
         if stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr") and blank:
             return
-        stack[min(len(stack), DEPTH) - 1].children.append(value)
+        stack[-1].children.append(value)
 
     at = 0
     while at < len(html):
@@ -120,7 +125,7 @@ def tree(html: str) -> tuple[Node, list[str]]:
         if name == "body" and any(n.tag == "body" for n in stack):
             continue
         ends, scope = IMPLIED_END.get(name, ((), ()))
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if ends else ():
             if stack[i].tag in ends:
                 pop_to(i)
                 if name not in ("tr", "tbody", "thead", "tfoot", "optgroup"):
@@ -152,34 +157,76 @@ def tree(html: str) -> tuple[Node, list[str]]:
             pop_to(len(stack) - 1)
             if end:
                 at = html.find(">", at) + 1 or len(html)
-    return root, styles
+    return root, styles, deepest
+
+
+def _blocks(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen; other at-rules' bodies are passed over."""
+    at, text = 0, re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)
+    open_until: list[bool] = []  # of the at-rules around: whether what is inside holds
+    while (m := _brace.search(text, at)) is not None:
+        head, at = text[at : m.start()].strip(), m.end()
+        if m.group() == "}":
+            if open_until:
+                open_until.pop()
+        elif m.group() == "{":
+            if head.startswith("@"):
+                name, _, query = head[1:].partition(" ")
+                kinds = [q.strip().lower() for q in query.split(",")]
+                holds = name.lower() in ("supports", "layer") or (name.lower() == "media" and any(q in ("", "all", "screen", "only screen", "not print") for q in kinds))
+                open_until.append(holds and all(open_until))
+                continue
+            end = text.find("}", at)
+            end = len(text) if end < 0 else end
+            if all(open_until):
+                yield head, text[at:end]
+            at = end + 1
+
 
+def style_rules(styles: list[str]) -> list[tuple[str, frozenset, frozenset, list]]:
+    """(tag, ids, classes, declared) of the plain selectors whose rules tell display or visibility, in order.
 
-def hiding_rules(styles: list[str]) -> list[tuple[str, frozenset, frozenset]]:
-    """(tag, ids, classes) of the plain selectors that style sheets hide."""
+    ``declared`` are (property, value, weight); a weight orders rules as the cascade does: importance, then specificity, then place.
+    """
     out = []
     for sheet in styles:
-        for selectors, body in _rule.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _hide.search(body):
-                for s in selectors.split(","):
-                    m = _simple.match(s.strip())
-                    if m and (m.group(1) or m.group(2)):
-                        marks = re.findall(r"([.#])([\w-]+)", m.group(2))
-                        out.append(((m.group(1) or "").lower(), frozenset(n for k, n in marks if k == "#"), frozenset(n for k, n in marks if k == ".")))
+        for selectors, body in _blocks(sheet):
+            told = [(p.lower(), v.lower(), bool(i)) for p, v, i in _declared.findall(body)]
+            if not told:
+                continue
+            for s in selectors.split(","):
+                m = _simple.match(s.strip())
+                if m and (m.group(1) or m.group(2)):
+                    marks = re.findall(r"([.#])([\w-]+)", m.group(2))
+                    ids, classes = frozenset(n for k, n in marks if k == "#"), frozenset(n for k, n in marks if k == ".")
+                    special = (len(ids), len(classes), bool(m.group(1)), len(out))
+                    out.append(((m.group(1) or "").lower(), ids, classes, [(p, v, (i, False, *special)) for p, v, i in told]))
     return out
 
 
-def visible(node: Node, rules) -> bool:
-    """Not an element that shows no text, not hidden by attribute or style."""
+def shown(node: Node, rules) -> tuple[bool, bool | None]:
+    """Whether an element is laid out, and whether it makes its text visible (None: as its parent).
+
+    Some elements show no text; ``hidden`` and closed dialogs are overruled by style rules that tell a display.
+    """
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    if "style" in a and _hide.search(a["style"]):
-        return False
+    if node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+        return False, None
+    best: dict[str, tuple] = {}
     if rules:
         own = set(a.get("class", "").split())
-        return not any((not t or t == node.tag) and (not i or a.get("id") in i and len(i) == 1) and c <= own for t, i, c in rules)
-    return True
+        for t, i, c, declared in rules:
+            if (not t or t == node.tag) and (not i or (len(i) == 1 and a.get("id") in i)) and c <= own:
+                for p, v, weight in declared:
+                    if p not in best or weight >= best[p][0]:
+                        best[p] = (weight, v)
+    for p, v, i in _declared.findall(a.get("style", "")):
+        weight = (bool(i), True)
+        if p.lower() not in best or weight >= best[p.lower()][0][:2]:
+            best[p.lower()] = ((*weight, 0, 0, False, 0), v.lower())
+    display = best["display"][1] if "display" in best else "none" if "hidden" in a or (node.tag == "dialog" and "open" not in a) else ""
+    seen = best["visibility"][1] if "visibility" in best else ""
+    return display != "none", True if seen == "visible" else False if seen in ("hidden", "collapse") else None
 
 
 class _Lines:
@@ -242,128 +289,177 @@ class _Lines:
         return self.lines
 
 
-def render(node: Node, rules, out: _Lines, pre: bool = False) -> None:
+def render(node: Node, rules, out: _Lines, pre: bool = False, seen: bool = True) -> None:
+    """Adds what ``node`` holds to ``out``; text where ``seen`` is false is left out, but what it holds may be visible again."""
     for child in node.children:
         if isinstance(child, str):
-            out.add(child, pre)
+            if seen:
+                out.add(child, pre)
             continue
-        if not visible(child, rules):
+        laid_out, told = shown(child, rules)
+        if not laid_out:
             continue
+        see = seen if told is None else told
         tag = child.tag
         if tag == "br":
             out._end(force=True)
         elif tag in ("ul", "ol", "menu", "dir"):
             out.part(apart=node.tag != "li")
-            _items(child, rules, out)
+            _items(child, rules, out, pre, see)
             out.part(apart=node.tag != "li")
         elif tag == "table":
             out.part(apart=True)
-            out.block(_table(child, rules))
+            out.block(_table(child, rules, pre, see))
             out.part(apart=True)
         elif tag == "img":
-            out.add(child.attrs.get("alt", ""))
+            if see:
+                out.add(child.attrs.get("alt", ""))
         elif tag == "input":
-            if child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+            if see and child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 out.add(child.attrs.get("value", ""))
         elif tag == "details" and "open" not in child.attrs:
             out.part()
             for summary in child.children:
                 if isinstance(summary, Node) and summary.tag == "summary":
-                    render(summary, rules, out)
+                    render(summary, rules, out, pre, see)
                     break
             out.part()
         elif tag == "dd":
-            inside = _Lines()
-            render(child, rules, inside)
-            out.block(["  " + x if x else x for x in inside.done()])
+            out.block(["  " + x if x else x for x in _inside(child, rules, pre, see)])
         elif tag in BLOCK:
             out.part(apart=tag in APART)
-            render(child, rules, out, pre or tag == "pre")
+            render(child, rules, out, pre or tag == "pre", see)
             out.part(apart=tag in APART)
         else:
-            render(child, rules, out, pre or tag == "textarea")
+            render(child, rules, out, pre or tag == "textarea", see)
+
+
+def _inside(node: Node, rules, pre: bool, seen: bool) -> list[str]:
+    inside = _Lines()
+    render(node, rules, inside, pre, seen)
+    return inside.done()
 
 
-def _items(node: Node, rules, out: _Lines) -> None:
+def _items(node: Node, rules, out: _Lines, pre: bool, seen: bool) -> None:
     """List items with a dash or their number; more lines of an item hang under its text."""
     number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
     for child in node.children:
         if isinstance(child, str):
-            out.add(child)
+            if seen:
+                out.add(child, pre and bool(child.strip()))
             continue
-        if not visible(child, rules):
+        laid_out, told = shown(child, rules)
+        if not laid_out:
             continue
-        inside = _Lines()
+        see = seen if told is None else told
         if child.tag in ("ul", "ol", "menu", "dir"):
-            _items(child, rules, inside)
-            mark = "  "
+            inside = _Lines()
+            _items(child, rules, inside, pre, see)
+            lines, mark = inside.done(), "  "
         elif child.tag == "li":
-            render(child, rules, inside)
+            lines = _inside(child, rules, pre, see)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
         else:
-            render(Node("li", {}, [child]), rules, inside)
-            mark = "  "
-        lines = inside.done()
+            lines, mark = _inside(Node("li", {}, [child]), rules, pre, seen), "  "
         if lines:
             out.block([(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)])
 
 
-def _table(table: Node, rules) -> list[str]:
-    """Rows of cells, columns aligned and two spaces apart; cells of several lines stand line by line."""
-    rows: list[list[list[str]]] = []
-    lines: list[str] = []
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "")
+    return min(max(1, int(value)), most) if re.fullmatch(r"\d{1,9}", value) else 1
+
 
-    def walk(node: Node) -> None:
+def _table(table: Node, rules, pre: bool, seen: bool) -> list[str]:
+    """Rows of cells, columns aligned and two spaces apart; cells of several lines stand line by line.
+
+    A cell over several columns or rows stands in the first of them.
+    """
+    rows: list[dict[int, list[str]]] = []
+    lines: list[str] = []
+    taken: dict[int, int] = {}  # for columns: rows that cells above still reach over
+
+    def row_of(tr: Node, seen: bool) -> None:
+        row: dict[int, list[str]] = {}
+        column, over = 0, {}
+        for cell in tr.children:
+            if isinstance(cell, str):
+                if not cell.strip(" \t\n\r\f") or not seen:
+                    continue
+                text, wide, high = [_space.sub(" ", cell).strip(" ")], 1, 1
+            else:
+                laid_out, told = shown(cell, rules)
+                if not laid_out:
+                    continue
+                see = seen if told is None else told
+                text = _inside(cell if cell.tag in ("td", "th") else Node("td", {}, [cell]), rules, pre, see)
+                wide, high = _span(cell, "colspan", COLSPAN), _span(cell, "rowspan", ROWSPAN)
+            while taken.get(column, 0):
+                column += 1
+            row[column] = text
+            if high > 1:
+                over |= {c: high for c in range(column, column + wide)}
+            column += wide
+        for c in [c for c in taken if taken[c] <= 1]:
+            del taken[c]
+        for c in taken:
+            taken[c] -= 1
+        taken.update({c: n - 1 for c, n in over.items()})
+        if any(row.values()):
+            rows.append(row)
+
+    def walk(node: Node, seen: bool) -> None:
         for child in node.children:
-            if isinstance(child, str) or not visible(child, rules):
-                if isinstance(child, str) and child.strip(" \t\n\r\f"):
-                    rows.append([[_space.sub(" ", child).strip(" ")]])
+            if isinstance(child, str):
+                if seen and child.strip(" \t\n\r\f"):
+                    rows.append({0: [_space.sub(" ", child).strip(" ")]})
                 continue
+            laid_out, told = shown(child, rules)
+            if not laid_out:
+                continue
+            see = seen if told is None else told
             if child.tag == "caption":
-                inside = _Lines()
-                render(child, rules, inside)
-                lines.extend(inside.done())
+                lines.extend(_inside(child, rules, pre, see))
             elif child.tag == "tr":
-                row = []
-                for cell in child.children:
-                    if isinstance(cell, str) or not visible(cell, rules):
-                        if isinstance(cell, str) and cell.strip(" \t\n\r\f"):
-                            row.append([_space.sub(" ", cell).strip(" ")])
-                        continue
-                    inside = _Lines()
-                    render(cell if cell.tag in ("td", "th") else Node("td", {}, [cell]), rules, inside)
-                    row.append(inside.done())
-                    span = cell.attrs.get("colspan", "")
-                    row += [[] for _ in range(min(int(span), 100) - 1)] if re.fullmatch(r"\d{1,4}", span) else []
-                if any(row):
-                    rows.append(row)
+                row_of(child, see)
             elif child.tag in ("thead", "tbody", "tfoot"):
-                walk(child)
-            else:
-                inside = _Lines()
-                render(Node("td", {}, [child]), rules, inside)
-                if got := inside.done():
-                    rows.append([got])
+                taken.clear()  # spans end with their part of the table
+                walk(child, see)
+            elif got := _inside(Node("td", {}, [child]), rules, pre, seen):
+                rows.append({0: got})
 
-    walk(table)
+    walk(table, seen)
     width: dict[int, int] = {}
+    size = count = 0
     for row in rows:
-        for i, cell in enumerate(row):
-            width[i] = max(width.get(i, 0), *(min(len(x) if len(x) <= PAD else 0, PAD) for x in cell), 0)
+        count += max(map(len, row.values()))
+        for c, cell in row.items():
+            width[c] = max(width.get(c, 0), *map(len, cell), 0)
+            size += sum(map(len, cell))
+    if count * sum(width.values()) > PADDING * size + PADDING_MORE:
+        width = {c: min(w, NARROW) for c, w in width.items()}
+    columns = sorted(c for c in width if width[c])
     for row in rows:
-        for k in range(max(map(len, row))):
-            cells = [(c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)]
+        for k in range(max(map(len, row.values()))):
+            cells = [(row[c][k] if k < len(row.get(c, ())) else "").ljust(width[c]) for c in columns]
             lines.append("  ".join(cells).rstrip())
     return lines
 
 
 def page_text(html: str | None) -> str:
     """All visible text of a page."""
-    root, styles = tree(html or "")
-    out = _Lines()
-    render(root, hiding_rules(styles), out)
-    return "\n".join(out.done())
+    root, styles, depth = tree(html or "")
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 4 * depth + 1000))  # rendering goes as deep as the page, in plain Python frames
+    try:
+        out = _Lines()
+        laid_out, told = shown(root, rules := style_rules(styles))
+        if laid_out:
+            render(root, rules, out, seen=told is not False)
+        return "\n".join(out.done())
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -382,4 +478,4 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
             )
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return small_batches(pages).select(F.col(id_col), F.col(html_col)).mapInArrow(run, f"`{id_col}` {kind}, text string, n_chars long, n_lines long")
+    return small_batches(pages).select(F.col(id_col), F.col(html_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string, n_chars long, n_lines long")
