@@ -29,6 +29,9 @@ RIDGE = 2e-5
 CACHE_WORDS = 150_000
 
 _SENTENCE = re.compile(rb"[^.!?\n]+")
+#: The same where full-width ends occur: their bytes end a sentence too.
+_WIDE_ENDS = ("\u3002".encode(), "\uff01".encode(), "\uff1f".encode())
+_WIDE_SENTENCE = re.compile(b"|".join(_WIDE_ENDS) + rb"|((?:(?!" + b"|".join(_WIDE_ENDS) + rb")[^.!?\n])+)")
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -39,10 +42,11 @@ def features(word: bytes) -> list[str]:
 
 
 def sentences(text: str | None) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Byte ranges and words of a text's sentences, which full stops, ?, ! and line ends part; those without words are left out."""
+    """Byte ranges and words of a text's sentences, which full stops, ?, ! (also full-width ones) and line ends part; those without words are left out."""
     data = (text or "").encode()
-    for m in _SENTENCE.finditer(data):
-        words = m.group().translate(_WORDS).split()
+    wide = any(e in data for e in _WIDE_ENDS)
+    for m in (_WIDE_SENTENCE if wide else _SENTENCE).finditer(data):
+        words = (m.group(1) or b"" if wide else m.group()).translate(_WORDS).split()
         if words:
             yield m.start(), m.end(), words
 

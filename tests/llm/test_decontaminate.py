@@ -80,7 +80,7 @@ def test_spans_are_cut_out(spark):
         "doc_id long, text string, found string",
     )
     got = sorted(map(tuple, D.decontaminate(docs, bench, 4).collect()), key=str)
-    assert got == sorted([(1, "x !  y", "a"), (2, None, "b"), (3, "é one two", None), (3, "é one two", None), (None, "", "c")], key=str) or got[0][1] == "x  y"
+    assert got == sorted([(1, "x  y", "a"), (2, None, "b"), (3, "é one two", None), (3, "é one two", None), (None, "", "c")], key=str)
     told = {r["doc_id"]: r for r in D.contamination(docs, bench, 4).collect()}
     assert (told[1]["n_hit"], told[1]["n_items"], told[1]["contaminated"]) == (6, 1, True)
     assert (told[2]["n_words"], told[2]["contaminated"]) == (0, False)

@@ -38,3 +38,8 @@ def test_nulls_ties_empty_tables_and_clashing_columns(spark):
     assert X.toxicity_report(docs, labels.where("toxic = 0")).where("predicted = 1").count() == 0
     kept = X.toxicity(docs, X.train(docs, labels))
     assert kept.columns == ["doc_id", "text", "score", "toxic_sentences"] and kept.count() == docs.count()
+
+
+def test_sentences_end_at_full_width_marks_too():
+    text = "你 好。坏 人！x? y\nz. 。。w"
+    assert [text.encode()[i:j].decode().strip() for i, j, _ in X.sentences(text)] == ["你 好", "坏 人", "x", "y", "z", "w"]
