@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -139,20 +139,87 @@ def wide(pool: DataFrame, tables: dict[str, tuple[DataFrame, str]], account: str
     return out
 
 
-@dataclass
+def between(fact: DataFrame, days: tuple[str, str]) -> DataFrame:
+    """Facts whose ``day`` is in a window, both ends included."""
+    return fact.where(F.col("day").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")))
+
+
+def usage_sums(bound: DataFrame, least: float = 5) -> DataFrame:
+    """Seconds by account, device, day and app, those of more than ``least``; days as text."""
+    sums = bound.groupBy("account", "device", "day", "app").agg(F.round(F.sum("seconds"), 2).alias("seconds"))
+    return sums.where(F.col("seconds") > least).withColumn("day", F.col("day").cast("string"))
+
+
+def top_apps(sums: DataFrame, recent_from: str, recent: bool, most: int) -> DataFrame:
+    """The longest used apps: of every device and day from ``recent_from`` on, or of every device over the days before."""
+    if recent:
+        return capped(sums.where(F.col("day") >= recent_from), ["account", "device", "day"], [F.desc("seconds"), F.col("app")], most)
+    return capped(sums.where(F.col("day") < recent_from), ["account", "device"], [F.desc("seconds"), F.col("app"), F.col("day")], most)
+
+
+def latest_behaviours(sources: dict[str, DataFrame], most: int = 200) -> DataFrame:
+    """The latest rows of every source and device; sources share their columns and are ranked in one shuffle."""
+    rows = None
+    for name, frame in sources.items():
+        one = frame.withColumn("source", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return capped(rows, ["source", "account", "device"], [F.desc("day"), F.col("app"), F.col("line")], most)
+
+
+def latest_ads(ads: DataFrame, most: int = 100) -> DataFrame:
+    """The latest impressions, clicks and conversions of every account, summed by day and app; days as text."""
+    a = ads.where("event_type in ('impression', 'click', 'conversion')")
+    g = a.groupBy("account", "event_type", "day", "app").agg(F.sum("n").alias("n"))
+    return capped(g, ["account", "event_type"], [F.desc("day"), F.desc("n"), F.col("app")], most).withColumn("day", F.col("day").cast("string"))
+
+
+@dataclass(frozen=True)
 class Vertical:
-    """What one training table asks of the shared job."""
+    """What one training table asks of the shared job: windows, what makes a positive, caps, and its industry sources."""
 
     name: str
-    label_from: str
-    label_to: str
-    feature_from: str
-    feature_to: str
-    samples: int = 100
-    app_rows: int = 30
+    label: tuple[str, str]
+    feature: tuple[str, str]
+    recent_from: str
+    positive: str
+    sources: tuple[str, ...] = ()
+    samples: int = 60
+    recent_rows: int = 30
     older_rows: int = 100
     ad_rows: int = 100
-    apps: list[str] = field(default_factory=list)
+    behaviour_rows: int = 200
+
+
+def vertical_pool(spec: Vertical, binding: DataFrame, facts: DataFrame, ads: DataFrame) -> DataFrame:
+    """The sample of a vertical: positives of the label window, clickers of the feature window, and others."""
+    leads = bind(between(facts, spec.label).where(spec.positive), binding)
+    clicks = bind(between(ads, spec.feature).where("click > 0"), binding)
+    return sample_pool(leads, clicks, binding, spec.samples)
+
+
+def training_table(spec: Vertical, pool: DataFrame, binding: DataFrame, facts: DataFrame, ads: DataFrame, sources: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
+    """One row per account of ``pool`` with its texts: profile, apps, ads, each industry source, devices, and the abnormal flag.
+
+    ``pool`` is a written sample of at most three times ``spec.samples`` accounts.  Its devices are cut out of the
+    binding first, so that facts (not yet bound to accounts) are summed and ranked for them alone.
+    """
+    mine = binding.join(F.broadcast(pool.select("account")), "account", "left_semi")
+    sums = usage_sums(bind(between(facts, spec.feature), mine))
+    apps = top_apps(sums, spec.recent_from, True, spec.recent_rows).unionByName(top_apps(sums, spec.recent_from, False, spec.older_rows))
+    bound = bind(ads, mine)
+    tables = {
+        "profile_text": (profiles.join(F.broadcast(pool.select("account")), "account", "left_semi"), ""),
+        "app_seq": (sequence_text(apps, ["day", "app", "seconds"], "day,app,seconds", out="app_seq"), ""),
+        "ad_seq": (sequence_text(latest_ads(bound, spec.ad_rows), ["day", "event_type", "app", "n"], "day,event,app,n", device=None, out="ad_seq"), ""),
+    }
+    if spec.sources:
+        latest = latest_behaviours({k: bind(between(sources[k], spec.feature), mine) for k in spec.sources}, spec.behaviour_rows)
+        for k in spec.sources:
+            text = sequence_text(latest.where(F.col("source") == k), ["day", "app", "field1", "field2"], "day,app,field1,field2", out=f"{k}_seq")
+            tables[f"{k}_seq"] = (text, "")
+    tables["abnormal_user_flag"] = (abnormal_flags(bound), "normal")
+    tables["did_list"] = (device_lists(mine), "")
+    return wide(pool, tables)
 
 
 def distribution(frame: DataFrame, by: str) -> DataFrame:

@@ -91,3 +91,15 @@ def test_every_row_is_split_once_and_repeatably(spark):
     by = {(r["c"], r["split"]): r["count"] for r in got.groupBy("c", "split").count().collect()}
     assert by == {(0, "val"): 249, (0, "train"): 750, (1, "val"): 249, (1, "train"): 750, (2, "val"): 250, (2, "train"): 750, (None, "val"): 1, (None, "train"): 1}
     assert got.exceptAll(L.hash_split(rows, "user_id", "c", 0.25)).count() == 0
+
+
+def test_caps_of_apps_and_behaviours(spark):
+    rows = [("u", "d", f"2024-01-{day:02d}", app, float(app + 10)) for day in (1, 2, 9) for app in range(5)]
+    sums = spark.createDataFrame(rows, "account string, device string, day string, app int, seconds double")
+    recent = T.top_apps(sums, "2024-01-08", True, 2).collect()
+    assert sorted((r["day"], r["app"]) for r in recent) == [("2024-01-09", 3), ("2024-01-09", 4)]
+    older = T.top_apps(sums, "2024-01-08", False, 3).collect()
+    assert sorted((r["app"], r["day"]) for r in older) == [(3, "2024-01-01"), (4, "2024-01-01"), (4, "2024-01-02")]
+    b = spark.createDataFrame([("u", "d", f"2024-01-{i:02d}", i, i) for i in range(1, 6)], "account string, device string, day string, app int, line int")
+    got = T.latest_behaviours({"x": b, "y": b.where("app < 2")}, 2).collect()
+    assert sorted((r["source"], r["app"]) for r in got) == [("x", 4), ("x", 5), ("y", 1)]
