@@ -63,6 +63,12 @@ def names_users(specs: list[tuple], id_fields: tuple[str, ...] = ("user_id", "c_
     return any(s[0] in id_fields for s in specs)
 
 
+def without_users(conditions: DataFrame, id_fields: tuple[str, ...] = ("user_id", "c_custkey")) -> DataFrame:
+    """``(rule, n_conditions)`` of the rules in ``conditions(rule, field, ...)`` that name no user: ``names_users`` for a table of rules."""
+    named = F.lower(F.trim("field")).isin(*id_fields)
+    return conditions.groupBy("rule").agg(F.count("*").alias("n_conditions"), F.max(F.coalesce(named, F.lit(False))).alias("_named")).where("not _named").drop("_named")
+
+
 def attribute(name: str, attrs: Column | str = "attrs") -> Column:
     return F.get_json_object(attrs if isinstance(attrs, Column) else F.col(attrs), f"$.{name}")
 

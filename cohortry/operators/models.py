@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import CountVectorizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -76,26 +75,35 @@ def prepared(frame: DataFrame, numeric: list[str], categorical: list[str], lists
 
 
 def train(frame: DataFrame, target: str, kind: str, numeric: list[str], categorical: list[str] = (), lists: list[str] = (), trees: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """A boosted-tree pipeline for ``regression`` or ``binary``, one forest against the rest for ``multi``."""
+    """A boosted-tree pipeline for ``regression`` or ``binary``; for ``multi`` (classes 0, 1, ...) one of each class against the rest."""
+    rows = prepared(frame.where(F.col(target).isNotNull()), list(numeric), list(categorical), list(lists)).withColumn("label", F.col(target).cast("double"))
     if kind == "regression":
-        model = GBTRegressor(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
+        models = [GBTRegressor(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)]
     elif kind == "binary":
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
+        models = [GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)]
     elif kind == "multi":
-        model = OneVsRest(labelCol="label", classifier=RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed))
+        classes = int(rows.agg(F.max("label")).first()[0] or 0) + 1
+        rows = rows.withColumns({f"_is{k}": (F.col("label") == k).cast("double") for k in range(classes)})
+        models = [GBTClassifier(labelCol=f"_is{k}", predictionCol=f"_hit{k}", probabilityCol=f"_prob{k}", rawPredictionCol=f"_raw{k}", maxIter=trees, maxDepth=depth, seed=seed) for k in range(classes)]
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    rows = prepared(frame.where(F.col(target).isNotNull()), list(numeric), list(categorical), list(lists)).withColumn("label", F.col(target).cast("double"))
-    return Pipeline(stages=[*feature_stages(list(numeric), list(categorical), list(lists)), model]).fit(rows)
+    return Pipeline(stages=[*feature_stages(list(numeric), list(categorical), list(lists)), *models]).fit(rows)
 
 
 def predict(model: PipelineModel, frame: DataFrame, kind: str, numeric: list[str], categorical: list[str] = (), lists: list[str] = ()) -> DataFrame:
-    """``frame`` with ``xgb_prediction`` (clipped to 0-1 for regression) and, for two classes, ``xgb_probability``; columns the frame lacks are empty."""
+    """``frame`` with ``xgb_prediction`` (clipped to 0-1 for regression), for two classes ``xgb_probability``, for more
+    ``xgb_probabilities`` (of all classes, their sum is 1); columns the frame lacks are empty.
+    """
     missing = {c: F.lit(None).cast("string") for c in [*numeric, *categorical, *lists] if c not in frame.columns}
     out = model.transform(prepared(frame.withColumns(missing) if missing else frame, list(numeric), list(categorical), list(lists)))
-    p = F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)) if kind == "regression" else F.col("prediction")
-    extra = [vector_to_array("probability")[1].alias("xgb_probability")] if kind == "binary" else []
-    return out.select(*frame.columns, p.alias("xgb_prediction"), *extra)
+    if kind == "regression":
+        return out.select(*frame.columns, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("xgb_prediction"))
+    if kind == "binary":
+        return out.select(*frame.columns, F.col("prediction").alias("xgb_prediction"), vector_to_array("probability")[1].alias("xgb_probability"))
+    own = [vector_to_array(m.getProbabilityCol())[1] for m in model.stages if m.hasParam("probabilityCol")]
+    shares = out.select(*frame.columns, F.array(*own).alias("_own")).withColumn("_sum", F.aggregate("_own", F.lit(0.0), lambda a, x: a + x))
+    best = (F.array_position("_own", F.array_max("_own")) - 1).cast("double")
+    return shares.select(*frame.columns, best.alias("xgb_prediction"), F.transform("_own", lambda p: p / F.col("_sum")).alias("xgb_probabilities"))
 
 
 def importances(model: PipelineModel, names: list[str], top: int = 10) -> list[tuple[str, float]]:
@@ -142,8 +150,8 @@ def confusion(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     return scored.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
 
-def classification_report(scored: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Accuracy, macro and weighted F1 from the confusion counts."""
+def classification_report(scored: DataFrame, label: str, prediction: str, scores: list[Column] | None = None) -> DataFrame:
+    """Accuracy, macro and weighted F1 from the confusion counts; with ``scores`` (see ``auc_report``) the area too."""
     c = confusion(scored, label, prediction)
     per = (
         c.select("label", F.lit(0).alias("pred"), "n", F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp")).withColumnRenamed("label", "k")
@@ -151,14 +159,51 @@ def classification_report(scored: DataFrame, label: str, prediction: str) -> Dat
         .groupBy("k").agg(F.sum("n").alias("n"), F.sum("pred").alias("pred"), F.sum("tp").alias("tp"))
     )
     f1 = F.when(F.col("n") + F.col("pred") > 0, 2 * F.col("tp") / (F.col("n") + F.col("pred"))).otherwise(0.0)
-    return per.withColumn("f1", f1).agg(
+    report = per.withColumn("f1", f1).agg(
         F.round(F.sum("tp") / F.sum("n"), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("n")) / F.sum("n"), 6).alias("weighted_f1")
     )
+    return report.join(F.broadcast(auc_report(scored, label, scores))) if scores else report  # one row each
+
+
+def auc_report(scored: DataFrame, label: str, scores: list[Column]) -> DataFrame:
+    """One row ``auc``: the area under the ROC curve by mean ranks of the scores, ties sharing a rank.
+
+    One score is that of class 1; of several the k-th is that of class k against the rest, and their areas are averaged
+    (a class that is empty or holds all rows counts for nothing).
+    """
+    areas = None
+    for k, score in enumerate(scores):
+        hit = F.col(label) == (k if len(scores) > 1 else 1)
+        n = scored.select(score.cast("double").alias("v"), hit.cast("long").alias("y")).groupBy("v").agg(F.count("*").alias("_n"), F.sum("y").alias("_pos"))
+        p, total = F.sum("_pos"), F.sum("_n")
+        area = F.try_divide(F.sum(F.col("_pos") * (F.col("_upto") - (F.col("_n") - 1) / 2)) - p * (p + 1) / 2, p * (total - p))
+        one = _running(n, "v").agg(area.alias("area"))
+        areas = one if areas is None else areas.unionAll(one)
+    return areas.agg(F.round(F.avg("area"), 6).alias("auc"))
+
+
+def k_fold(frame: DataFrame, target: str, kind: str, numeric: list[str], categorical: list[str] = (), lists: list[str] = (), folds: int = 5, id_col: str = "user_id", trees: int = 20, depth: int = 4) -> DataFrame:
+    """``(fold, score)``: R2 (regression) or macro F1 (classes) on each fold of a model trained on the others.
+
+    Folds go by a hash of the id, so they repeat.  ``frame`` is read several times for each fold: hand over a written one.
+    """
+    cut = frame.withColumn("_fold", F.pmod(F.xxhash64(id_col), F.lit(folds)))
+    out = None
+    for k in range(folds):
+        model = train(cut.where(F.col("_fold") != k), target, kind, numeric, categorical, lists, trees, depth)
+        guessed = predict(model, cut.where(F.col("_fold") == k), kind, numeric, categorical, lists)
+        score = regression_report(guessed, target, "xgb_prediction").select(F.col("r2").alias("score")) if kind == "regression" else classification_report(guessed, target, "xgb_prediction").select(F.col("macro_f1").alias("score"))
+        one = score.select(F.lit(k).alias("fold"), "score")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def fold_summary(folds: DataFrame) -> DataFrame:
+    return folds.agg(F.count("score").alias("folds"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"))
 
 
 def auc(scored: DataFrame, label: str, score: str) -> float:
-    rows = scored.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("rawPrediction"))
-    return BinaryClassificationEvaluator().evaluate(rows)
+    return auc_report(scored, label, [F.col(score)]).first()["auc"]
 
 
 def mined_paths(frame: DataFrame, features: list[str], label: str = "is_lead", depth: int = 6, least: int = 10) -> tuple[DecisionTreeClassifier, DataFrame]:

@@ -163,7 +163,11 @@ def placements(groups: DataFrame, rules: DataFrame, cpm: float = 50.0) -> DataFr
 
 
 def creatives(groups: DataFrame, themes: DataFrame, library: DataFrame, k: int = 3) -> DataFrame:
-    """The first k creatives of every (item, need group) whose text contains one of the need's themes."""
-    hit = groups.join(F.broadcast(themes), "need_name").join(F.broadcast(library), F.col("text").contains(F.col("theme")))
-    one = hit.select("item", "need_name", "creative_id").distinct()
-    return one.withColumn("place", F.row_number().over(W.partitionBy("item", "need_name").orderBy("creative_id"))).where(F.col("place") <= k)
+    """The first k creatives of every (item, need group) whose text contains one of the need's themes.
+
+    Themes are a short list; the library may be of any size: each partition passes on the first k of each need, and
+    only those are joined to the groups.
+    """
+    hit = library.join(F.broadcast(themes), F.col("text").contains(F.col("theme"))).select("need_name", "creative_id").distinct()
+    first = hit.withColumn("place", F.row_number().over(W.partitionBy("need_name").orderBy("creative_id"))).where(F.col("place") <= k)
+    return groups.select("item", "need_name").distinct().join(first, "need_name").select("item", "need_name", "creative_id", "place")

@@ -38,6 +38,13 @@ def f3_text_conditions(spark, d):
     return table(spark, d, "customer").where(R.conditions(specs, "or")).select("c_custkey")
 
 
+def f4_overfit_guard(spark, d):
+    """Rules (one of each order, its lines as conditions) that name no user by id."""
+    li = table(spark, d, "lineitem")
+    field = F.when(F.col("l_linenumber") == 4, " User_ID").when(F.col("l_linenumber") == 2, "segment").otherwise("balance")
+    return R.without_users(li.select(F.col("l_orderkey").alias("rule"), field.alias("field"), F.col("l_partkey").alias("value")))
+
+
 def f6_attribute_filters(spark, d):
     e = raw_events(spark, d)
     return e.where(R.condition(R.attribute("brand"), "=", "b3") | R.condition(R.attribute("brand"), "is null") & R.condition(R.attribute("k").cast("int"), "<", 30)).groupBy("event_type", "brand").agg(F.count("*").alias("n"))
@@ -84,6 +91,15 @@ def a11_event_shares(spark, d):
     return L.field_distribution(raw_events(spark, d), ["event_type"], 50)
 
 
+def a11_unknown_keys(spark, d):
+    """The 50 most frequent keys of no known layout."""
+    k = (F.col("event_id") % 70).cast("string")
+    key = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("其他_"), k)).otherwise(F.concat(F.lit("试驾_m"), k))
+    kind, attrs = X.behaviour_key(F.col("key"))
+    e = table(spark, d, "events").select(key.alias("key")).select(kind.alias("kind"), F.try_element_at(attrs, F.lit("raw")).alias("raw"))
+    return L.field_distribution(e.where("kind = 'unknown'"), ["raw"], 50)
+
+
 def a14_diversity(spark, d):
     e = raw_events(spark, d).where(F.col("event_type") != R.TARGET)
     return e.groupBy("user_id").agg(F.size(F.collect_set("brand")).alias("n_brands"), F.size(F.collect_set("model")).alias("n_models"), F.count("*").alias("n"))
@@ -182,7 +198,7 @@ def d20_long_commute(spark, d):
     return N.infer_needs(need_queries.users(spark, d), [r for r in N.need_rules(need_queries.WORDS) if r.rule_id == "long_commute"]).where("long_commute").select("user_id")
 
 
-QUERIES = {f.__name__: f for f in (f1_target_guard, f2_conditions, f3_text_conditions, f6_attribute_filters, f11_valid_status, f13_touched_users, f14_minimum_coverage, j7_exists_split, j9_a_before_b, j10_shared_attribute, j11_profile_behaviour_predicate, a11_event_shares, a14_diversity, t2_stratified_split, w7_softmax, w9_latest_update, r15_rule_sets, d49_feature_flags, p6_decoded, p21_platform_articles, s4_nested_behaviours, s7_users_and_views, s15_saved_table, s17_prediction_csv, d32_label_encoding, d20_long_commute)}
+QUERIES = {f.__name__: f for f in (f1_target_guard, f2_conditions, f3_text_conditions, f4_overfit_guard, f6_attribute_filters, f11_valid_status, f13_touched_users, f14_minimum_coverage, j7_exists_split, j9_a_before_b, j10_shared_attribute, j11_profile_behaviour_predicate, a11_event_shares, a11_unknown_keys, a14_diversity, t2_stratified_split, w7_softmax, w9_latest_update, r15_rule_sets, d49_feature_flags, p6_decoded, p21_platform_articles, s4_nested_behaviours, s7_users_and_views, s15_saved_table, s17_prediction_csv, d32_label_encoding, d20_long_commute)}
 
 _W = f"WITH {SQL}"
 _D49 = FLAGS + " SELECT user_id, ad_click_user AS f_ad_click_user, multi_brand_search AS f_multi_brand_search, full_funnel_user AS f_full_funnel_user FROM flags"
@@ -190,6 +206,7 @@ ORACLE = {
     "f1_target_guard": f"{_W} SELECT event_type, COUNT(*) AS n FROM raw WHERE event_type <> 'lead_submit' GROUP BY 1",
     "f2_conditions": f"{_W} SELECT user_id, segment, nation FROM profile WHERE balance >= 100 AND nation IN (1, 2, 3, 4, 5) AND segment <> 'BUILDING'",
     "f3_text_conditions": "SELECT c_custkey FROM customer WHERE contains(c_name, '00001') OR c_mktsegment = 'AUTOMOBILE' OR starts_with(c_name, 'Customer#0000000')",
+    "f4_overfit_guard": "SELECT l_orderkey AS rule, COUNT(*) AS n_conditions FROM lineitem GROUP BY 1 HAVING COUNT(*) FILTER (l_linenumber = 4) = 0",
     "f6_attribute_filters": f"{_W} SELECT event_type, brand, COUNT(*) AS n FROM raw WHERE brand = 'b3' OR brand IS NULL AND k < 30 GROUP BY 1, 2",
     "f11_valid_status": "SELECT COUNT(*) FILTER (o_orderstatus IN ('O', 'F')) AS kept, COUNT(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS removed FROM orders",
     "f13_touched_users": f"WITH {need_queries.SQL} SELECT user_id FROM u WHERE n_views > 0 OR k % 5 > 3",
@@ -199,6 +216,7 @@ ORACLE = {
     "j10_shared_attribute": f"{_W} SELECT DISTINCT a.user_id, 'r' AS rule FROM raw a JOIN raw b ON a.user_id = b.user_id AND a.model = b.model WHERE a.event_type = 'view_car_detail' AND b.event_type = 'ad_click'",
     "j11_profile_behaviour_predicate": f"{_W} SELECT DISTINCT user_id FROM profile LEFT JOIN raw USING (user_id) WHERE nation < 5 AND event_type = 'ad_click' OR dwell > 3000",
     "a11_event_shares": f"{_W} SELECT 'event_type' AS field, event_type AS value, COUNT(*) AS n, ROUND(COUNT(*) * 100 / SUM(COUNT(*)) OVER (), 4) AS pct FROM raw GROUP BY event_type",
+    "a11_unknown_keys": "WITH g AS (SELECT '其他_' || (event_id % 70) AS value, COUNT(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT 'raw' AS field, value, n, ROUND(n * 100 / (SELECT SUM(n) FROM g), 4) AS pct FROM g ORDER BY n DESC, value LIMIT 50",
     "a14_diversity": f"{_W} SELECT user_id, COUNT(DISTINCT brand) AS n_brands, COUNT(DISTINCT model) AS n_models, COUNT(*) AS n FROM raw WHERE event_type <> 'lead_submit' GROUP BY 1",
     "t2_stratified_split": f"{_W}{_SPLIT} SELECT user_id, is_lead, split FROM parts",
     "w7_softmax": "SELECT c_custkey, ROUND(exp(c_acctbal / 10000 - MAX(c_acctbal / 10000) OVER n) / SUM(exp(c_acctbal / 10000 - m)) OVER n, 6) AS p FROM (SELECT *, MAX(c_acctbal / 10000) OVER (PARTITION BY c_nationkey) AS m FROM customer) WINDOW n AS (PARTITION BY c_nationkey)",

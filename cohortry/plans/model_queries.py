@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..sources import files as S
-from ..streaming.run import shared_folder
+from ..streaming.run import shared_folder, stored
 from .driver_tables import KINDS, SQL, profile, raw_events, table
 
 NAMES = sorted(set(KINDS.values()))
@@ -68,19 +68,47 @@ def d34_clipped_regression(spark, d):
     return M.predict(model, f.drop("n_brands"), "regression", NUMERIC, ["segment"]).select("user_id", "value", F.round("xgb_prediction", 6).alias("xgb_prediction"))
 
 
+def _classes(spark, d) -> DataFrame:
+    return _frame(spark, d).withColumn("cls", F.least(F.floor(F.col("view_car_detail__count") / 2), F.lit(2)))
+
+
 def d33_multi_class(spark, d):
-    f = _frame(spark, d).withColumn("cls", F.least(F.floor(F.col("view_car_detail__count") / 2), F.lit(2)))
-    model = M.train(f, "cls", "multi", NUMERIC, trees=5, depth=4)
-    return M.classification_report(M.predict(model, f, "multi", NUMERIC), "cls", "xgb_prediction")
+    """Boosted trees for three classes, judged on the held-out fifth."""
+    f = stored(_classes(spark, d))
+    model = M.train(f.where("fold > 0"), "cls", "multi", NUMERIC, trees=3, depth=3)
+    p = M.predict(model, f.where("fold = 0"), "multi", NUMERIC)
+    return M.classification_report(p, "cls", "xgb_prediction", [F.get("xgb_probabilities", F.lit(k)) for k in range(3)])
+
+
+def d34_class_probabilities(spark, d):
+    """All users with the probabilities of three classes."""
+    f = stored(_classes(spark, d))
+    p = M.predict(M.train(f.where("fold > 0"), "cls", "multi", NUMERIC, trees=3, depth=3), f.drop("n_brands"), "multi", NUMERIC)
+    return p.select("user_id", "cls", "xgb_prediction", *[F.round(F.get("xgb_probabilities", F.lit(k)), 6).alias(f"p{k}") for k in range(3)])
 
 
 def d51_holdout_reports(spark, d):
-    """A saved and reloaded model judged on the held-out fifth."""
-    f = _frame(spark, d)
-    path = f"{shared_folder(spark)}/model"
-    M.train(f.where("fold > 0"), "value", "regression", NUMERIC, trees=8, depth=3).write().overwrite().save(path)
-    model = M.PipelineModel.load(path)
-    return M.regression_report(M.predict(model, f.where("fold = 0"), "regression", NUMERIC), "value", "xgb_prediction")
+    """Saved and reloaded models of two targets judged on the held-out fifth, one row for each target and measure."""
+    f = stored(_frame(spark, d))
+    out = None
+    for target, kind in (("value", "regression"), ("is_lead", "binary")):
+        path = f"{shared_folder(spark)}/model"
+        M.train(f.where("fold > 0"), target, kind, NUMERIC, trees=5, depth=3).write().overwrite().save(path)
+        p = M.predict(M.PipelineModel.load(path), f.where("fold = 0"), kind, NUMERIC)
+        r = M.regression_report(p, target, "xgb_prediction") if kind == "regression" else M.classification_report(p, target, "xgb_prediction", [F.col("xgb_probability")])
+        rows = r.select(F.lit(target).alias("target"), "*").unpivot("target", r.columns, "measure", "value")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def d35_k_fold(spark, d):
+    """R2 of a regression on three folds: mean and deviation."""
+    return M.fold_summary(M.k_fold(stored(_frame(spark, d)), "value", "regression", NUMERIC, folds=3, trees=3, depth=3))
+
+
+def d36_k_fold(spark, d):
+    """Macro F1 of a classification on three folds: mean and deviation."""
+    return M.fold_summary(M.k_fold(stored(_frame(spark, d)), "is_lead", "binary", NUMERIC, folds=3, trees=3, depth=3))
 
 
 def t7_importances(spark, d):
@@ -91,7 +119,7 @@ def t7_importances(spark, d):
 
 def d28_mined_rules(spark, d):
     m = M.feature_matrix(profile(spark, d), raw_events(spark, d), NAMES)
-    _, leaves = M.mined_paths(m, [f"{k}__count" for k in NAMES] + ["n_actions"], depth=4, least=8)
+    _, leaves = M.mined_paths(m, [f"{k}__count" for k in NAMES] + ["n_actions"], depth=6, least=10)
     return M.leaf_rules(leaves)
 
 
@@ -109,6 +137,12 @@ def d36_classification_report(spark, d):
     return M.classification_report(_predictions(spark, d), "label", "pred")
 
 
+def d36_auc(spark, d):
+    """Areas of three classes against the rest, by scores that lean to the class."""
+    p = _predictions(spark, d)
+    return M.auc_report(p, "label", [F.col("p") + (F.col("pred") == k).cast("double") / (k + 2) for k in range(3)])
+
+
 def d36_confusion(spark, d):
     return M.confusion(_predictions(spark, d), "label", "pred")
 
@@ -138,6 +172,35 @@ def s5_load_summary(spark, d):
     return S.load_summary(profile(spark, d).withColumnRenamed("is_lead", "is_converted"), raw_events(spark, d))
 
 
+def s5_load_modes(spark, d):
+    """The same users loaded from merged records, from profiles and behaviours, and from labelled sets."""
+    out = shared_folder(spark)
+    key = F.when(F.col("event_type") == "purchase", F.lit("留资_x")).otherwise(F.col("event_type"))
+    flat = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id"), key.alias("res_key"), F.col("ts").cast("string").alias("timestamp"), F.col("value").alias("dur_time"))
+    users = stored(flat.groupBy("user_id").agg(F.max((F.col("res_key") == "留资_x").cast("int")).alias("is_converted"), F.collect_list(F.struct("res_key", "timestamp", "dur_time")).alias("user_events")))
+    users.drop("is_converted").write.json(f"{out}/merged")
+    users.select("user_id", "is_converted").write.json(f"{out}/profiles")
+    flat.write.json(f"{out}/behaviours")
+    users.where("is_converted = 1").drop("is_converted").write.json(f"{out}/pos")
+    users.drop("is_converted").write.json(f"{out}/neg")
+    rows = None
+    for mode, paths in (("merged", ["merged"]), ("split", ["profiles", "behaviours"]), ("labelled", ["pos", "neg"])):
+        one = S.load_summary(*S.load(spark, mode, *[f"{out}/{p}" for p in paths])).withColumn("mode", F.lit(mode))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def s1_json_arrays(spark, d):
+    """Users written as files that hold one JSON array each, and read back."""
+    out = shared_folder(spark)
+    e = table(spark, d, "events")
+    users = e.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.collect_list(F.struct(F.col("event_type").alias("res_key"), F.col("value").alias("dur_time"))).alias("user_events"))
+    # Sixteen files of arrays here; a large table takes JSON lines, which split.
+    arrays = users.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(16)).alias("file")).agg(F.to_json(F.collect_list(F.struct("user_id", "user_events"))).alias("value"))
+    arrays.write.partitionBy("file").text(f"{out}/arrays")
+    return S.exploded_events(S.read_users(spark, f"{out}/arrays", lines=False)).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("dur_time"), 2).alias("dwell"))
+
+
 def s6_csv_with_check(spark, d):
     out = shared_folder(spark)
     S.write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), f"{out}/c")
@@ -173,7 +236,7 @@ def a9_json_fields(spark, d):
     return S.field_type_rows(table(spark, d, "events"), "props")
 
 
-QUERIES = {f.__name__: f for f in (a13_feature_matrix, a16_event_flags, d30_column_kinds, d31_list_vocabulary, d31_multi_hot, d33_boosted_trees, d34_clipped_regression, d33_multi_class, d51_holdout_reports, t7_importances, d28_mined_rules, d35_regression_report, d36_classification_report, d36_confusion, s2_labelled_sets, s3_profiles_last_line, s5_load_summary, s6_csv_with_check, s8_partition_range, s14_append_results, s18_triples, s19_rule_output, a9_json_fields)}
+QUERIES = {f.__name__: f for f in (a13_feature_matrix, a16_event_flags, d30_column_kinds, d31_list_vocabulary, d31_multi_hot, d33_boosted_trees, d34_clipped_regression, d33_multi_class, d34_class_probabilities, d51_holdout_reports, d35_k_fold, d36_k_fold, d36_auc, t7_importances, d28_mined_rules, d35_regression_report, d36_classification_report, d36_confusion, s2_labelled_sets, s3_profiles_last_line, s5_load_summary, s5_load_modes, s1_json_arrays, s6_csv_with_check, s8_partition_range, s14_append_results, s18_triples, s19_rule_output, a9_json_fields)}
 
 _PRED = "p AS (SELECT o_totalprice / 500000 AS y, (o_totalprice + o_custkey % 50 * 1000) / 500000 AS p, o_orderkey % 3 AS label, (o_orderkey + CAST(o_custkey % 4 = 0 AS INT)) % 3 AS pred FROM orders)"
 _TAGS = "l AS (SELECT o_custkey AS user_id, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS tags FROM orders GROUP BY 1)"
@@ -185,6 +248,9 @@ ORACLE = {
     "d31_multi_hot": f"WITH {_TAGS} SELECT *, CAST(contains(tags, '1-URGENT') AS INT) AS \"tags__1-URGENT\", CAST(contains(tags, '5-LOW') AS INT) AS \"tags__5-LOW\" FROM l",
     "d35_regression_report": f"WITH {_PRED}, r AS (SELECT *, rank() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2 AS ry, rank() OVER (ORDER BY p) + (COUNT(*) OVER (PARTITION BY p) - 1) / 2 AS rp, AVG(y) OVER () AS m FROM p) SELECT ROUND(AVG(abs(y - p)), 6) AS mae, ROUND(sqrt(AVG((y - p) ** 2)), 6) AS rmse, ROUND(1 - SUM((y - p) ** 2) / SUM((y - m) ** 2), 6) AS r2, ROUND(corr(y, p), 6) AS pearson, ROUND(corr(ry, rp), 6) AS spearman FROM r",
     "d36_classification_report": f"WITH {_PRED}, k AS (SELECT k, COUNT(*) FILTER (label = k) AS n, COUNT(*) FILTER (pred = k) AS q, COUNT(*) FILTER (label = k AND pred = k) AS tp FROM p, (VALUES (0), (1), (2)) v(k) GROUP BY k) SELECT ROUND(SUM(tp) / SUM(n), 6) AS accuracy, ROUND(AVG(2 * tp / (n + q)), 6) AS macro_f1, ROUND(SUM(2 * tp / (n + q) * n) / SUM(n), 6) AS weighted_f1 FROM k",
+    "d36_auc": f"WITH {_PRED}, s AS (SELECT k, label = k AS y, p + CAST(pred = k AS DOUBLE) / (k + 2) AS v FROM p, (VALUES (0), (1), (2)) t(k)), r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY v) + (COUNT(*) OVER (PARTITION BY k, v) - 1) / 2 AS r FROM s), a AS (SELECT k, (SUM(r) FILTER (y) - COUNT(*) FILTER (y) * (COUNT(*) FILTER (y) + 1) / 2) / (COUNT(*) FILTER (y) * COUNT(*) FILTER (NOT y)) AS area FROM r GROUP BY k) SELECT ROUND(AVG(area), 6) AS auc FROM a",
+    "s5_load_modes": "WITH u AS (SELECT user_id, MAX(CAST(event_type = 'purchase' AS INT)) AS y, COUNT(*) AS n FROM events GROUP BY 1) SELECT mode, COUNT(*) AS users, ROUND(AVG(y), 6) AS rate, CAST(SUM(n) AS BIGINT) AS behaviours, COUNT(*) AS active_users FROM u, (VALUES ('merged'), ('split'), ('labelled')) m(mode) GROUP BY 1",
+    "s1_json_arrays": "SELECT CAST(user_id AS VARCHAR) AS user_id, COUNT(*) AS n, ROUND(SUM(value), 2) AS dwell FROM events GROUP BY 1",
     "d36_confusion": f"WITH {_PRED} SELECT CAST(label AS INT) AS label, CAST(pred AS INT) AS prediction, COUNT(*) AS n FROM p GROUP BY 1, 2",
     "s2_labelled_sets": "WITH p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(user_id IN (SELECT user_id FROM p) AS INT) AS is_lead, COUNT(*) AS n, ROUND(SUM(value), 2) AS dwell FROM events WHERE event_type = 'purchase' OR user_id NOT IN (SELECT user_id FROM p) GROUP BY 1, 2",
     "s3_profiles_last_line": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'later' ELSE c_mktsegment END AS seg, COUNT(*) AS n FROM customer GROUP BY 1",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import needs as N
+from ..sources import files as S
+from ..streaming.run import shared_folder
 from .driver_tables import table
 
 WORDS = N.NeedWords(pure_ev="ev", plug_in=("phev", "erev"), fuel=("fuel", "erev"), large=("large",), small=("small",), low_end=("low",), high_end=("high",), active=("much",))
@@ -89,6 +91,28 @@ def s16_label_matrix(spark, d):
     return i.select("user_id", "device_price_tier", *[F.col(n).cast("int").alias(n) for n in names])
 
 
+def s7_csv_pair(spark, d):
+    """Users and views written as a pair of CSV files and read back, views grouped by user."""
+    out = shared_folder(spark)
+    u = users(spark, d)
+    S.write_csv(u.select("user_id", "device_price_tier"), f"{out}/users")
+    S.write_csv(u.select("user_id", F.explode("views").alias("v")).select("user_id", "v.*"), f"{out}/cars")
+    columns = ["power_type", "body_type", "car_price_band", "car_size_level"]
+    pair = S.with_views(S.read_csv(spark, f"{out}/users", ["user_id"]), S.read_csv(spark, f"{out}/cars", ["user_id", *columns]), columns)
+    return pair.select(F.col("user_id").cast("long").alias("user_id"), "device_price_tier", F.size("views").alias("n_views"))
+
+
+def s16_tagged_csv(spark, d):
+    """The tagged users written as CSV and read back."""
+    out = f"{shared_folder(spark)}/tagged"
+    rules, names = N.need_rules(WORDS), list(CATEGORIES)
+    inferred = N.infer_needs(users(spark, d), rules)
+    fixed = ["generation_group", "commute_distance_delta"]
+    S.write_tagged(N.tagged(inferred, rules, CATEGORIES).join(inferred.select("user_id", *fixed, *names), "user_id"), fixed, names, out)
+    back = S.read_csv(spark, out, ["user_id", "need_count", "needs", "need_categories", *fixed, *names])
+    return back.select(F.col("user_id").cast("long").alias("user_id"), F.col("need_count").cast("int").alias("need_count"), F.coalesce("needs", F.lit("")).alias("needs"), "generation_group", *[F.col(n).cast("int").alias(n) for n in names])
+
+
 def d22_user_360(spark, d):
     i = N.tagged(N.infer_needs(users(spark, d), N.need_rules(WORDS)), N.need_rules(WORDS), CATEGORIES)
     u = users(spark, d).select("user_id", "device_price_tier", "generation_group", F.size("views").alias("n_views"))
@@ -139,7 +163,7 @@ def _journey_sql(k, nodes):
     return f"SELECT user_id, '{k}' AS journey_id, ROUND(({n}) / {len(nodes)} * CASE {cases} ELSE 1.0::DOUBLE END, 4) AS score, ROUND(({n}) / {len(nodes)}, 4) AS coverage, {missing} AS missing FROM e"
 
 
-QUERIES = {f.__name__: f for f in (d21_all_needs, d16_need_rows, a30_label_distribution, s16_label_matrix, d22_user_360, d23_rerun_changed, p11_city_policy, p12_generation, p28_implied_events, d24_journeys)}
+QUERIES = {f.__name__: f for f in (d21_all_needs, d16_need_rows, a30_label_distribution, s16_label_matrix, s7_csv_pair, s16_tagged_csv, d22_user_360, d23_rerun_changed, p11_city_policy, p12_generation, p28_implied_events, d24_journeys)}
 
 _W = f"WITH {SQL}"
 _ROWS = f"SELECT user_id, unnest({_LIST}) AS need FROM nd"
@@ -148,6 +172,8 @@ ORACLE = {
     "d16_need_rows": f"{_W} {_ROWS}",
     "a30_label_distribution": f"{_W}, r AS ({_ROWS}) SELECT need, COUNT(*) AS users, (SELECT COUNT(DISTINCT user_id) FROM r) AS labelled FROM r GROUP BY 1",
     "s16_label_matrix": f"{_W} SELECT user_id, {_pick_sql('k', ['low', 'high', 'mid'])} AS device_price_tier, " + ", ".join(f"CAST({n} AS INT) AS {n}" for n in _NAMES) + " FROM nd",
+    "s7_csv_pair": f"{_W}, c AS (SELECT user_id, COUNT(DISTINCT (power, body, band, size)) AS n FROM v GROUP BY 1) SELECT user_id, {_pick_sql('k', ['low', 'high', 'mid'])} AS device_price_tier, COALESCE(n, 0) AS n_views FROM u LEFT JOIN c USING (user_id)",
+    "s16_tagged_csv": f"{_W} SELECT user_id, len({_LIST}) AS need_count, array_to_string({_LIST}, '|') AS needs, gen AS generation_group, " + ", ".join(f"CAST({n} AS INT) AS {n}" for n in _NAMES) + " FROM nd",
     "d22_user_360": f"{_W} SELECT user_id, {_pick_sql('k', ['low', 'high', 'mid'])} AS device_price_tier, gen AS generation_group, n_views > 0 AS has_views, array_to_string({_LIST}, '|') AS needs FROM nd",
     "d23_rerun_changed": f"{_W}, r AS ({_ROWS}) SELECT * FROM r WHERE need IN ('green_plate', 'no_parking', 'plate_free', 'range_anxiety') AND user_id % 3 = 0",
     "p11_city_policy": f"WITH c AS (SELECT {_pick_sql('c_custkey', _CITIES)} AS city FROM customer) SELECT city, CASE city WHEN '北京市' THEN '燃油车仅限牌' WHEN '上海' THEN '燃油车仅限牌' WHEN '合肥' THEN '未知' ELSE '燃油车仅限行' END AS fuel, CASE city WHEN '北京市' THEN '新能源车仅限牌' WHEN '上海' THEN '新能源车仅限牌' WHEN '合肥' THEN '未知' ELSE '新能源车无限制' END AS ev, COUNT(*) AS n FROM c GROUP BY 1, 2, 3",

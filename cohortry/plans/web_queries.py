@@ -347,6 +347,17 @@ _KEPT = _U.format(1) + " || '://' || lower(" + _U.format(2) + ") || " + _PATH +
 _LANG = "CASE WHEN length(COALESCE(text, '')) = 0 THEN 'other' WHEN (length(substr(text, 1, 2000)) - length(regexp_replace(substr(text, 1, 2000), '[一-鿿]', '', 'g'))) / length(substr(text, 1, 2000)) > 0.05 THEN 'zh' WHEN (length(substr(text, 1, 2000)) - length(regexp_replace(substr(text, 1, 2000), '[a-zA-Z]', '', 'g'))) / length(substr(text, 1, 2000)) > 0.30 THEN 'en' ELSE 'other' END"
 _ART = "a AS (SELECT doc_id AS id, source, lang AS category, text, n_chars % 100 / 10 AS quality FROM documents)"
 _FACT = "fact AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS req_day, o_orderpriority AS channel, l_returnflag AS flag, l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def _short(text):
+    """SQL of a summary of at most 300 characters."""
+    s = "COALESCE(" + _FOLD.format(text) + ", '')"
+    cut = f"substr({s}, 1, 300)"
+    space = f"(length({cut}) - length(regexp_extract({cut}, '[^ ]*$')) - 1)"
+    back = f"rtrim(CASE WHEN NOT regexp_matches(substr({cut}, 300, 1), '[　-〿㐀-䶿一-鿿豈-﫿＀-￯]') AND {space} >= 270 THEN substr({cut}, 1, {space}) ELSE {cut} END)"
+    return f"CASE WHEN length({s}) <= 300 THEN {s} WHEN regexp_matches({back}, '(\\.\\.\\.|…)\\s*$') THEN {back} ELSE {back} || '…' END"
+
+
 _BRANDED = (1, 3, 4, 5, 6, 8, 9, 10, 13)
 
 ORACLE = {
@@ -364,6 +375,8 @@ ORACLE = {
     "p18_publish_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-20' WHEN 2 THEN '2023-11-05' WHEN 3 THEN '2023-12-30' END AS date, CASE page_id % 4 WHEN 0 THEN 'field' WHEN 2 THEN 'url_path' WHEN 3 THEN 'content_regex' ELSE 'none' END AS source, page_id % 4 = 0 AS within FROM pages",
     "p19_html_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2023-05-06' WHEN 2 THEN '2022-03-04' END AS date, CASE page_id % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'json_ld' WHEN 2 THEN 'url' ELSE 'none' END AS source FROM pages",
     "p20_html_fields": f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<meta[^>]+name=[\"'']description[\"''][^>]+content=[\"'']([^\"'']*)', 1), '\\s+', ' ', 'g')) AS description, length({_PLAIN}) AS n_plain FROM pages",
+    "p23_short_summaries": f"SELECT doc_id, {_short('text')} AS summary FROM documents",
+    "d50_longer_content": f"WITH b AS (SELECT page_id, {_PLAIN} AS body FROM pages), j AS (SELECT doc_id AS id, CASE WHEN length(COALESCE(text, '')) < 200 AND length(body) > length(COALESCE(text, '')) THEN body ELSE text END AS c FROM documents LEFT JOIN b ON page_id = doc_id) SELECT id, length(c) AS n, {_short('c')} AS summary FROM j",
     "p25_prompts": "SELECT c_custkey, 'Rate ' || c_name || ' of ' || c_mktsegment || ' (' || c_nationkey || ').' AS prompt FROM customer",
     "p26_scorer_checks": "SELECT doc_id, CASE WHEN length(text) % 5 = 0 THEN 'bad insight_type' WHEN length(text) % 11 = 0 THEN 'no thoughts' WHEN length(text) % 7 < 2 THEN 'fewer than 3 tags' END AS error, CASE WHEN length(text) % 5 > 0 AND length(text) % 11 > 0 AND length(text) % 7 >= 2 THEN array_to_string(list_transform(range(1, CAST(LEAST(length(text) % 7 + 2, 7) AS INT)), lambda i: 't' || i), ',') END AS tags, CASE WHEN length(text) % 13 <= 10 THEN CAST(length(text) % 13 AS DOUBLE) END AS score FROM documents",
     "p27_quality_totals": "SELECT doc_id, CASE WHEN length(text) % 9 = 0 THEN NULL WHEN length(text) % 3 = 0 AND length(text) % 14 <= 10 THEN CAST(length(text) % 14 AS DOUBLE) ELSE ROUND((length(text) % 10) * 0.2::DOUBLE + 1 * 0.1::DOUBLE + 2 * 0.4::DOUBLE + 3 * 0.15::DOUBLE + 4 * 0.1::DOUBLE + 5 * 0.05::DOUBLE, 1) END AS total FROM documents",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 USER_SCHEMA = "user_id string, user_tag string, user_events array<struct<res_key:string,event:string,timestamp:string,time_str:string,dur_time:double>>, is_converted int"
 
 
@@ -50,6 +52,44 @@ def load_summary(profiles: DataFrame, behaviours: DataFrame, label: str = "is_co
     return profiles.agg(F.count("*").alias("users"), F.round(F.avg(F.col(label).cast("double")), 6).alias("rate")).join(F.broadcast(b))
 
 
+def load(spark: SparkSession, mode: str, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles ``(user_id, ..., is_converted)`` and behaviours ``(user_id, event_raw, event_time, dur_time)`` of one of three layouts.
+
+    ``merged`` takes records of users with their events (a missing label is inferred from them), ``split`` profiles and
+    flat behaviours (the last line of a user counts), ``labelled`` a positive and a negative set (the first counts).
+    """
+    if mode == "merged":
+        (path,) = paths
+        users = read_users(spark, path)
+        users = users.withColumn("is_converted", F.coalesce("is_converted", X.converted_from_events(F.col("user_events"))))
+    elif mode == "split":
+        profiles, behaviours = paths
+        flat = spark.read.schema("user_id string, res_key string, event string, timestamp string, time_str string, dur_time double").json(behaviours)
+        events = flat.select("user_id", F.coalesce("res_key", "event").alias("event_raw"), F.coalesce("timestamp", "time_str").alias("event_time"), "dur_time")
+        return read_profiles(spark, profiles, "json"), events
+    elif mode == "labelled":
+        positive, negative = paths
+        both = labelled_sets(read_users(spark, positive), read_users(spark, negative))
+        users = both.withColumn("is_converted", F.col("is_lead")).drop("is_lead")
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    return users.select("user_id", "user_tag", "is_converted"), exploded_events(users)
+
+
+def with_views(users: DataFrame, views: DataFrame, columns: list[str], key: str = "user_id") -> DataFrame:
+    """``users`` with ``views``, the distinct rows of each in order (none: empty); rows without a user are left out."""
+    rows = views.where(F.coalesce(F.trim(F.col(key)), F.lit("")) != "")
+    grouped = rows.groupBy(F.trim(F.col(key)).alias(key)).agg(F.sort_array(F.collect_set(F.struct(*columns))).alias("views"))
+    out = users.join(grouped, key, "left")
+    return out.withColumn("views", F.coalesce("views", F.array().cast(out.schema["views"].dataType)))
+
+
+def write_tagged(tagged: DataFrame, fixed: list[str], labels: list[str], path: str) -> None:
+    """A CSV of users: id, number and lists of needs, ``fixed`` columns (nulls empty), and a 0/1 column for each label."""
+    flags = [F.coalesce(F.col(n).cast("int"), F.lit(0)).alias(n) for n in labels]
+    write_csv(tagged.select("user_id", F.col("n_needs").alias("need_count"), "needs", F.col("categories").alias("need_categories"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fixed], *flags), path)
+
+
 def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """CSV with a header; missing required columns raise ValueError naming them."""
     frame = spark.read.csv(path, header=True, multiLine=True, escape='"')
