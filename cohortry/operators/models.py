@@ -84,7 +84,10 @@ def train(frame: DataFrame, target: str, kind: str, numeric: list[str], categori
     elif kind == "multi":
         classes = int(rows.agg(F.max("label")).first()[0] or 0) + 1
         rows = rows.withColumns({f"_is{k}": (F.col("label") == k).cast("double") for k in range(classes)})
-        models = [GBTClassifier(labelCol=f"_is{k}", predictionCol=f"_hit{k}", probabilityCol=f"_prob{k}", rawPredictionCol=f"_raw{k}", maxIter=trees, maxDepth=depth, seed=seed) for k in range(classes)]
+        models = [
+            GBTClassifier(labelCol=f"_is{k}", predictionCol=f"_hit{k}", maxIter=trees, maxDepth=depth, seed=seed).setProbabilityCol(f"_prob{k}").setRawPredictionCol(f"_raw{k}")
+            for k in range(classes)
+        ]
     else:
         raise ValueError(f"unknown kind {kind!r}")
     return Pipeline(stages=[*feature_stages(list(numeric), list(categorical), list(lists)), *models]).fit(rows)

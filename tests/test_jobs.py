@@ -103,3 +103,37 @@ def test_caps_of_apps_and_behaviours(spark):
     b = spark.createDataFrame([("u", "d", f"2024-01-{i:02d}", i, i) for i in range(1, 6)], "account string, device string, day string, app int, line int")
     got = T.latest_behaviours({"x": b, "y": b.where("app < 2")}, 2).collect()
     assert sorted((r["source"], r["app"]) for r in got) == [("x", 4), ("x", 5), ("y", 1)]
+
+
+def test_classes_areas_and_folds(spark):
+    f = spark.range(240).select(F.col("id").alias("user_id"), (F.col("id") % 12).cast("double").alias("x"), F.floor(F.col("id") % 12 / 4).cast("int").alias("y"))
+    p = M.predict(M.train(f, "y", "multi", ["x"], trees=2, depth=2), f, "multi", ["x"])
+    assert p.where("xgb_prediction <> y or abs(aggregate(xgb_probabilities, 0d, (a, x) -> a + x) - 1) > 1e-9").count() == 0
+    report = M.classification_report(p, "y", "xgb_prediction", [F.get("xgb_probabilities", F.lit(k)) for k in range(3)]).first()
+    assert report["accuracy"] == 1 and report["auc"] == 1
+    folds = M.k_fold(f.withColumn("t", F.col("x") / 12), "t", "regression", ["x"], folds=2, trees=2, depth=3)
+    assert folds.count() == 2 and M.fold_summary(folds).first()["mean"] > 0.9
+
+
+def test_areas_by_counting_pairs(spark):
+    rows = [(int(i * 7 % 5 < 2), float(i * 3 % 4)) for i in range(40)]
+    pairs = [(a > b) + (a == b) / 2 for y, a in rows if y for z, b in rows if not z]
+    assert M.auc(spark.createDataFrame(rows, "y int, s double"), "y", "s") == pytest.approx(sum(pairs) / len(pairs), abs=1e-6)
+    assert M.auc(spark.createDataFrame([(1, 0.5)], "y int, s double"), "y", "s") is None
+    assert M.auc(spark.createDataFrame([], "y int, s double"), "y", "s") is None
+
+
+def test_rules_that_name_users_go(spark):
+    from cohortry.functions import rules as R
+
+    c = spark.createDataFrame([("a", "city"), ("a", "USER_ID "), ("b", "age"), ("c", None)], "rule string, field string")
+    assert sorted(map(tuple, R.without_users(c).collect())) == [("b", 1), ("c", 1)]
+
+
+def test_load_modes(spark, tmp_path):
+    event = '{{"res_key": "{}", "timestamp": "t", "dur_time": 1.0}}'
+    (tmp_path / "m.json").write_text('{"user_id": "1", "user_events": [' + event.format("留资_a") + ']}\n{"user_id": "2", "is_converted": 0, "user_events": null}\n')
+    profiles, behaviours = files.load(spark, "merged", str(tmp_path / "m.json"))
+    assert sorted((r["user_id"], r["is_converted"]) for r in profiles.collect()) == [("1", 1), ("2", 0)] and behaviours.count() == 1
+    with pytest.raises(ValueError, match="other"):
+        files.load(spark, "other")
