@@ -24,12 +24,21 @@ def bind(fact: DataFrame, binding: DataFrame, device: str = "device", account: s
     return fact.join(bound, device)
 
 
+#: Rows of a dimension or list that are broadcast at most; more are joined by a shuffle.
+SMALL = 200_000
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """``frame``, marked for broadcast if it has at most SMALL rows."""
+    return F.broadcast(frame) if frame.limit(SMALL + 1).count() <= SMALL else frame
+
+
 def with_dimension(fact: DataFrame, dim: DataFrame, key: str, name: str, on: Column | None = None, out: str | None = None) -> DataFrame:
-    """``fact`` with ``name`` of a small dimension, or the raw key where the dimension lacks it.
+    """``fact`` with ``name`` of a dimension, or the raw key where the dimension lacks it.
 
     ``on`` is an extra condition on the fact under which alone the dimension is looked up.
     """
-    d = F.broadcast(dim.select(F.col(key).alias("_key"), F.col(name).alias("_name")))
+    d = small(dim.select(F.col(key).alias("_key"), F.col(name).alias("_name")))
     match = (fact[key] == F.col("_key")) if on is None else (fact[key] == F.col("_key")) & on
     return fact.join(d, match, "left").withColumn(out or name, F.coalesce("_name", F.col(key).cast("string"))).drop("_key", "_name")
 
@@ -54,7 +63,7 @@ def polymorphic(data_id: str, layout: dict[str, dict[str, Column]], names: list[
 
 def not_listed(frame: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in a blacklist; null keys of the list count for nothing."""
-    return frame.join(F.broadcast(listed.where(F.col(key).isNotNull()).select(key).distinct()), key, "left_anti")
+    return frame.join(small(listed.where(F.col(key).isNotNull()).select(key).distinct()), key, "left_anti")
 
 
 def capped(frame: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:

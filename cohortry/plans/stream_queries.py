@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import needs as N
 from ..streaming import events as E
-from ..streaming.run import drained, shared_folder
+from ..streaming.run import drained, newest, shared_folder
 from . import need_queries
 
 KIND = {"view": "view", "click": "profile", "signup": "journey", "error": "profile", "purchase": "journey"}
@@ -35,11 +35,11 @@ def _text(c="ts"):
 
 
 def st1_latest_fields(spark, d):
-    return drained(E.latest_fields(stream(spark, d)), "complete").select("user_id", "field", F.col("value").cast("double").alias("value"))
+    return newest(E.latest_fields(stream(spark, d)), ["user_id", "field"]).select("user_id", "field", F.col("value").cast("double").alias("value"))
 
 
 def st2_view_sets(spark, d):
-    return drained(E.view_sets(stream(spark, d)), "complete").select("user_id", "car", F.col("attributes").cast("double").alias("attributes"), _text("first_seen"))
+    return newest(E.view_sets(stream(spark, d)), ["user_id", "car"]).select("user_id", "car", F.col("attributes").cast("double").alias("attributes"), _text("first_seen"))
 
 
 def st3_needs_after_events(spark, d):
@@ -69,7 +69,7 @@ def _lines(spark, d) -> DataFrame:
 
 
 def st4_rejects(spark, d):
-    return drained(E.batch_summary(E.parsed(_lines(spark, d))), "complete")
+    return newest(E.batch_summary(E.parsed(_lines(spark, d))), ["kind", "status"])
 
 
 def st5_journey_log(spark, d):

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,3 +54,26 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     if query.exception():
         raise query.exception()
     return spark.read.schema(stream.schema).parquet(out) if each is None else spark.read.parquet(out)
+
+
+def newest(stream: DataFrame, key: list[str]) -> DataFrame:
+    """The last version of each row of a stream in update mode, rows being known by ``key``; without data, no rows.
+
+    A batch writes only what it changed, to a folder of its own, which a repeated batch replaces; the version of a
+    row's latest batch counts.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark)
+    out = f"{folder}/out"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("update").foreachBatch(save).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    others = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("_row")).select(*key, "_row.*").select(*stream.columns)

@@ -137,3 +137,26 @@ def test_load_modes(spark, tmp_path):
     assert sorted((r["user_id"], r["is_converted"]) for r in profiles.collect()) == [("1", 1), ("2", 0)] and behaviours.count() == 1
     with pytest.raises(ValueError, match="other"):
         files.load(spark, "other")
+
+
+def test_newest_versions_over_batches(spark, tmp_path):
+    from cohortry.streaming.run import newest
+
+    for i, rows in enumerate(["1 a\n2 b\n", "2 c\n3 d\n2 e\n"]):
+        (tmp_path / f"{i}.txt").write_text(rows)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path))
+    counts = lines.groupBy(F.substring("value", 1, 1).alias("k")).agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, newest(counts, ["k"]).collect())) == [("1", 1), ("2", 3), ("3", 1)]
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.text(str(tmp_path / "none")).groupBy("value").agg(F.count("*").alias("n"))
+    assert newest(empty, ["value"]).count() == 0
+
+
+def test_dimension_beyond_the_bound_is_not_broadcast(spark, monkeypatch):
+    fact = spark.createDataFrame([(1,), (2,), (None,)], "app int")
+    dim = spark.createDataFrame([(1, "one"), (3, "three")], "app int, app_name string")
+    want = [("None", None), ("1", "one"), ("2", "2")]
+    for most in (200_000, 1):
+        monkeypatch.setattr(T, "SMALL", most)
+        assert sorted(((str(r["app"]), r["app_name"]) for r in T.with_dimension(fact, dim, "app", "app_name").collect()), key=str) == sorted(want, key=str)
+        assert sorted(r["app"] for r in T.not_listed(fact.where("app is not null"), dim, "app").collect()) == [2]
