@@ -358,6 +358,31 @@ def _short(text):
     return f"CASE WHEN length({s}) <= 300 THEN {s} WHEN regexp_matches({back}, '(\\.\\.\\.|…)\\s*$') THEN {back} ELSE {back} || '…' END"
 
 
+def _part(url, n):
+    """SQL of a part of a URL: 1 scheme, 2 host, 3 path, 4 query."""
+    return _U.format(n).replace("(url,", f"({url},", 1)
+
+
+def _domain(url):
+    p = f"string_split(lower({_part(url, 2)}), '.')"
+    return f"array_to_string(CASE WHEN len({p}) >= 3 AND length(({p})[-2]) <= 3 THEN ({p})[-3:] WHEN len({p}) >= 2 THEN ({p})[-2:] ELSE {p} END, '.')"
+
+
+_WEB = f"CASE WHEN lower({_part('url', 1)}) IN ('http', 'https') THEN {_CANON} END"
+_ROOT = f"{_part('page', 1)} || '://' || {_part('page', 2)}"
+_FOLDER = f"regexp_extract({_part('page', 3)}, '^(.*/)[^/]*$', 1)"
+#: Every link of every page, resolved and canonical; the first place of each link of a page.
+_LINKS = rf"""hr AS (SELECT page_id, url AS page, {_WEB} AS own, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages),
+h AS (SELECT page_id, page, own, trim(unnest(hs)) AS h, unnest(range(len(hs))) AS place FROM hr),
+ab AS (SELECT page_id, page, own, place, CASE WHEN h = '' OR regexp_matches(h, '^(#|javascript:|mailto:|tel:)') THEN NULL WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN {_part('page', 1)} || ':' || h WHEN starts_with(h, '/') THEN {_ROOT} || h WHEN starts_with(h, '?') THEN {_ROOT} || {_part('page', 3)} || h ELSE {_ROOT} || CASE WHEN {_FOLDER} = '' THEN '/' ELSE {_FOLDER} END || h END AS url FROM h),
+fl AS (SELECT page_id, ANY_VALUE(page) AS page, ANY_VALUE(own) AS own, MIN(place) AS place, link FROM (SELECT *, {_WEB} AS link FROM ab) WHERE link IS NOT NULL GROUP BY page_id, link)"""
+_SEGMENTS = f"list_filter(string_split({_part('link', 3)}, '/'), lambda x: x <> '')"
+_OUTSIDE = ", ".join(f"'{x}'" for x in X.OUTSIDE)
+_PAGING = ", ".join(f"'{x}'" for x in X.PAGING)
+_SCORED = f"""pt AS (SELECT *, {_part('link', 3)} AS path, {_domain('link')} AS dom, {_domain('page')} AS home, {_SEGMENTS} AS seg, list_transform(string_split({_part('link', 4)}, '&'), lambda x: lower(split_part(x, '=', 1))) AS ks FROM fl),
+sc AS (SELECT page_id, link, place, CASE WHEN dom <> home AND dom IN ({_OUTSIDE}) OR link = own OR regexp_matches(path, '{X.FILES}') OR regexp_matches(path, '{X.NOT_ARTICLES}') THEN -10 ELSE
+CASE WHEN dom = home THEN 1 ELSE 0 END + CASE WHEN len(seg) < 1 THEN -5 WHEN len(seg) = 1 THEN -2 WHEN len(seg) = 2 THEN 1 ELSE 2 END + CASE WHEN regexp_matches(path, '/\\d{{5,}}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(path, '{X.ARTICLES}') THEN 2 ELSE 0 END
++ CASE WHEN contains(COALESCE(seg[-1], ''), '-') AND length(seg[-1]) > 10 THEN 1 ELSE 0 END + CASE WHEN list_has_any(ks, [{_PAGING}]) THEN -3 ELSE 0 END END AS score FROM pt)"""
 _BRANDED = (1, 3, 4, 5, 6, 8, 9, 10, 13)
 
 ORACLE = {
@@ -375,6 +400,8 @@ ORACLE = {
     "p18_publish_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-20' WHEN 2 THEN '2023-11-05' WHEN 3 THEN '2023-12-30' END AS date, CASE page_id % 4 WHEN 0 THEN 'field' WHEN 2 THEN 'url_path' WHEN 3 THEN 'content_regex' ELSE 'none' END AS source, page_id % 4 = 0 AS within FROM pages",
     "p19_html_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2023-05-06' WHEN 2 THEN '2022-03-04' END AS date, CASE page_id % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'json_ld' WHEN 2 THEN 'url' ELSE 'none' END AS source FROM pages",
     "p20_html_fields": f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<meta[^>]+name=[\"'']description[\"''][^>]+content=[\"'']([^\"'']*)', 1), '\\s+', ' ', 'g')) AS description, length({_PLAIN}) AS n_plain FROM pages",
+    "w11_first_links": f"WITH {_LINKS} SELECT page_id, CAST(place AS INT) AS place, link FROM fl",
+    "d44_article_links": f"WITH {_LINKS}, {_SCORED}, rk AS (SELECT page_id, link, score, CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, place) AS INT) AS rank FROM sc WHERE score >= -1) SELECT * FROM rk WHERE rank <= 20",
     "p23_short_summaries": f"SELECT doc_id, {_short('text')} AS summary FROM documents",
     "d50_longer_content": f"WITH b AS (SELECT page_id, {_PLAIN} AS body FROM pages), j AS (SELECT doc_id AS id, CASE WHEN length(COALESCE(text, '')) < 200 AND length(body) > length(COALESCE(text, '')) THEN body ELSE text END AS c FROM documents LEFT JOIN b ON page_id = doc_id) SELECT id, length(c) AS n, {_short('c')} AS summary FROM j",
     "p25_prompts": "SELECT c_custkey, 'Rate ' || c_name || ' of ' || c_mktsegment || ' (' || c_nationkey || ').' AS prompt FROM customer",
