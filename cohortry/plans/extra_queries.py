@@ -20,6 +20,7 @@ from ..streaming.run import shared_folder
 from . import model_queries, need_queries, rule_sets
 from .audience_queries import _SPLIT, FLAGS, _stats, run_date
 from .driver_tables import SQL, profile, raw_events, table
+from .web_queries import _PLAIN
 
 
 def f1_target_guard(spark, d):
@@ -223,6 +224,7 @@ ORACLE = {
     "w9_latest_update": f"{_W} SELECT user_id, event_type, ROUND(dwell, 2) AS dwell FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY event_time DESC, dwell DESC) AS r FROM raw) WHERE r = 1",
     "d49_feature_flags": _D49,
     "p6_decoded": "SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' WHEN '5' THEN 'low' ELSE 'unknown' END AS priority, COUNT(*) AS n FROM orders GROUP BY 1",
+    "p21_platform_articles": f"SELECT * FROM (SELECT page_id, 'T' || page_id AS title, 'Author' AS author, strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS published, 'https://img.example/c.png' AS cover, length({_PLAIN}) AS n FROM pages) WHERE n >= 100",
     "s4_nested_behaviours": "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS event_raw, COUNT(*) AS n FROM events GROUP BY 1, 2",
     "s7_users_and_views": f"WITH {need_queries.SQL}, c AS (SELECT user_id, COUNT(DISTINCT (power, body, band, size)) AS n FROM v GROUP BY 1) SELECT u.user_id, COALESCE(n, 0) AS n_views FROM u LEFT JOIN c USING (user_id)",
     "s15_saved_table": _D49,

@@ -383,6 +383,22 @@ _SCORED = f"""pt AS (SELECT *, {_part('link', 3)} AS path, {_domain('link')} AS
 sc AS (SELECT page_id, link, place, CASE WHEN dom <> home AND dom IN ({_OUTSIDE}) OR link = own OR regexp_matches(path, '{X.FILES}') OR regexp_matches(path, '{X.NOT_ARTICLES}') THEN -10 ELSE
 CASE WHEN dom = home THEN 1 ELSE 0 END + CASE WHEN len(seg) < 1 THEN -5 WHEN len(seg) = 1 THEN -2 WHEN len(seg) = 2 THEN 1 ELSE 2 END + CASE WHEN regexp_matches(path, '/\\d{{5,}}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(path, '{X.ARTICLES}') THEN 2 ELSE 0 END
 + CASE WHEN contains(COALESCE(seg[-1], ''), '-') AND length(seg[-1]) > 10 THEN 1 ELSE 0 END + CASE WHEN list_has_any(ks, [{_PAGING}]) THEN -3 ELSE 0 END END AS score FROM pt)"""
+_DATE = r"((?:19|20)\d{2}[-/年.]\d{1,2}[-/月.]\d{1,2})"
+
+
+def _day(text):
+    return f"TRY_CAST(regexp_replace({text}, '[/年月.]', '-', 'g') AS DATE)"
+
+
+#: A page's date: meta, JSON-LD, URL, the first 400 characters of its text.
+_HTML_DATE = "COALESCE(" + ", ".join(
+    [
+        _day(f"""regexp_extract(html, '(?is)<meta[^>]+(?:published_time|pubdate|publishdate|date)["''][^>]+content=["'']{_DATE}', 1)"""),
+        _day(f"""regexp_extract(html, '(?is)"datePublished"\\s*:\\s*"{_DATE}', 1)"""),
+        _day(f"regexp_extract(url, '/{_DATE}', 1)"),
+        f"list_filter(list_transform(regexp_extract_all(substr(plain, 1, 400), '(?:^|\\D){_DATE}(?:\\D|$)', 1), lambda x: {_day('x')}), lambda x: x IS NOT NULL)[1]",
+    ]
+) + ")"
 _BRANDED = (1, 3, 4, 5, 6, 8, 9, 10, 13)
 
 ORACLE = {
@@ -400,6 +416,7 @@ ORACLE = {
     "p18_publish_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-20' WHEN 2 THEN '2023-11-05' WHEN 3 THEN '2023-12-30' END AS date, CASE page_id % 4 WHEN 0 THEN 'field' WHEN 2 THEN 'url_path' WHEN 3 THEN 'content_regex' ELSE 'none' END AS source, page_id % 4 = 0 AS within FROM pages",
     "p19_html_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2023-05-06' WHEN 2 THEN '2022-03-04' END AS date, CASE page_id % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'json_ld' WHEN 2 THEN 'url' ELSE 'none' END AS source FROM pages",
     "p20_html_fields": f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<meta[^>]+name=[\"'']description[\"''][^>]+content=[\"'']([^\"'']*)', 1), '\\s+', ' ', 'g')) AS description, length({_PLAIN}) AS n_plain FROM pages",
+    "p22_feed_summaries": f"""WITH p AS (SELECT *, {_PLAIN} AS plain FROM pages), e AS (SELECT page_id, substr(plain, 1, 500) AS summary, length(plain) AS n_content, len(regexp_extract_all(html, '(?i)<img\\b[^>]*?\\bsrc\\s*=\\s*["'']([^"'']+)["'']', 1)) AS n_images, {_HTML_DATE} AS date FROM p) SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM e WHERE date IS NULL OR date >= DATE '2024-01-01'""",
     "w11_first_links": f"WITH {_LINKS} SELECT page_id, CAST(place AS INT) AS place, link FROM fl",
     "d44_article_links": f"WITH {_LINKS}, {_SCORED}, rk AS (SELECT page_id, link, score, CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, place) AS INT) AS rank FROM sc WHERE score >= -1) SELECT * FROM rk WHERE rank <= 20",
     "p23_short_summaries": f"SELECT doc_id, {_short('text')} AS summary FROM documents",

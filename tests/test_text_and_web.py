@@ -123,3 +123,18 @@ def test_scenarios_and_names(spark):
     c = spark.createDataFrame([("ctr", "Click rate", "rate"), ("cost", "Cost", "spend")], "code string, name string, alias string")
     v = spark.createDataFrame([("CTR",), ("spend",), ("total cost",), ("zzz",), (None,)], "value string")
     assert {r["value"]: r["code"] for r in M.resolve_names(v, c).collect()} == {"CTR": "ctr", "spend": "cost", "total cost": "cost", "zzz": None}
+
+
+def test_feed_entries_by_cutoff(spark):
+    from cohortry.operators import web as B
+
+    meta = '<meta property="article:published_time" content="{}">'
+    rows = [
+        (1, "https://x.example/a", meta.format("2024-01-02") + "<p>new</p><img src='i.png'><img class=\"c\" src=\"j.png\">"),
+        (2, "https://x.example/2023/3/4/b", "<p>old</p>"),
+        (3, "https://x.example/c", "<p>" + "word " * 200 + "</p>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in B.feed_entries(pages, F.lit("2024-01-01").cast("date")).collect()}
+    assert sorted(got) == [1, 3] and got[1]["images"] == ["i.png", "j.png"] and str(got[1]["date"]) == "2024-01-02"
+    assert got[3]["date"] is None and len(got[3]["summary"]) == 500 and got[3]["n_content"] == 999
