@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, html_text, license_scan, line_dedup, mixing, simhash, tokens, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, html_text, license_scan, line_dedup, mixing, simhash, tokens, toxicity
 
 #: The tokenizer file of the token counts and of the chat budget.
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_exact_dedup,
             op9_chat_format,
             op10_license_scan,
+            op12_bpe_round_trip,
         )
     }
 
