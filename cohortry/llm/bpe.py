@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from .common import small_batches, tidy
 from .tokens import by_bytes
 
-#: Distinct pieces whose ids a Python worker remembers between batches, and the longest piece remembered, in characters.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+#: Longer texts are encoded in pieces of about so many characters.
+PIECE = 1 << 14
 #: White space as the library's own patterns know it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space runs from this length on are cut out of a text before its pattern is applied.
 LONG_WHITE = 10_000
 
-_unsafe = re.compile(r" (?:\s|\Z)").search
+_safe = re.compile(r" (?=\S)").search
 _long_white = re.compile(f"[{WHITE}]{{{LONG_WHITE},}}")
 
 _codecs: dict[tuple[str, str], "Codec"] = {}
@@ -30,9 +30,9 @@ _codecs: dict[tuple[str, str], "Codec"] = {}
 class Codec:
     """Encodes whole texts to ids and ids to raw bytes, with one file of ranks and one pattern that splits text.
 
-    Texts are cut where a match of the pattern always ends: before a space that a character other than white
+    Long texts are cut where a match of the pattern always ends: before a space that a character other than white
     space follows (the pattern lets a match start with such a space and lets no match run over it).  Each match
-    is encoded separately, so the ids of a text are those of its pieces in a row.  Equal pieces are encoded once.
+    is encoded separately, so the ids of a text are those of its pieces in a row.
 
     The pattern must be of that kind: an optional space opens words, numbers and signs, and white space is
     matched last.  The pattern's look-ahead fails inside the library (its stack ends) on white space of about a
@@ -47,21 +47,15 @@ class Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.library = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
+    def pieces(text: str) -> Iterator[str]:
         """``text`` cut at safe places; joined, the pieces give ``text`` again."""
-        cut = text.split(" ")
-        if not _unsafe(text):
-            return [cut[0], *[" " + w for w in cut[1:]]]
-        out = [cut[0]]
-        for w in cut[1:]:
-            if not w or w[0].isspace():
-                out[-1] += " " + w
-            else:
-                out.append(" " + w)
-        return out
+        at = 0
+        while len(text) - at > PIECE and (m := _safe(text, at + PIECE)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
 
     def _ids(self, piece: str) -> list[int]:
         encode, out, at = self.library.encode_ordinary, [], 0
@@ -74,18 +68,9 @@ class Codec:
                 at = stop
         return out + encode(piece[at:])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        missing = set().union(*cut).difference(known)
-        known.update((p, np.array(self._ids(p), "<u4").tobytes()) for p in missing)
-        out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
-        full = len(known) > CACHE_PIECES
-        for p in missing:
-            if full or len(p) > CACHE_CHARS:
-                del known[p]
-        return out
+    def encode(self, text: str | None) -> bytes:
+        """The ids of ``text`` as little-endian unsigned 32-bit integers; null counts as empty."""
+        return b"".join(np.array(self._ids(p), "<u4").tobytes() for p in self.pieces(text or ""))
 
     def decode(self, ids: bytes) -> bytes:
         """The raw bytes that ``ids`` stand for; they need not be UTF-8 (an id may hold part of a character)."""
@@ -111,7 +96,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in by_bytes(texts):
-                ids = encode(texts[i:j])
+                ids = [encode(t) for t in texts[i:j]]
                 ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
                 flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
@@ -146,10 +131,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            rows = []
-            for i, j in by_bytes(texts):
-                rows += [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x in own.encode(texts[i:j])]
+            ids = (own.encode(t.as_py()) for t in b.column(1))
+            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(own.decode(x)).hexdigest()) for x in ids]
             n, ids, back = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
