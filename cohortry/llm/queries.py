@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, license_scan, line_dedup, mixing, simhash, tokens, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, html_text, license_scan, line_dedup, mixing, periodic_runs, simhash, tokens, toxicity
 
 #: The tokenizer file of the token counts and of the chat budget.
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_report(periodic_runs.with_periods(_read(spark, sf_dir, "documents")))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_exact_dedup,
             op9_chat_format,
             op10_license_scan,
+            op11_periodic_runs,
             op12_bpe_round_trip,
         )
     }
