@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the given tables, and their SQL where SQL can say it."""
+"""The queries of the thirteen operators over the given tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, license_scan, line_dedup, mixing, periodic_runs, simhash, tokens, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, html_text, license_scan, line_dedup, mixing, periodic_runs, prefix_trie, simhash, tokens, toxicity
 
 #: The tokenizer file of the token counts and of the chat budget.
 TOKENIZER = "byte_bpe_50k.json"
@@ -73,6 +73,10 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(_read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_license_scan,
             op11_periodic_runs,
             op12_bpe_round_trip,
+            op13_prefix_trie,
         )
     }
 
@@ -136,4 +141,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": LINE_SQL,
         "op7_mixing": mixing.MIX_SQL.format(docs="documents"),
         "op8_exact_dedup": exact_dedup.EXACT_SQL,
+        "op13_prefix_trie": prefix_trie.TRIE_SQL,
     }
