@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import materialize, small_batches, tidy
 
-#: Bytes of benchmark text searched at a time; a larger benchmark goes in several blocks.
-BLOCK_BYTES = 16 << 20
+#: Benchmark words in a block, and blocks searched on one index of a shard.  A word takes 4 bytes in every worker and a distinct
+#: one 8 more; a benchmark beyond all blocks (about 100 MB of text) is searched by further passes over the documents.
+BLOCK_WORDS, BLOCKS = 4 << 20, 4
+#: Starts of windows looked up at a time.
+CHUNK = 1 << 18
 #: Words of one shard's index at most, but for a longer single document.
 SHARD_WORDS = 1 << 20
 #: Every so many text positions the index keeps one.
@@ -30,51 +34,98 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORDS).split() if text else []
 
 
-class Windows:
-    """The distinct windows of a block of benchmark items, as rows of word codes."""
+class Phrases:
+    """A block of benchmark items as one array of word numbers; windows are places in it, never rows of their own.
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int = 10):
+    A word is known by the 64-bit hash that ``hashed`` gave it: for a false hit all words of a window would have to clash at once.
+    """
+
+    def __init__(self, ids: list, sizes, hashes, width: int = 10):
+        import numpy as np
+
+        self.ids, self.width = ids, width
+        self.ends = np.cumsum(sizes)
+        self.vocabulary, codes = np.unique(hashes, return_inverse=True)
+        self.codes = codes.astype(np.int32)
+        some = np.asarray(sizes)[np.asarray(sizes) > 0]
+        self.shortest = int(min(some.min(), width)) if len(some) else 0
+
+    @classmethod
+    def of(cls, items: list[tuple[object, str | None]], width: int = 10) -> "Phrases":
         import numpy as np
 
-        self.codes: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            coded = [self.codes.setdefault(w, len(self.codes) + 2) for w in words(text)]
-            for i in range(max(1, len(coded) - width + 1)) if coded else ():
-                rows.setdefault(tuple(coded[i : i + width]), set()).add(item)
-        self.items = list(rows.values())
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.table = np.zeros((len(rows), width), np.int32)
-        for i, r in enumerate(rows):
-            self.table[i, : len(r)] = r
-        self.shortest = int(self.lengths.min()) if len(rows) else 0
-
-
-def shard_hits(texts: list[list[bytes]], windows: Windows) -> list[tuple[list[tuple[int, int]], set]]:
+        split = [words(t) for _, t in items]
+        return cls([i for i, _ in items], [len(w) for w in split], hashed([x for w in split for x in w]) if split else np.zeros(0, np.uint64), width)
+
+    def windows(self, dense) -> Iterator[tuple]:
+        """``(patterns, lengths, items)`` of the windows whose words all have a number in ``dense``, CHUNK places at a time.
+
+        An item shorter than a window is one window.
+        """
+        import numpy as np
+
+        n, width = len(self.codes), self.width
+        for low in range(0, n, CHUNK):
+            at = np.arange(low, min(n, low + CHUNK))
+            symbols = dense[self.codes[low : low + CHUNK + width]]
+            item = np.searchsorted(self.ends, at, side="right")
+            left = self.ends[item] - at
+            opens = at == np.where(item > 0, self.ends[item - 1], 0)
+            lengths = np.minimum(left, width)
+            missing = np.concatenate(([0], np.cumsum(symbols == 0)))
+            good = ((left >= width) | opens) & (missing[at - low + lengths] == missing[at - low])
+            place, lengths = (at - low)[good], lengths[good]
+            if len(place):
+                column = np.arange(width)
+                patterns = symbols[np.minimum(place[:, None] + column, len(symbols) - 1)]
+                yield np.where(column < lengths[:, None], patterns, 0), lengths, item[good]
+
+
+def hashed(some: list[bytes]):
+    """64-bit hashes of words."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, some), np.uint64, len(some))
+
+
+def shard_hits(texts: list[list[bytes]], blocks: list[Phrases]) -> list[tuple[list[tuple[int, int]], set]]:
     """For each document of a shard: merged spans (first word, last word + 1) that windows cover, and the items found.
 
-    Words outside the benchmark's vocabulary part the shard like document ends do: no
-    window holds one.  Stretches between them shorter than the shortest window can't
-    hold an occurrence and are left out of the index; all others are indexed.
+    Words that no block has part the shard like document ends do: no window holds one.  Stretches between them
+    shorter than the shortest window can't hold an occurrence and are left out of the index; all others are indexed, once
+    for all blocks.
     """
     import numpy as np
 
     from .fm_index import FMIndex
 
     found: list[tuple[list[tuple[int, int]], set]] = [([], set()) for _ in texts]
-    if not len(windows.lengths):
+    blocks = [b for b in blocks if b.shortest]
+    if not blocks:
         return found
-    get = windows.codes.get
+    # Numbers from 2 on for the words that shard and blocks share.
+    distinct = list(set().union(*texts))
+    own = hashed(distinct)
+    dense = []
+    shared = np.zeros(len(distinct), np.int64)
+    for b in blocks:
+        at = np.minimum(np.searchsorted(b.vocabulary, own), len(b.vocabulary) - 1)
+        dense.append((at, b.vocabulary[at] == own))
+        shared |= dense[-1][1]
+    number = np.where(shared > 0, np.cumsum(shared) + 1, 0)
+    known = {w: k for w, k in zip(distinct, number.tolist()) if k}
+    del distinct
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     # One part mark (code 1) behind every document.
     first = np.concatenate(([0], np.cumsum(sizes + 1)))
     stream = np.ones(int(first[-1]), np.int32)
     for at, n, t in zip(first.tolist(), sizes.tolist(), texts):
-        stream[at : at + n] = np.fromiter(map(get, t, repeat(1)), np.int32, n)
+        stream[at : at + n] = np.fromiter(map(known.get, t, repeat(1)), np.int32, n)
     part = np.flatnonzero(stream == 1)
     start = np.concatenate(([0], part[:-1] + 1))
     size = part - start
-    keep = size >= windows.shortest
+    keep = size >= min(b.shortest for b in blocks)
     start, size = start[keep], size[keep]
     if not len(start):
         return found
@@ -83,26 +134,30 @@ def shard_hits(texts: list[list[bytes]], windows: Windows) -> list[tuple[list[tu
     begin = np.concatenate(([0], np.cumsum(width)[:-1]))
     origin = np.arange(int(width.sum())) + np.repeat(start - begin, width)
     index = FMIndex(stream[origin], SAMPLE)
-    low, high = index.search(windows.table, windows.lengths)
-    hit = np.flatnonzero(high > low)
-    if not len(hit):
-        return found
-    count = (high - low)[hit]
-    which = np.repeat(hit, count)
-    rows = np.arange(int(count.sum())) + np.repeat(low[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-    at = origin[index.locate(rows)]
-    doc = np.searchsorted(first, at, side="right") - 1
-    order = np.lexsort((at, doc))
-    end = at + windows.lengths[which]
-    for d, i, j, w in zip(doc[order].tolist(), at[order].tolist(), end[order].tolist(), which[order].tolist()):
-        spans, items = found[d]
-        i, j = i - int(first[d]), j - int(first[d])
-        if spans and i <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(j, spans[-1][1]))
-        else:
-            spans.append((i, j))
-        items.update(windows.items[w])
-    return found
+    for block, (at, here) in zip(blocks, dense):
+        symbol = np.zeros(len(block.vocabulary), np.int32)
+        symbol[at[here]] = number[here]
+        for patterns, lengths, items in block.windows(symbol):
+            low, high = index.search(patterns, lengths)
+            hit = np.flatnonzero(high > low)
+            if not len(hit):
+                continue
+            count = (high - low)[hit]
+            which = np.repeat(hit, count)
+            rows = np.arange(int(count.sum())) + np.repeat(low[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
+            place = origin[index.locate(rows)]
+            doc = np.searchsorted(first, place, side="right") - 1
+            order = np.lexsort((place, doc))
+            end = place + lengths[which]
+            for d, i, j, k in zip(doc[order].tolist(), place[order].tolist(), end[order].tolist(), items[which[order]].tolist()):
+                spans, those = found[d]
+                i, j = i - int(first[d]), j - int(first[d])
+                if spans and spans[-1][0] <= i <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(j, spans[-1][1]))
+                else:
+                    spans.append((i, j))
+                those.add(block.ids[k])
+    return [(_merge(spans, []) if len(spans) > 1 else spans, those) for spans, those in found]
 
 
 def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -123,13 +178,24 @@ _KIND = pa.struct([
 ])
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark's items in blocks of about BLOCK_BYTES, read one block at a time."""
-    size = bench.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
+def _blocks(bench: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[Phrases]:
+    """The benchmark's items in blocks of about BLOCK_WORDS words; words are hashed by tasks, and one block at a time is fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            lists = [hashed(words(t.as_py())).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["i", "h"])
+
     rows = bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    made = materialize(small_batches(rows).mapInArrow(tidy(run), "i string, h array<long>"), "benchmark")
+    n = max(1, -(-(made.agg(F.sum(F.size("h"))).first()[0] or 0) // BLOCK_WORDS))
     for k in range(n):
-        yield [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+        block = made.where(F.pmod(F.xxhash64("i", "h"), F.lit(n)) == k).toArrow()
+        lists = block["h"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        yield Phrases(block["i"].to_pylist(), pa.compute.list_value_length(lists).to_numpy(), lists.flatten().to_numpy().view("u8"), width)
 
 
 def benchmark_hits(
@@ -158,16 +224,15 @@ def benchmark_hits(
 
 
 def _searched(docs, schema, bench, width, text_col, item_col, item_text_col, out_col, finish, last) -> DataFrame:
-    """``docs`` searched for one block of windows after the other; ``finish`` is done to batches of the last search."""
+    """``docs`` searched for BLOCKS blocks of phrases at a time; ``finish`` is done to batches of the last search."""
     sc = docs.sparkSession.sparkContext
-    blocks = _blocks(bench, item_col, item_text_col)
-    items, n = next(blocks), 0
-    while items is not None:
-        following = next(blocks, None)
-        run = _searcher(sc.broadcast(Windows(items, width)), text_col, out_col, n == 0)
-        done = finish if following is None else None
-        docs = docs.mapInArrow(tidy(_then(run, done)), last if following is None else schema)
-        items, n = following, n + 1
+    blocks = (sc.broadcast(b) for b in _blocks(bench, item_col, item_text_col, width))
+    now, n = list(islice(blocks, BLOCKS)), 0
+    while now:
+        following = list(islice(blocks, BLOCKS))
+        run = _searcher(now, text_col, out_col, n == 0)
+        docs = docs.mapInArrow(tidy(_then(run, None if following else finish)), schema if following else last)
+        now, n = following, n + 1
     return docs
 
 
@@ -176,19 +241,19 @@ def _then(run, finish):
 
 
 def _searcher(shared, text_col: str, out_col: str, first: bool):
-    """Searches one block of windows; after the first block, adds to what earlier ones found."""
+    """Searches some blocks of phrases; after the first ones, adds to what earlier ones found."""
 
     def hits(texts) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
-        windows = shared.value
+        phrases = [b.value for b in shared]
         shard: list[list[bytes]] = []
         size = 0
         for t in texts:
             shard.append(words(t.as_py()))
             size += len(shard[-1])
             if size >= SHARD_WORDS:
-                yield from ((len(w), *h) for w, h in zip(shard, shard_hits(shard, windows)))
+                yield from ((len(w), *h) for w, h in zip(shard, shard_hits(shard, phrases)))
                 shard, size = [], 0
-        yield from ((len(w), *h) for w, h in zip(shard, shard_hits(shard, windows)))
+        yield from ((len(w), *h) for w, h in zip(shard, shard_hits(shard, phrases)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from cohortry.llm import decontaminate as D
 from cohortry.llm.fm_index import FMIndex, suffix_array
@@ -50,23 +51,26 @@ def test_suffix_arrays_and_search():
             assert sorted(index.locate(np.arange(low[i], high[i])).tolist()) == want
 
 
-def test_shards_equal_brute_force():
+@pytest.mark.parametrize("chunk", [1 << 18, 5])
+def test_shards_equal_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(D, "CHUNK", chunk)
     rng = random.Random(3)
     letters = "ab cd ef gh é1 z".split()
     for _ in range(150):
         docs = [" ".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(8)]
         bench = [(str(i), " ".join(rng.choice(letters[:3]) for _ in range(rng.randint(0, 7)))) for i in range(6)]
         found = [D.words(d) for d in docs]
-        got = [(len(w), sum(j - i for i, j in s), sorted(x)) for w, (s, x) in zip(found, D.shard_hits(found, D.Windows(bench, 4)))]
+        k = rng.randint(0, 6)
+        got = [(len(w), sum(j - i for i, j in s), sorted(x)) for w, (s, x) in zip(found, D.shard_hits(found, [D.Phrases.of(b, 4) for b in (bench[:k], bench[k:])]))]
         assert got == brute(docs, bench, 4)
 
 
 def test_blocks_of_the_benchmark_agree(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, D.contamination(docs, bench).collect()))
-    monkeypatch.setattr(D, "BLOCK_BYTES", 3000)
-    monkeypatch.setattr(D, "SHARD_WORDS", 900)
-    assert len(list(D._blocks(bench, "item_id", "text"))) > 1
+    monkeypatch.setattr(D, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(D, "BLOCKS", 2)
+    assert len(list(D._blocks(bench, "item_id", "text", 10))) > 2
     assert sorted(map(tuple, D.contamination(docs, bench).collect())) == one
     items = [(str(r["item_id"]), r["text"]) for r in bench.collect()]
     rows = docs.orderBy("doc_id").collect()
@@ -86,3 +90,23 @@ def test_spans_are_cut_out(spark):
     assert (told[2]["n_words"], told[2]["contaminated"]) == (0, False)
     assert D.contamination(docs.limit(0), bench).count() == 0
     assert D.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_benchmark_of_several_megabytes_stays_small():
+    rng = np.random.default_rng(1)
+    n = 600_000
+    drawn = [b"w%x" % x for x in rng.integers(0, 1 << 40, 60_000)]
+    sizes = np.full(n // 150, 150)
+    hashes = D.hashed(drawn)[rng.integers(0, len(drawn), n)]
+    block = D.Phrases(list(map(str, range(len(sizes)))), sizes, hashes)
+    assert block.codes.nbytes + block.vocabulary.nbytes < 6 * n
+    by = dict(zip(D.hashed(drawn).tolist(), drawn))
+    copied = [by[h] for h in hashes[1500:1560].tolist()]
+    found = D.shard_hits([[b"other"] * 30 + copied + [b"other"], drawn[:500]], [block])
+    assert found[0] == ([(30, 90)], {"10"}) and not found[1][0]
+
+
+def test_repeated_items_count_once(spark):
+    bench = spark.createDataFrame([(7, "a b c d e")] * 3 + [(10, "b c d e"), (9, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e"), (1, "b c d e")], "doc_id long, text string")
+    assert sorted(tuple(r)[1:4] for r in D.contamination(docs, bench, 4).collect()) == [(4, 4, 2), (6, 5, 2)]
