@@ -71,10 +71,42 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Edges (about 100 bytes each in a Python worker) that are joined in one task at most; more go by rounds of joins.
+FEW_EDGES = 300_000
+
+
+def _few_groups(edges: DataFrame) -> DataFrame:
+    """``linked_groups`` of a written table of at most FEW_EDGES edges ``(u, v)``, in one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        root: dict = {}
+
+        def top(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                u, v = top(u), top(v)
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+        if root:
+            nodes = list(root)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=["node", "root"])
+
+    kind = dict(edges.dtypes)["u"]
+    return edges.coalesce(1).mapInArrow(tidy(run), f"node {kind}, root {kind}")
+
+
 def linked_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as rows ``(node, root)``; root is the smallest node.
 
-    Alternates two star-making steps (every node links its larger neighbours, then its
+    At most FEW_EDGES edges are joined in one task.  More: alternates two star-making steps (every node links its larger neighbours, then its
     smaller ones, to the smallest node it sees) until nothing moves; rounds grow with
     the logarithm of the longest path.  A node's neighbours are never gathered: each
     step is a partial ``min`` and a join on the node, which adaptive execution can
@@ -83,6 +115,8 @@ def linked_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current = materialize(both, "edges")
+    if current.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        return _few_groups(current)
     before = None
     for _ in range(max_rounds):
         # Larger neighbours of every node go to the smallest node in its neighbourhood.
