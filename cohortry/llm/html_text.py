@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -48,7 +49,10 @@ COLSPAN, ROWSPAN = 1000, 65534
 #: padded to NARROW characters only.  Text is never cut.
 PADDING, PADDING_MORE, NARROW = 8, 1 << 16, 40
 
-_tag = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+_opening = re.compile(r"/?[a-zA-Z]")
+_name_end = re.compile(r"[\s/>]|\Z")
+_attrs = re.compile(r"(?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>")
+_marks = re.compile(r"[>\"']")
 _attr = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _declared = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
 _brace = re.compile(r"[{};]")
@@ -63,23 +67,99 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
+#: Tags between which and an opening tag a paragraph isn't closed.
+KEEPS_P = (SCOPE | BLOCK) - {"p"}
+
+
+class _Ends:
+    """Where tags of a page end: at the first ``>`` outside quotes, or nowhere."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.marks: list[int] | None = None
+        self.name = 0
+
+    def name_end(self, at: int) -> int:
+        """The first sign from ``at`` on that ends a name."""
+        if self.name < at:
+            self.name = _name_end.search(self.html, at).start()
+        return self.name
+
+    def after(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at ``at``; 0 if it never ends.
+
+        The first tag found to be open makes a table of all signs, so that no later one is looked for again to the page's end.
+        """
+        if at > self.last:
+            return 0
+        if self.marks is None:
+            if m := _attrs.match(self.html, at):
+                return m.end()
+            self._table()
+        k = bisect_left(self.marks, at)
+        return self.ends[k] if k < len(self.marks) else 0
+
+    def _table(self) -> None:
+        signs = [(m.start(), m.group()) for m in _marks.finditer(self.html)]
+        self.marks = [i for i, _ in signs]
+        self.ends = [0] * (len(signs) + 1)
+        later: dict[str, int] = {}  # the next quote of each kind
+        for k in range(len(signs) - 1, -1, -1):
+            at, sign = signs[k]
+            if sign == ">":
+                self.ends[k] = at + 1
+            else:
+                self.ends[k] = self.ends[later[sign] + 1] if sign in later else 0
+                later[sign] = k
+
+
+def _next_tag(html: str, ends: _Ends, at: int) -> tuple[int, str, str, int] | None:
+    """``(where, name with / if it closes, attributes, place behind)`` of the next tag; comments and declarations have no name."""
+    while (i := html.find("<", at)) >= 0:
+        start = i + 1
+        if html.startswith("!--", start):
+            stop = html.find("-->", start + 3)
+            return i, "", "", len(html) if stop < 0 else stop + 3
+        if start <= ends.last and (m := _opening.match(html, start)) and (stop := ends.after(k := ends.name_end(m.end()))):
+            return i, html[start:k], html[k : stop - 1], stop
+        if start <= ends.last and html[start] in "!?/":
+            return i, "", "", html.find(">", start + 1) + 1 if start < ends.last else len(html)
+        at = start
+    return None
+
+
 def tree(html: str) -> tuple[Node, list[str], int]:
-    """The page's tree, its style sheets and its depth; missing end tags, html, head, body, tbody and tr are implied."""
+    """The page's tree, its style sheets and its depth; missing end tags, html, head, body, tbody and tr are implied.
+
+    Open elements are looked up by name, so time grows with the page's length only, whatever it leaves open or closes in vain.
+    """
     root = Node("html", {})
     stack = [root]
     styles: list[str] = []
     deepest = 1
+    places: dict[str, list[int]] = {}  # of open elements but the root, by tag
+    walls: list[int] = []  # places of those in KEEPS_P
 
     def push(tag: str, attrs: dict[str, str]) -> None:
         nonlocal deepest
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in KEEPS_P:
+                walls.append(len(stack))
             stack.append(node)
             deepest = max(deepest, len(stack))
 
     def pop_to(depth: int) -> None:
-        del stack[max(1, depth) :]
+        while len(stack) > max(1, depth):
+            places[stack.pop().tag].pop()
+        while walls and walls[-1] >= len(stack):
+            walls.pop()
+
+    def last(*tags: str) -> int:
+        """The place of the last open element of these tags; 0 if there is none."""
+        return max([p[-1] for t in tags if (p := places.get(t))], default=0)
 
     def text(value: str) -> None:
         if not value:
@@ -91,54 +171,45 @@ def tree(html: str) -> tuple[Node, list[str], int]:
             return
         stack[-1].children.append(value)
 
+    ends_of_tags = _Ends(html)
     at = 0
     while at < len(html):
-        m = _tag.search(html, at)
-        if m is None:
+        tag = _next_tag(html, ends_of_tags, at)
+        if tag is None:
             text(unescape(html[at:]))
             break
-        text(unescape(html[at : m.start()]))
-        at = m.end()
-        name = (m.group("name") or "").lower()
+        i, name, told, stop = tag
+        text(unescape(html[at:i]))
+        at, name = stop, name.lower()
         if not name:
             continue
-        if m.group("close"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    pop_to(i)
-                    break
-                if stack[i].tag in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
-            else:
-                if name == "p":  # an end tag of its own makes an empty paragraph
-                    push("p", {})
-                    pop_to(len(stack) - 1)
-                elif name == "br":
-                    push("br", {})
+        if name[0] == "/":
+            name = name[1:]
+            i = last(name)
+            wall = 0 if name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else last(*(SCOPE - {name}))
+            if i > wall:
+                pop_to(i)
+            elif not wall and name == "p":  # an end tag of its own makes an empty paragraph
+                push("p", {})
+                pop_to(len(stack) - 1)
+            elif not wall and name == "br":
+                push("br", {})
             continue
-        attrs = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _attr.findall(m.group("attrs") or "")}
+        attrs = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _attr.findall(told)}
         if name == "html":
             root.attrs = {**attrs, **root.attrs}
             continue
         if stack[-1].tag == "head" and name not in HEAD_ONLY:
             pop_to(len(stack) - 1)
-        if name == "body" and any(n.tag == "body" for n in stack):
+        if name == "body" and last("body"):
             continue
         ends, scope = IMPLIED_END.get(name, ((), ()))
-        for i in range(len(stack) - 1, 0, -1) if ends else ():
-            if stack[i].tag in ends:
-                pop_to(i)
-                if name not in ("tr", "tbody", "thead", "tfoot", "optgroup"):
-                    break
-            elif stack[i].tag in scope or (ends and stack[i].tag == "table"):
+        while ends and (i := last(*ends)) > last("table", *(scope - ends)):
+            pop_to(i)
+            if name not in ("tr", "tbody", "thead", "tfoot", "optgroup"):
                 break
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in SCOPE or stack[i].tag in BLOCK:
-                    break
+        if name in CLOSES_P and (i := last("p")) > (walls[-1] if walls else 0):
+            pop_to(i)
         if name == "tr" and stack[-1].tag == "table":
             push("tbody", {})
         elif name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):

@@ -77,3 +77,32 @@ def test_nulls_repeats_and_clashing_columns(spark):
     got = sorted(map(tuple, H.html_text(pages).collect()), key=str)
     assert got == [(1, "a\n\nb", 4, 3), (1, "a\n\nb", 4, 3), (2, "", 0, 0), (None, "", 0, 0)]
     assert H.html_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<a '" * 250_000,
+        '<a "' * 250_000 + ">",
+        "<a" * 500_000,
+        "<a" * 500_000 + " '>",
+        "<!" * 500_000,
+        "</" * 500_000,
+        "<a '<b \"" * 120_000,
+        "<b>" * 120_000 + "</i>" * 150_000,
+        "<b>" * 150_000 + "<li>" * 150_000,
+        "<b>" * 150_000 + "<td>x" * 100_000,
+        "<p>" + "<b>" * 150_000 + "<div>x" * 50_000,
+        "<table>" + "</td></th>" * 100_000,
+        "<body>" * 170_000,
+        "<!-- x " * 150_000,
+        "&" * 1_000_000,
+    ],
+    ids=range(15),
+)
+def test_malformed_pages_take_time_by_length(html):
+    import time
+
+    began = time.process_time()
+    H.page_text(html)
+    assert time.process_time() - began < 10 * len(html) / 1e6
