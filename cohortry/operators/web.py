@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .groups import components, kept_first, stored
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -99,40 +105,143 @@ def scored_or_filled(rows: DataFrame, scores: DataFrame, top: int, key: str = "i
     return rows.join(scores, key, "left").orderBy(F.col("score").desc_nulls_last(), place).limit(top)
 
 
+#: Titles whose q-grams are counted to order them by frequency, and q-grams that the order names.
+TITLE_SAMPLE, TITLE_GRAMS = 20_000, 100_000
+
+
+def _common_least(n: int, m: int, ratio: float) -> int:
+    """Letters that titles of n and m letters have in common, in order, at least if their matching ratio is ``ratio``."""
+    return math.ceil(ratio * (n + m) / 2 - 1e-9)
+
+
+class TitleMarks:
+    """What of a title others with a matching ratio of ``ratio`` or more are sure to share.
+
+    The ratio is twice the matching letters over all letters, and matching blocks are a common subsequence; so n - l letters of
+    a title of length n are left out and m - l put in, l being ``_common_least``, which leaves all but q(n - l) + (q - 1)(m - l) of its
+    q-grams.  Of sets that have so many in common the rarest elements, one more than may be lost, share one.
+    """
+
+    def __init__(self, ratio: float, rank: dict[str, int] | None = None):
+        self.ratio, self.rank = ratio, rank or {}
+        self.q = max(1, min(3, int((0.6 / max(1e-9, 1 - ratio) + 1) / 2)))
+        self.known: dict[int, tuple[bool, int, list[int]]] = {}
+
+    def lengths(self, n: int) -> tuple[bool, int, list[int]]:
+        """Whether another title can be near one of ``n`` letters; q-grams lost at most; the lengths of near ones."""
+        if n not in self.known:
+            near = [m for m in range(math.ceil(self.ratio * n - 1e-9), int(n / self.ratio + 1e-9) + 1) if _common_least(n, m, self.ratio) <= min(n, m)]
+            some = any(m != n or _common_least(n, m, self.ratio) < n for m in near)
+            lost = max((self.q * (n - c) + (self.q - 1) * (m - c) for m in near for c in [_common_least(n, m, self.ratio)]), default=0)
+            self.known[n] = some, lost, near
+        return self.known[n]
+
+    def loose(self, n: int) -> bool:
+        """Whether no q-gram is sure to be shared."""
+        return max(0, n - self.q + 1) <= self.lengths(n)[1]
+
+    def marks(self, title: str) -> list[str]:
+        """The rarest q-grams (repeats numbered), of which near titles share one; lengths besides where q-grams don't tell."""
+        n = len(title)
+        some, lost, near = self.lengths(n)
+        if not some:
+            return []
+        times: Counter = Counter()
+        grams = []
+        for i in range(n - self.q + 1):
+            g = title[i : i + self.q]
+            grams.append(f"{g}\0{times[g]}" if times[g] else g)
+            times[g] += 1
+        out = sorted(grams, key=lambda g: (self.rank.get(g, 0), g))[: lost + 1]
+        if self.loose(n):
+            out += [f"\0{m}" for m in near]
+        elif any(self.loose(m) for m in near):
+            out.append(f"\0{n}")
+        return out
+
+    def signature(self, title: str) -> list[int]:
+        """256 parities of (letter, how manieth): titles that differ by d letters put in or left out differ in at most d."""
+        bits, times = [0, 0, 0, 0], Counter()
+        for c in title:
+            h = zlib.crc32(f"{c}{times[c]}".encode())
+            times[c] += 1
+            bits[h & 3] ^= 1 << (h >> 2) % 64
+        return [b - (1 << 64) if b >> 63 else b for b in bits]
+
+
+def alike(later: str, earlier: str, ratio: float) -> bool:
+    """Whether the blocks that match in both make up ``ratio`` of their letters."""
+    longest = max(len(later), len(earlier))
+    if abs(len(later) - len(earlier)) / longest > 1 - ratio:
+        return False
+    return SequenceMatcher(None, later, earlier).ratio() >= ratio
+
+
+def title_links(titles: DataFrame, ratio: float = 0.9, key: str = "id", norm: str = "norm") -> DataFrame:
+    """``(later, earlier)``: the pairs of different titles that are ``alike``, each known by the smallest id that has it.
+
+    Titles that share a mark meet (``TitleMarks``); a pair goes on only if lengths and signatures allow the ratio, which the join
+    itself checks, and is then compared letter by letter.  Marks are ordered by their frequency in a bounded sample; the order
+    decides how many titles meet, not which pairs are found.
+    """
+    one = stored(titles.where(F.col(norm) != "").groupBy(F.col(norm).alias("norm")).agg(F.min(key).alias("id")), "titles")
+    kind = dict(one.dtypes)["id"]
+    every = max(1, one.count() // TITLE_SAMPLE)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = TitleMarks(ratio).q
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([g for t in b.column(0).to_pylist() for g in {t[i : i + q] for i in range(len(t) - q + 1)}], pa.string())], names=["g"])
+
+    sample = one.where(F.pmod(F.xxhash64("norm"), F.lit(every)) == 0).select("norm").mapInArrow(grams, "g string")
+    most = sample.groupBy("g").count().where("count > 1").orderBy(F.desc("count"), "g").limit(TITLE_GRAMS).toArrow()
+    rank = one.sparkSession.sparkContext.broadcast(dict(zip(most["g"].to_pylist(), most["count"].to_pylist())))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TitleMarks(ratio, rank.value)
+        for b in batches:
+            names = b.column(0).to_pylist()
+            marks = pa.array([own.marks(t) for t in names], pa.list_(pa.string()))
+            sign = pa.array([own.signature(t) for t in names], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(len, names)), pa.int32()), sign, marks], names=["norm", "id", "n", "sign", "marks"])
+
+    marked = stored(one.select("norm", "id").mapInArrow(mark, f"norm string, id {kind}, n int, sign array<long>, marks array<string>"), "marked")
+    posted = marked.select("id", "norm", "n", "sign", F.explode("marks").alias("mark"))
+    a, b = posted.alias("a"), posted.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    spare = both - 2 * F.ceil(F.lit(ratio) * both / 2 - 1e-9)
+    differ = sum((F.bit_count(F.col("a.sign")[i].bitwiseXOR(F.col("b.sign")[i])) for i in range(4)), F.lit(0))
+    met = a.join(b, (F.col("a.mark") == F.col("b.mark")) & (F.col("a.id") > F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(ratio) * F.greatest("a.n", "b.n") - 1e-9) & (differ <= spare))
+    pairs = met.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier"), F.col("a.norm").alias("x"), F.col("b.norm").alias("y")).dropDuplicates(["later", "earlier"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([alike(x, y, ratio) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+            yield b.select(["later", "earlier"]).filter(ok)
+
+    return pairs.mapInArrow(verify, f"later {kind}, earlier {kind}")
+
+
 def same_titles(titles: DataFrame, ratio: float = 0.9, key: str = "id", norm: str = "norm") -> DataFrame:
-    """``(id, keep)``: titles that equal or nearly equal (edit distance at most 1 - ratio of the longer) one with a smaller id.
+    """``(id, keep)``: in order of ids a title stays unless it equals, or is ``alike`` to, one with a smaller id that stays.
 
-    Candidates meet in blocks that no pair within the distance can miss: a title of length n has d = floor((1 - r) n / r)
-    edits at most, so cut into d + 1 pieces one piece stands unchanged in the other title, shifted by at most d.  Pieces
-    (with the title's length) are joined to the windows of the same place band of other titles, pairs are
-    verified by their edit distance.  Titles are short; equal ones are first joined to one.
+    ``keep`` is the own id of titles that stay, else the smallest id of those that make it go.  A title near one that goes itself may
+    stay.  Empty and null titles stay; equal titles are compared once.
     """
-    one = titles.where(F.col(norm) != "").groupBy(norm).agg(F.min(key).alias("keep0"))
-    n = F.length(norm)
-    edits = F.floor((1 - ratio) * n / ratio + 1e-9).cast("int")
-    t = one.withColumn("n", n).withColumn("d", edits)
-    step = F.floor(F.col("n") / (F.col("d") + 1)).cast("int")
-
-    def cut(start: Column, length: Column) -> Column:
-        return F.substring(F.col(norm), start, length)
-
-    pieces = t.withColumn("step", step).where("step > 0").select(
-        norm, "keep0", "n", "d", F.explode(F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct(i.alias("i"), F.col("step").alias("step"), cut(i * F.col("step") + 1, F.col("step")).alias("g")))).alias("p")
-    ).select(F.col(norm).alias("a"), F.col("keep0").alias("ka"), "n", "d", "p.i", "p.step", "p.g")
-    # What lengths of pieces the other title must be looked at with: those of titles as long, give or take the edits.
-    sizes = t.withColumn("step", step).where("step > 0").select(F.col("n").alias("m"), F.col("d").alias("dm"), "step").distinct()
-    near = F.abs(F.col("n") - F.col("m")) <= F.col("dm")
-    looked = t.join(F.broadcast(sizes), near).select(
-        F.col(norm).alias("b"), F.col("keep0").alias("kb"), "m", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - F.col("step") + 1))).alias("at"), "step", F.col(norm)
-    ).select("b", "kb", "m", F.col("at"), F.substring(F.col(norm), F.col("at"), F.col("step")).alias("g"))
-    met = pieces.join(looked, [pieces["g"] == looked["g"], pieces["n"] == looked["m"]]).where((F.col("a") != F.col("b")) & (F.abs(F.col("at") - 1 - F.col("i") * F.col("step")) <= F.col("d")))
-    pairs = met.select("a", "ka", "b", "kb").distinct()
-    longest = F.greatest(F.length("a"), F.length("b"))
-    ok = pairs.where(F.levenshtein("a", "b") <= (1 - ratio) * longest + 1e-9)
-    both = ok.select(F.col("a").alias(norm), F.col("kb").alias("k")).unionAll(ok.select(F.col("b").alias(norm), F.col("ka").alias("k")))
-    least = both.groupBy(norm).agg(F.min("k").alias("k"))
-    keeps = one.join(least, norm, "left").select(norm, F.least("keep0", F.coalesce("k", "keep0")).alias("keep"))
-    return titles.join(keeps, norm, "left").select(key, F.coalesce("keep", key).alias("keep"))
+    links = stored(title_links(titles, ratio, key, norm), "title-links")
+    stays = stored(kept_first(links), "title-stays")
+    left = links.join(stays.where("kept").select(F.col("node").alias("earlier")), "earlier").groupBy(F.col("later").alias("node")).agg(F.min("earlier").alias("by"))
+    gone = stays.where("not kept").select("node").join(left, "node")
+    heads = titles.where(F.col(norm) != "").groupBy(norm).agg(F.min(key).alias("node")).join(gone, "node", "left").select(norm, F.coalesce("by", "node").alias("keep"))
+    return titles.join(heads, norm, "left").select(key, F.coalesce("keep", key).alias("keep"))
+
+
+def title_groups(titles: DataFrame, ratio: float = 0.9, key: str = "id", norm: str = "norm") -> DataFrame:
+    """``(id, group)`` of titles that equal titles or chains of ``alike`` ones join; group is the smallest id, null where a title is alone."""
+    roots = components(title_links(titles, ratio, key, norm).select(F.col("later").alias("a"), F.col("earlier").alias("b")))
+    heads = titles.where(F.col(norm) != "").groupBy(norm).agg(F.min(key).alias("node"), F.count("*").alias("n"))
+    group = F.coalesce("root", F.when(F.col("n") > 1, F.col("node")))
+    return titles.join(heads.join(stored(roots, "title-groups"), "node", "left").select(norm, group.alias("group")), norm, "left").select(key, "group")
 
 
 def feed_entries(pages: DataFrame, cutoff: Column, most: int = 500, key: str = "page_id") -> DataFrame:

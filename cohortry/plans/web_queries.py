@@ -219,8 +219,10 @@ def w12_quota_top(spark, d):
 
 
 def d47_best_of_group(spark, d):
-    a = _articles(spark, d).withColumn("grp", F.when(F.col("id") % 5 > 0, F.col("id") % 50))
-    return B.best_of_group(a, "grp").select("id", "grp", "quality")
+    """The best page of every group of pages whose titles are alike; pages without such a group stand alone."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), (F.length("html") % 100 / 10).alias("quality"))
+    grouped = pages.join(B.title_groups(_titles(spark, d)).withColumnRenamed("group", "grp"), "id")
+    return B.best_of_group(grouped, "grp").select("id", "grp", "quality")
 
 
 def t8_scored_or_filled(spark, d):
@@ -433,10 +435,8 @@ ORACLE = {
     "f9_date_window": "SELECT event_type, COUNT(*) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-13' AND DATE '2024-01-20' GROUP BY 1",
     "a31_stage_counters": f"WITH {_ART} SELECT CASE WHEN quality < 2 THEN 'low score' WHEN id % 9 = 0 THEN 'skipped' ELSE 'kept' END AS reason, COUNT(*) AS n FROM a GROUP BY 1",
     "w12_quota_top": f"WITH {_ART} SELECT id, category, quality FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY quality DESC, id) AS r FROM a) WHERE r <= CASE category WHEN 'en' THEN 20 WHEN 'fr' THEN 5 ELSE 1000000000 END ORDER BY quality DESC, id LIMIT 60",
-    "d47_best_of_group": f"WITH {_ART}, g AS (SELECT *, CASE WHEN id % 5 > 0 THEN id % 50 END AS grp FROM a) SELECT id, grp, quality FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY COALESCE(CAST(grp AS VARCHAR), 'own:' || id) ORDER BY quality DESC, id) AS r FROM g) WHERE r = 1",
     "t8_scored_or_filled": f"WITH {_ART} SELECT id, CASE WHEN quality >= 9.7 THEN quality END AS score FROM a ORDER BY score DESC NULLS LAST, id LIMIT 50",
     "d43_scenario_tags": r"""WITH t AS (SELECT conv_id, turn, regexp_replace(lower(COALESCE(text, '')), '[\s()（）_—,，。！？!?:：;''"“”‘’/\\-]+', '', 'g') AS t FROM conversations), n(scenario, n, how) AS (VALUES ('no delivery', 'nodelivery', 1), ('no delivery', 'nothingdelivered', 2), ('no delivery', 'zerovolume', 2), ('the cost is high', 'thecostishigh', 1), ('the cost is high', 'expensive', 2), ('the and of', 'theandof', 1), ('the and of', 'into', 2)), s AS (SELECT DISTINCT t, scenario, how, ROUND(CASE WHEN t = '' THEN 0 WHEN t = n THEN 1 WHEN contains(t, n) OR contains(n, t) THEN least(length(t), length(n)) / greatest(length(t), length(n)) ELSE 1 - levenshtein(t, n) / greatest(length(t), length(n)) END, 6) AS score FROM t, n), b AS (SELECT t, arg_min((scenario, CASE WHEN score = 1 THEN how ELSE 3 END, score), (CASE WHEN score = 1 THEN how ELSE 3 END, -score, scenario)) AS m FROM s WHERE score >= 0.45 GROUP BY t) SELECT conv_id, turn, m[1] AS scenario, CASE m[2] WHEN 1 THEN 'exact' WHEN 2 THEN 'alias' WHEN 3 THEN 'fuzzy' ELSE 'none' END AS "match", m[3] AS score FROM t LEFT JOIN b USING (t)""",
-    "d45_same_titles": r"WITH t AS (SELECT page_id AS id, regexp_replace(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '[\p{P}\p{S}\s]+', '', 'g') AS norm FROM pages), p AS (SELECT a.id, MIN(b.id) AS k FROM t a JOIN t b ON a.norm <> '' AND b.norm <> '' AND abs(length(a.norm) - length(b.norm)) <= 6 AND levenshtein(a.norm, b.norm) <= 0.1::DOUBLE * greatest(length(a.norm), length(b.norm)) + 1e-9 GROUP BY a.id) SELECT t.id, COALESCE(k, t.id) AS keep FROM t LEFT JOIN p USING (id)",
     "d46_article_stages": f"WITH {_ART}, v AS (SELECT id, category, quality, CAST(length(text) % 13 AS DOUBLE) AS score FROM a WHERE id % 4 > 0 AND {_LANG} IN ('zh', 'en') AND length(text) % 13 BETWEEN 6 AND 10) SELECT id, category, quality, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY quality DESC, id) AS r FROM v) WHERE r <= CASE category WHEN 'en' THEN 30 ELSE 1000000000 END ORDER BY quality DESC, id LIMIT 50",
     "d48_relevance_gate": "SELECT doc_id, CAST(length(text) % 13 AS DOUBLE) AS score FROM documents WHERE length(text) % 13 BETWEEN 6 AND 10",
     "d37_batch_labelling": "SELECT conv_id, turn, CASE WHEN length(text) % 10 = 0 THEN NULL WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS label, CASE WHEN length(text) % 10 > 0 THEN ROUND(length(text) / 100, 2) END AS score, CASE WHEN length(text) % 10 = 0 THEN 'failed' ELSE 'success' END AS prediction_status, CASE WHEN length(text) % 10 = 0 THEN 'no answer' END AS error_message, 'stub' AS llm_model FROM conversations",

@@ -67,33 +67,6 @@ def test_scorer_answers(spark):
     assert values(spark, [good, '{"score": 11}', "{}"], X.checked_score) == [7.3, None, None]
 
 
-@pytest.mark.parametrize("ratio", [0.9, 0.8])
-def test_same_titles_equal_brute_force(spark, ratio):
-    import random
-
-    rng = random.Random(1)
-    base = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(25)]
-    titles = []
-    for i in range(120):
-        t = list(rng.choice(base))
-        for _ in range(rng.randint(0, 3)):
-            k = rng.randrange(len(t) + 1)
-            t[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
-        titles.append((i, "".join(t)))
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    want = {i: min([j for j, u in titles if t and u and edits(t, u) <= (1 - ratio) * max(len(t), len(u)) + 1e-9] or [i]) for i, t in titles}
-    got = {r["id"]: r["keep"] for r in B.same_titles(spark.createDataFrame(titles, "id int, norm string"), ratio).collect()}
-    assert got == want
-
-
 def test_stores(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "k int, v string")
