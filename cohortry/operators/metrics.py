@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .vectors import VectorIndex, nearest
+
 #: Days after the end in which conversions of a request may come back.
 LATE_DAYS = 90
 GRAINS = ("day", "week", "month")
@@ -93,12 +95,16 @@ def token_share(query: Column, text: Column) -> Column:
 def value_search(queries: DataFrame, catalog: DataFrame, top: int = 5, fix: float = 0.5, vectors: bool = False, block: int = 10_000) -> DataFrame:
     """The ``top`` catalog values for each row of ``queries(query_id, query[, query_vector])``; ``fixed`` marks a best value sure enough to use.
 
-    Similarity is the token share, or 0.7 cosine + 0.3 token share with vectors.  All of ``catalog(value, value_desc[, vector])`` is
+    Similarity is the token share, or 0.7 cosine + 0.3 token share with vectors.  With vectors an inverted file of
+    ``catalog(value, value_desc, vector)`` is searched, exactly (``vectors.nearest``).  Without, all of the catalog is
     searched where it lies: queries are sent to it in blocks of about ``block`` rows, and each partition passes on its ``top`` values
     of a query only.  Ties go to the smaller value.
     """
-    words = token_share(F.col("query"), F.concat_ws(" ", "value", "value_desc"))
-    sim = cosine(F.col("query_vector"), F.col("vector")) * 0.7 + words * 0.3 if vectors else words
+    sim = token_share(F.col("query"), F.concat_ws(" ", "value", "value_desc"))
+    if vectors:
+        both = cosine(F.col("query_vector"), F.col("vector")) * 0.7 + sim * 0.3
+        out = nearest(queries, VectorIndex(catalog), both, top, 0.7, 0.3)
+        return out.select("query_id", "value", "similarity", "rank", ((F.col("rank") == 1) & (F.col("similarity") >= fix)).alias("fixed"))
     blocks = -(-queries.count() // block) or 1
     out = None
     for k in range(blocks):
