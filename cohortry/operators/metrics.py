@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keywords import contained
 from .vectors import VectorIndex, nearest
 
 #: Days after the end in which conversions of a request may come back.
@@ -58,18 +59,18 @@ def normal(text: Column) -> Column:
 def resolve_names(values: DataFrame, catalog: DataFrame, value: str = "value") -> DataFrame:
     """A column of free-text names against ``catalog(code, name, alias)``: exact (code or name), alias, then containment.
 
-    Distinct values are resolved once.  Ties go to the smaller code; names that nothing matches have none.
-    The catalog is a dimension of names: it is broadcast.
+    Distinct values are resolved once.  Ties go to the smaller code; names that nothing matches have none (``keywords.suggestions``
+    ranks what they may mean).  Names meet by equality and, where that fails, by containment found in one pass (``keywords.contained``).
     """
     v = values.select(value).where(F.col(value).isNotNull()).distinct().withColumn("_v", normal(F.col(value)))
     c = catalog.select("code", normal(F.col("name")).alias("_n"), normal(F.col("code")).alias("_c"), normal(F.col("alias")).alias("_a"))
-    how = (
-        F.when((F.col("_v") == F.col("_c")) | (F.col("_v") == F.col("_n")), 1)
-        .when((F.col("_a") != "") & (F.col("_v") == F.col("_a")), 2)
-        .when((F.col("_n") != "") & (F.col("_v") != "") & (F.col("_n").contains(F.col("_v")) | F.col("_v").contains(F.col("_n"))), 3)
-    )
-    best = v.join(F.broadcast(c)).withColumn("how", how).where("how is not null").groupBy(value).agg(F.min(F.struct("how", "code")).alias("m"))
-    return v.join(best, value, "left").select(value, F.col("m.code").alias("code"), F.col("m.how").alias("how"))
+    names = c.select(F.lit(1).alias("how"), "code", F.col("_c").alias("_v")).unionAll(c.select(F.lit(1), "code", "_n")).unionAll(c.where("_a <> ''").select(F.lit(2), "code", "_a"))
+    best = F.min(F.struct("how", "code")).alias("m")
+    known = v.join(names, "_v").groupBy(value).agg(best)
+    rest = v.join(known, value, "left_anti")
+    held = contained(rest, c, "_v", "_n").select(F.col("value").alias("_v"), F.col("name").alias("_n"))
+    more = rest.join(held, "_v").join(c.select("code", "_n"), "_n").select(value, F.lit(3).alias("how"), "code").groupBy(value).agg(best)
+    return v.join(known.unionAll(more), value, "left").select(value, F.col("m.code").alias("code"), F.col("m.how").alias("how"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .keywords import keyword_hits
 from .lift import POISON, tgi, tier
 
 #: Hits that satisfy an action without one of its own; days assumed for an action never seen.
@@ -165,9 +166,10 @@ def placements(groups: DataFrame, rules: DataFrame, cpm: float = 50.0) -> DataFr
 def creatives(groups: DataFrame, themes: DataFrame, library: DataFrame, k: int = 3) -> DataFrame:
     """The first k creatives of every (item, need group) whose text contains one of the need's themes.
 
-    Themes are a short list; the library may be of any size: each partition passes on the first k of each need, and
-    only those are joined to the groups.
+    Themes may be many: every text is read once (``keywords.keyword_hits``).  Each partition passes on the first k of each
+    need, and only those are joined to the groups.
     """
-    hit = library.join(F.broadcast(themes), F.col("text").contains(F.col("theme"))).select("need_name", "creative_id").distinct()
+    found = keyword_hits(library.select("creative_id", "text"), themes, keyword="theme").select("creative_id", F.explode("hits").alias("theme"))
+    hit = found.join(themes.select("need_name", "theme").distinct(), "theme").select("need_name", "creative_id").distinct()
     first = hit.withColumn("place", F.row_number().over(W.partitionBy("need_name").orderBy("creative_id"))).where(F.col("place") <= k)
     return groups.select("item", "need_name").distinct().join(first, "need_name").select("item", "need_name", "creative_id", "place")

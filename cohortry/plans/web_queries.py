@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import keywords as K
 from ..operators import metrics as M
 from ..operators import web as B
 from .driver_tables import table
@@ -202,6 +203,18 @@ def f10_keyword_hits(spark, d):
     return _articles(spark, d).select("id", F.array_join(h, ",").alias("hits")).where("hits <> ''")
 
 
+def _keywords(spark, d):
+    """The distinct words of eight letters or more of the benchmark."""
+    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s.,]{8,})"), F.lit(1)))
+    return table(spark, d, "benchmark").select(w.alias("keyword")).distinct()
+
+
+def f10_many_keywords(spark, d):
+    """How many of many keywords the text of every document contains, and the first and last of them."""
+    h = K.keyword_hits(_articles(spark, d).select("id", F.lower("text").alias("text")), _keywords(spark, d))
+    return h.select("id", F.size("hits").alias("n_hits"), F.array_min("hits").alias("first"), F.array_max("hits").alias("last"))
+
+
 def f9_date_window(spark, d):
     e = table(spark, d, "events")
     return e.where(F.to_date("ts").between(F.date_sub(F.lit("2024-01-20").cast("date"), 7), F.lit("2024-01-20").cast("date"))).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -313,6 +326,13 @@ def d41_resolve_names(spark, d):
     return M.resolve_names(o, spark.createDataFrame(_CATALOG, "code string, name string, alias string"))
 
 
+def d41_suggestions(spark, d):
+    """For the name of every part the three names of types that share most pairs of letters with it."""
+    p = table(spark, d, "part")
+    types = p.select(F.col("p_type").alias("code"), F.col("p_type").alias("name")).distinct()
+    return K.suggestions(p.select(F.col("p_name").alias("value")), types)
+
+
 def d42_value_search(spark, d):
     """Names of the parts whose key is divisible by 100, among the values of all parts."""
     q = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
@@ -337,7 +357,7 @@ def d43_scenario_tags(spark, d):
     return M.scenario_tags(t, spark.createDataFrame(_SCENARIOS, "scenario string, names array<string>"), key=["conv_id", "turn"])
 
 
-QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, w11_first_links, s10_upsert, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d42_value_search, t6_vector_search, d43_scenario_tags)}
+QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, w11_first_links, s10_upsert, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f10_many_keywords, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d41_suggestions, d42_value_search, t6_vector_search, d43_scenario_tags)}
 
 _FOLD = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _U = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', {})"
@@ -432,6 +452,7 @@ ORACLE = {
     "s13_resume": "SELECT doc_id, source FROM documents WHERE doc_id % 5 >= 3",
     "f12_validity": f"WITH {_ART}, n AS (SELECT id, concat_ws('; ', CASE WHEN id % 6 = 0 THEN 'not accessible' END, CASE WHEN id % 4 = 0 THEN 'outside window' END, CASE WHEN {_LANG} NOT IN ('zh', 'en') THEN 'language ' || {_LANG} END) AS notes FROM a) SELECT id, notes = '' AS valid, notes FROM n",
     "f10_keyword_hits": f"WITH {_ART} SELECT * FROM (SELECT id, array_to_string(list_filter(['idiot', 'license', 'the', 'nicht'], lambda k: contains(lower(text), k)), ',') AS hits FROM a) WHERE hits <> ''",
+    "f10_many_keywords": r"WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\s.,]{8,}')) AS k FROM benchmark), h AS (SELECT doc_id AS id, k FROM documents JOIN k ON contains(lower(text), k)) SELECT doc_id AS id, CAST(COUNT(k) AS INTEGER) AS n_hits, MIN(k) AS first, MAX(k) AS last FROM documents LEFT JOIN h ON id = doc_id GROUP BY doc_id",
     "f9_date_window": "SELECT event_type, COUNT(*) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-13' AND DATE '2024-01-20' GROUP BY 1",
     "a31_stage_counters": f"WITH {_ART} SELECT CASE WHEN quality < 2 THEN 'low score' WHEN id % 9 = 0 THEN 'skipped' ELSE 'kept' END AS reason, COUNT(*) AS n FROM a GROUP BY 1",
     "w12_quota_top": f"WITH {_ART} SELECT id, category, quality FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY quality DESC, id) AS r FROM a) WHERE r <= CASE category WHEN 'en' THEN 20 WHEN 'fr' THEN 5 ELSE 1000000000 END ORDER BY quality DESC, id LIMIT 60",
@@ -445,6 +466,7 @@ ORACLE = {
     "a29_ratio_metrics": f"WITH {ADS_SQL} SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS date, app, CAST(SUM(imp) AS BIGINT) AS imp, CAST(SUM(click) AS BIGINT) AS click, CAST(SUM(conv) AS BIGINT) AS conv, ROUND(SUM(click) / NULLIF(SUM(imp), 0), 6) AS ctr, ROUND(SUM(conv) / NULLIF(SUM(click), 0), 6) AS cvr FROM ads WHERE day BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1, 2",
     "t5_truncated": f"WITH {ADS_SQL}, g AS (SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS date, app, CAST(SUM(imp) AS BIGINT) AS imp FROM ads WHERE day BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1, 2) SELECT *, (SELECT COUNT(*) FROM g) AS total FROM g ORDER BY imp DESC, date, app LIMIT 100",
     "d41_resolve_names": "WITH v AS (SELECT DISTINCT CASE o_orderkey % 5 WHEN 0 THEN 'minor' WHEN 1 THEN 'Very Urgent!' WHEN 2 THEN 'unknown' ELSE o_orderpriority END AS value FROM orders) SELECT value, CASE WHEN value IN ('minor', '5-LOW') THEN '5-LOW' WHEN value IN ('Very Urgent!', '1-URGENT') THEN '1-URGENT' WHEN value = '2-HIGH' THEN '2-HIGH' END AS code, CASE WHEN value IN ('5-LOW', '1-URGENT', '2-HIGH') THEN 1 WHEN value = 'minor' THEN 2 WHEN value = 'Very Urgent!' THEN 3 END AS how FROM v",
+    "d41_suggestions": "WITH g AS (SELECT s, list_distinct(list_transform(range(1, greatest(1, length(s) - 1) + 1), lambda i: substr(lower(s), i, 2))) AS g FROM (SELECT p_name AS s FROM part UNION SELECT p_type FROM part)), v AS (SELECT DISTINCT p_name AS value, g FROM part JOIN g ON s = p_name), c AS (SELECT DISTINCT p_type AS code, g FROM part JOIN g ON s = p_type), m AS (SELECT value, code, ROUND(2 * len(list_intersect(v.g, c.g)) / (len(v.g) + len(c.g)), 4) AS similarity FROM v, c) SELECT value, code, similarity, ROW_NUMBER() OVER (PARTITION BY value ORDER BY similarity DESC, code) AS rank FROM m WHERE similarity > 0 QUALIFY rank <= 3",
     "d42_value_search": r"WITH c AS (SELECT DISTINCT p_name AS value, p_type AS value_desc FROM part ), ct AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(value || ' ' || value_desc), '[\s,，;；/_-]+'), lambda t: t <> '')) AS t FROM c), q AS (SELECT p_partkey AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[\s,，;；/_-]+'), lambda t: t <> '')) AS qs FROM part WHERE p_partkey % 100 = 0), s AS (SELECT query_id, value, value_desc, ROUND(len(list_filter(qs, lambda x: len(list_filter(t, lambda y: contains(y, x) OR contains(x, y))) > 0)) / len(qs), 4) AS similarity FROM q, ct), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, value) AS rank FROM s) SELECT query_id, value, similarity, rank, rank = 1 AND similarity >= 0.5 AS fixed FROM r WHERE rank <= 3",
     "t6_vector_search": "WITH c AS (SELECT 'v' || vec_id AS value, 'l' || label AS l, embedding AS v FROM embeddings), s AS (SELECT vec_id AS query_id, value, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) * 0.7::DOUBLE + CASE WHEN contains(l, 'l' || label) OR contains('l' || label, l) THEN 0.3::DOUBLE ELSE 0 END, 4) AS similarity FROM embeddings, c WHERE vec_id % 100 = 0), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, value) AS rank FROM s) SELECT query_id, value, similarity, rank, rank = 1 AND similarity >= 0.5 AS fixed FROM r WHERE rank <= 3",
 }
