@@ -35,9 +35,9 @@ def derived_events(flags: DataFrame, names: list[str], raw: DataFrame) -> DataFr
     return matches(flags, names).withColumnRenamed("rule", "derived_event_type").join(last, "user_id")
 
 
-def run_rules(flags: DataFrame, names: list[str], profile: DataFrame) -> DataFrame:
-    """``(rule, users, support, rate, tgi)`` of the rules that anybody meets."""
-    return L.lift(matches(flags, names), profile)
+def run_rules(flags: DataFrame, names: list[str]) -> DataFrame:
+    """``(rule, users, support, rate, tgi)`` of the rules that anybody meets; ``flags`` has ``is_lead``."""
+    return L.lift_of_flags(flags, names)
 
 
 def segments(flags: DataFrame, names: list[str], prefix: str = "seg_") -> DataFrame:

@@ -39,6 +39,31 @@ def lift(members: DataFrame, profile: DataFrame, by: str = "rule", id_col: str =
     )
 
 
+def lift_of_flags(flags: DataFrame, names: list[str], over: str | None = None, within: bool = False, label: str = "rule") -> DataFrame:
+    """``([over,] label, users, support, rate, tgi)`` of the rules ``names``, boolean columns of ``flags``, that anybody meets.
+
+    ``flags`` has a row for each user, with ``is_lead``: all rules are counted side by side in one aggregation, by ``over`` if
+    given, and turned to rows afterwards, so no row of a hit is ever made.  Support and baseline are those of all users,
+    or of those of the same ``over`` (``within``).
+    """
+    told = F.array(*[F.struct(F.lit(n).alias(label), F.count_if(F.col(n)).alias("users"), F.avg(F.when(F.col(n), F.col("is_lead"))).alias("rate")) for n in names])
+    sums = [F.count("*").alias("_total"), F.count("is_lead").alias("_n"), F.sum("is_lead").alias("_s"), told.alias("_told")]
+    one = flags.groupBy(over).agg(*sums) if over else flags.agg(*sums)
+    if over and not within:
+        every = W.partitionBy(F.lit(0))  # a row for each value of ``over``
+        one = one.withColumns({c: F.sum(c).over(every) for c in ("_total", "_n", "_s")})
+    keys = [over] if over else []
+    rows = one.select(*keys, "_total", "_n", "_s", F.explode("_told").alias("t")).where("t.users > 0")
+    return rows.select(
+        *keys,
+        F.col("t")[label].alias(label),
+        F.col("t.users").alias("users"),
+        F.round(F.col("t.users") / F.col("_total"), 6).alias("support"),
+        F.round("t.rate", 6).alias("rate"),
+        F.round(tgi(F.col("t.rate"), F.try_divide(F.col("_s"), F.col("_n"))), 4).alias("tgi"),
+    )
+
+
 def predicate_lift(profile: DataFrame, predicate: Column, split: str | None = None) -> DataFrame:
     """Hit users, support, rate and lift of a predicate over profile rows; one row, or one for each split."""
     hit = predicate.cast("int")

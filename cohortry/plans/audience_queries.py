@@ -91,8 +91,7 @@ def _people(flags: DataFrame) -> DataFrame:
 
 
 def _stats(spark, d) -> DataFrame:
-    f = _flags(spark, d)
-    return A.run_rules(f, NAMES, _people(f))
+    return A.run_rules(_flags(spark, d), NAMES)
 
 
 def _hits(spark, d) -> DataFrame:
@@ -167,13 +166,12 @@ def u4_bitmap_audiences(spark, d):
 
 
 def d2_segments(spark, d):
-    f = _flags(spark, d)
-    return L.lift(A.segments(f, NAMES), _people(f), "segment")
+    """Segments made of rules: a segment of a rule's users has the rule's lift."""
+    return A.run_rules(_flags(spark, d), NAMES).select(F.concat(F.lit("seg_"), "rule").alias("segment"), "users", "support", "rate", "tgi")
 
 
 def a2_lift_matrix(spark, d):
-    f = _flags(spark, d)
-    return L.lift_matrix(f.select("user_id", "segment"), R.matches(f, NAMES).withColumnRenamed("rule", "event"), _people(f))
+    return L.lift_of_flags(_flags(spark, d), NAMES, "segment", label="event")
 
 
 def a1_baseline(spark, d):
@@ -224,16 +222,18 @@ SELECT event, segment, ROUND(a, 6) AS with_rate, ROUND(b, 6) AS without_rate, RO
 )
 
 
+def _split_lift(spark, d) -> list[DataFrame]:
+    """Lift in each part, of the users of that part."""
+    parts = L.lift_of_flags(L.hash_split(_flags(spark, d), "user_id", "is_lead", 0.4), NAMES, "split", within=True)
+    return [parts.where(F.col("split") == s).drop("split") for s in ("train", "val")]
+
+
 def d11_stability(spark, d):
-    f = _flags(spark, d)
-    p, h = L.hash_split(_people(f), "user_id", "is_lead", 0.4), R.matches(f, NAMES)
-    return L.stability(L.lift(h, p.where("split = 'train'")), L.lift(h, p.where("split = 'val'")))
+    return L.stability(*_split_lift(spark, d))
 
 
 def d10_generalisation(spark, d):
-    f = _flags(spark, d)
-    p, h = L.hash_split(_people(f), "user_id", "is_lead", 0.4), R.matches(f, NAMES)
-    return L.generalisation(L.lift(h, p.where("split = 'train'")), L.lift(h, p.where("split = 'val'")), threshold=100)
+    return L.generalisation(*_split_lift(spark, d), threshold=100)
 
 
 _SPLIT_LIFT = (
