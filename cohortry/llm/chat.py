@@ -78,9 +78,9 @@ def placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
 
     ``fixed`` is the conversation's system turn (its first turn, if its role is that) in tokens, ``start`` and ``stop`` the tokens
     before and with a turn.  The tokens that windows have for new turns are cut in cells of equal size by these prefix sums,
-    and turns that start in the same cell are one window.  What a window may repeat (``back``) is left for the last of
-    them to reach beyond the cell.  A turn longer than ``back`` is a window of its own (``big``) and parts the
-    others (``after`` counts those before).
+    and turns that start in the same cell are one window.  A cell leaves room for the conversation's longest turn, with which the
+    last of them may reach beyond it, and for what a window may repeat (``back``), whichever is more.  A turn longer than half
+    the room is a window of its own (``big``), so a cell is never less than that, and parts the others (``after`` counts those before).
 
     Sums are made within blocks of turn numbers and go on over blocks, so they don't depend on where blocks begin.
     """
@@ -106,16 +106,18 @@ def placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
         .withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(upto), none))
         .withColumn("first", F.col("opens") & (F.col("fixed") > 0) & (F.row_number().over(order) == 1))
         .withColumn("back", F.least(F.lit(history), F.floor(room / 2)).cast("long"))
-        .withColumn("big", ~F.col("first") & (F.col("n") > F.col("back")))
-        .withColumn("cell", F.when(F.col("first") | F.col("big"), none).otherwise(F.floor((F.col("start") - F.col("fixed")) / (room - F.col("back")))))
+        .withColumn("room", room)
+        .withColumn("big", ~F.col("first") & (F.col("n") > F.floor(room / 2)))
         .withColumn("bigs", F.coalesce(F.sum(F.col("big").cast("long")).over(upto), none))
     )
-    at = materialize(at.select("key", "block", "role", "text", "n", "fixed", "back", "first", "start", "big", "cell", "bigs"), "placed")
-    more = at.groupBy("key", "block").agg(F.sum(F.col("big").cast("long")).alias("own"))
-    more = more.select("key", "block", F.coalesce(F.sum("own").over(earlier), none).alias("ahead")).where("ahead > 0")
+    at = materialize(at.select("key", "block", "role", "text", "n", "fixed", "room", "back", "first", "start", "big", "bigs"), "placed")
+    more = at.groupBy("key", "block").agg(F.sum(F.col("big").cast("long")).alias("own"), F.max(F.when(~F.col("big") & ~F.col("first"), F.col("n"))).alias("longest"))
+    more = more.select("key", "block", F.coalesce(F.sum("own").over(earlier), none).alias("ahead"), F.coalesce(F.max("longest").over(W.partitionBy("key")), none).alias("longest"))
+    cell = F.floor((F.col("start") - F.col("fixed")) / (F.col("room") - F.greatest("back", "longest")))
     return (
-        at.join(more, ["key", "block"], "left")
-        .withColumn("after", F.coalesce("ahead", none) + F.col("bigs"))
+        at.join(more, ["key", "block"])
+        .withColumn("after", F.col("ahead") + F.col("bigs"))
+        .withColumn("cell", F.when(F.col("first") | F.col("big"), none).otherwise(cell))
         .select("key", "role", "text", "n", "fixed", "back", "first", "start", (F.col("start") + F.col("n")).alias("stop"), "after", "big", "cell")
     )
 
@@ -133,8 +135,8 @@ def format_chat(
     A window shows the system turn (the conversation's first turn, if its role is ``system``), the turns it repeats, and its ``n_new``
     new turns, of which the system turn is one in the first window.  It repeats as many turns before its new ones as fit in
     ``history`` and in what they leave of ``budget``.  ``loss`` has the places, in code points, of the
-    escaped texts of new assistant turns only, so each is learned once.  A turn over budget has
-    a window of its own without history; no text is cut.
+    escaped texts of new assistant turns only, so each is learned once.  A turn over half of what
+    the system turn leaves of the budget is the only new one of its window; one over budget stands without history; no text is cut.
 
     Null texts and roles count as empty; rows without a conv_id are one conversation; repeated rows are turns of
     their own; other columns are ignored; ids may be of any type.  A long conversation is spread over tasks: its prefix sums by

@@ -39,7 +39,9 @@ def plan(tokens, budget, history, fixed):
     room = max(2, budget - fixed)
     back = min(history, room // 2)
     starts = [sum(tokens[:i]) for i in range(len(tokens))]
-    names = [(sum(n > back for n in tokens[:i]), n > back, 0 if n > back else starts[i] // (room - back)) for i, n in enumerate(tokens)]
+    half = room // 2
+    width = room - max([back, *(n for n in tokens if n <= half)])
+    names = [(sum(n > half for n in tokens[:i]), n > half, 0 if n > half else starts[i] // width) for i, n in enumerate(tokens)]
     spans, at = [], 0
     while at < len(tokens):
         stop = at + 1
@@ -89,3 +91,15 @@ def test_windows_repeat_history_and_mask_it(spark, block_turns):
         assert [C.unescape(w["formatted"][s["start"] : s["stop"]]) for s in w["loss"]] == [x for role, x in new if role == "assistant"]
     assert {r[0]: tuple(r)[1:5] for r in C.read_back(windows).collect()} == brute(rows)
     assert C.read_back(C.format_chat(turns.limit(0), tokenizer_path())).count() == 0
+
+
+def test_windows_are_filled(spark):
+    count = C.counter(tokenizer_path()).count
+    path = tokenizer_path()
+    for words, most in ((515, 7), (700, 11), (990, 20), (20, 2)):
+        said = " ".join(["word"] * words)
+        n = count([C.render("user", said)[0]])[0]
+        turns = spark.createDataFrame([(1, t, "user", said) for t in range(20)], "conv_id long, turn long, role string, text string")
+        windows = C.format_chat(turns, path).collect()
+        assert len(windows) <= most and all(w["n_tokens"] <= C.BUDGET for w in windows), (n, len(windows))
+        assert sum(w["n_new"] for w in windows) == 20 and all(w["n_context"] * n <= C.HISTORY for w in windows)
