@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import audience as A
+from ..operators import bitmaps as BM
 from ..operators import lift as L
 from ..operators import scoring as S
 from . import rule_sets
@@ -165,6 +166,27 @@ def u4_bitmap_audiences(spark, d):
     return R.bitmap_sizes(maps.unionByName(either).unionByName(both), "rule")
 
 
+#: Kinds of events whose users the batch of rules combines.
+_KINDS = ["ad_click", "test_drive", "view_car_detail", "view_car_compare", "view_floor_price", "view_loan_calc", "view_short_video", "search_general", "pass_dealership", "map_app_use"]
+_BATCH = {
+    name: rule
+    for i, k in enumerate(_KINDS)
+    for other in [_KINDS[(i + 3) % len(_KINDS)]]
+    for name, rule in {
+        f"{k} not {other}": {"all": [{"raw": k}, {"not": {"raw": other}}]},
+        f"{k} or {other}": {"any": [{"raw": k}, {"raw": other}]},
+        f"neither {k} nor {other}": {"not": {"any": [{"raw": k}, {"raw": other}]}},
+    }.items()
+}
+
+
+def u4_bitmap_rules(spark, d):
+    """Thirty rules with AND, OR and NOT on bitmaps of users known by text ids."""
+    named = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    maps, _ = BM.bitmap_rules(profile(spark, d).withColumn("user_id", named), _BATCH, raw_events(spark, d).withColumn("user_id", named))
+    return maps.groupBy("rule").agg(F.sum("users").alias("users"))
+
+
 def d2_segments(spark, d):
     """Segments made of rules: a segment of a rule's users has the rule's lift."""
     return A.run_rules(_flags(spark, d), NAMES).select(F.concat(F.lit("seg_"), "rule").alias("segment"), "users", "support", "rate", "tgi")
@@ -473,7 +495,7 @@ def u5_new_needs(spark, d):
     return _hits(spark, d).join(R.matches(early, NAMES), ["user_id", "rule"], "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (d1_rule_lift, a12_builtin_rules, r13_rule_batch, u3_audience_algebra, u4_bitmap_audiences, d2_segments, a2_lift_matrix, a1_baseline, a6_split_stats, a4_predicate_lift, a7_field_distribution, a8_profile_all_fields, a10_event_distribution, d3_causal_check, d11_stability, d10_generalisation, d4_candidate_check, d7_import_gate, d8_publish, d9_merge_rules, t4_top_rules, d6_need_scores_rules, a27_need_coverage, a28_action_hits, a32_need_report, d5_need_scores_graph, d26_exclusions, d12_intents, t3_top_users, d13_audience_plan, w13_percentiles, d14_placements, d15_creatives, d25_chains, d27_edge_conformity, j18_leaf_needs, u5_new_needs)}
+QUERIES = {f.__name__: f for f in (d1_rule_lift, a12_builtin_rules, r13_rule_batch, u3_audience_algebra, u4_bitmap_audiences, u4_bitmap_rules, d2_segments, a2_lift_matrix, a1_baseline, a6_split_stats, a4_predicate_lift, a7_field_distribution, a8_profile_all_fields, a10_event_distribution, d3_causal_check, d11_stability, d10_generalisation, d4_candidate_check, d7_import_gate, d8_publish, d9_merge_rules, t4_top_rules, d6_need_scores_rules, a27_need_coverage, a28_action_hits, a32_need_report, d5_need_scores_graph, d26_exclusions, d12_intents, t3_top_users, d13_audience_plan, w13_percentiles, d14_placements, d15_creatives, d25_chains, d27_edge_conformity, j18_leaf_needs, u5_new_needs)}
 
 _EARLY = FLAGS.replace("JOIN raw USING (user_id) GROUP BY profile.user_id", "LEFT JOIN (SELECT * FROM raw WHERE event_time < TIMESTAMP '2024-01-10') raw USING (user_id) GROUP BY profile.user_id")
 
@@ -495,6 +517,7 @@ ORACLE = {
     "a12_builtin_rules": FLAGS + " SELECT user_id, rule AS derived_event_type, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time FROM hit JOIN last USING (user_id)",
     "r13_rule_batch": R13_SQL,
     "u3_audience_algebra": f"WITH {SQL}, f AS (SELECT profile.user_id, COUNT(*) FILTER (event_type = 'ad_click') > 0 AS a, COUNT(*) FILTER (event_type = 'test_drive') > 0 AS b FROM profile JOIN raw USING (user_id) GROUP BY 1) SELECT * FROM (SELECT 'both' AS rule, COUNT(*) FILTER (a AND b) AS users FROM f UNION ALL SELECT 'either', COUNT(*) FILTER (a OR b) FROM f UNION ALL SELECT 'neither', COUNT(*) FILTER (NOT (a OR b)) FROM f) WHERE users > 0",
+    "u4_bitmap_rules": f"WITH {SQL}, f AS (SELECT profile.user_id, " + ", ".join(f"COALESCE(BOOL_OR(event_type = '{k}'), FALSE) AS {k}" for k in _KINDS) + " FROM profile LEFT JOIN raw USING (user_id) GROUP BY 1) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k} not {o}' AS rule, COUNT(*) FILTER ({k} AND NOT {o}) AS users FROM f UNION ALL SELECT '{k} or {o}', COUNT(*) FILTER ({k} OR {o}) FROM f UNION ALL SELECT 'neither {k} nor {o}', COUNT(*) FILTER (NOT ({k} OR {o})) FROM f" for i, k in enumerate(_KINDS) for o in [_KINDS[(i + 3) % len(_KINDS)]]) + ") WHERE users > 0",
     "u4_bitmap_audiences": FLAGS + " SELECT rule, COUNT(*) AS users FROM hit GROUP BY 1 UNION ALL SELECT 'ad_click_user OR test_drive_user', COUNT(DISTINCT user_id) FROM hit WHERE rule IN ('ad_click_user','test_drive_user') UNION ALL SELECT 'ad_click_user AND test_drive_user', COUNT(*) FROM (SELECT user_id FROM hit WHERE rule IN ('ad_click_user','test_drive_user') GROUP BY 1 HAVING COUNT(*) = 2)",
     "d2_segments": FLAGS + STATS + " SELECT 'seg_' || rule AS segment, users, support, rate, tgi FROM stats",
     "a2_lift_matrix": FLAGS + " SELECT segment, rule AS event, COUNT(*) AS users, ROUND(COUNT(*) / ANY_VALUE(total), 6) AS support, ROUND(AVG(hit.is_lead), 6) AS rate, ROUND(AVG(hit.is_lead) / ANY_VALUE(base) * 100, 4) AS tgi FROM hit JOIN profile USING (user_id), base GROUP BY 1, 2",
