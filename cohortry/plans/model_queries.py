@@ -233,10 +233,20 @@ def s19_rule_output(spark, d):
 
 
 def a9_json_fields(spark, d):
-    return S.field_type_rows(table(spark, d, "events"), "props")
+    """Types of the fields of the events' properties."""
+    return S.field_types(table(spark, d, "events"), "props")
 
 
-QUERIES = {f.__name__: f for f in (a13_feature_matrix, a16_event_flags, d30_column_kinds, d31_list_vocabulary, d31_multi_hot, d33_boosted_trees, d34_clipped_regression, d33_multi_class, d34_class_probabilities, d51_holdout_reports, d35_k_fold, d36_k_fold, d36_auc, t7_importances, d28_mined_rules, d35_regression_report, d36_classification_report, d36_confusion, s2_labelled_sets, s3_profiles_last_line, s5_load_summary, s5_load_modes, s1_json_arrays, s6_csv_with_check, s8_partition_range, s14_append_results, s18_triples, s19_rule_output, a9_json_fields)}
+def a9_field_types(spark, d):
+    """Types of the fields of customers told as JSON, one of which is a number or a text."""
+    c = table(spark, d, "customer")
+    flat = F.struct("c_custkey", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"), F.col("c_nationkey").alias("nation"), F.struct("c_mktsegment").alias("more"))
+    odd = F.struct(F.col("c_custkey").cast("string").alias("nation"), (F.col("c_custkey") > 9).alias("late"), F.array("c_nationkey").alias("list"))
+    told = F.when(F.col("c_custkey") % 7 == 0, "no json").when(F.col("c_custkey") % 2 == 0, F.to_json(flat)).otherwise(F.to_json(odd))
+    return S.field_types(c.select(told.alias("json")), "json")
+
+
+QUERIES = {f.__name__: f for f in (a13_feature_matrix, a16_event_flags, d30_column_kinds, d31_list_vocabulary, d31_multi_hot, d33_boosted_trees, d34_clipped_regression, d33_multi_class, d34_class_probabilities, d51_holdout_reports, d35_k_fold, d36_k_fold, d36_auc, t7_importances, d28_mined_rules, d35_regression_report, d36_classification_report, d36_confusion, s2_labelled_sets, s3_profiles_last_line, s5_load_summary, s5_load_modes, s1_json_arrays, s6_csv_with_check, s8_partition_range, s14_append_results, s18_triples, s19_rule_output, a9_json_fields, a9_field_types)}
 
 _PRED = "p AS (SELECT o_totalprice / 500000 AS y, (o_totalprice + o_custkey % 50 * 1000) / 500000 AS p, o_orderkey % 3 AS label, (o_orderkey + CAST(o_custkey % 4 = 0 AS INT)) % 3 AS pred FROM orders)"
 _TAGS = "l AS (SELECT o_custkey AS user_id, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS tags FROM orders GROUP BY 1)"
@@ -259,5 +269,6 @@ ORACLE = {
     "s8_partition_range": "SELECT strftime(l_shipdate, '%Y%m') AS pt_d, COUNT(*) AS n FROM lineitem WHERE strftime(l_shipdate, '%Y%m') BETWEEN '199601' AND '199606' GROUP BY 1",
     "s14_append_results": "SELECT c_custkey, c_mktsegment, CAST(length(c_mktsegment) AS INT) AS label FROM customer",
     "s18_triples": "SELECT '<urn:entity:' || c_custkey || '>' AS s, '<urn:entity:p:' || n || '>' AS p, '\"' || v || '\"' AS o FROM (SELECT c_custkey, 'c_name' AS n, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer)",
-    "a9_json_fields": "SELECT 'k' AS field, COUNT(*) AS n FROM events",
+    "a9_json_fields": "SELECT 'k' AS field, 'integer' AS type, COUNT(*) AS n, 'integer' AS merged FROM events",
+    "a9_field_types": "WITH c AS (SELECT c_custkey % 2 = 0 AS flat, c_acctbal FROM customer WHERE c_custkey % 7 <> 0) SELECT * FROM (SELECT f.field, f.type, COUNT(*) AS n, f.merged FROM c JOIN (VALUES (TRUE, 'c_custkey', 'integer', 'integer'), (TRUE, 'c_name', 'text', 'text'), (TRUE, 'c_acctbal', 'number', 'number'), (TRUE, 'nation', 'integer', 'conflict'), (TRUE, 'more', 'object', 'object'), (FALSE, 'nation', 'text', 'conflict'), (FALSE, 'late', 'boolean', 'boolean'), (FALSE, 'list', 'array', 'array')) f(flat, field, type, merged) USING (flat) GROUP BY 1, 2, 4) ORDER BY 1, 2",
 }

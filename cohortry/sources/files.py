@@ -138,12 +138,26 @@ def write_rules(rules: DataFrame, path: str) -> None:
     rules.select("name", "rule", "tgi", "coverage", "lead_rate").write.mode("overwrite").json(path)
 
 
-def field_types(frame: DataFrame, column: str) -> DataFrame:
-    """The schema of a JSON text column, merged over all rows, as one row of text."""
-    return frame.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("schema"))
+#: What a type of the variant schema is called here, by how it begins; others keep their name.
+KINDS = {"BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "text", "BOOLEAN": "boolean", "VOID": "null", "OBJECT": "object", "ARRAY": "array"}
+
 
+def field_types(frame: DataFrame, column: str) -> DataFrame:
+    """``(field, type, n, merged)`` of the top-level fields of a column of JSON texts: how many values of a field have each type.
 
-def field_type_rows(frame: DataFrame, column: str, key: Column | None = None) -> DataFrame:
-    """``(field, n)`` of the top-level fields of a JSON object column."""
-    names = F.explode(F.json_object_keys(F.col(column))).alias("field")
-    return frame.select(names).groupBy("field").agg(F.count("*").alias("n"))
+    Types are those of VARIANT values: integer, number, text, boolean, null, object, array.  ``merged`` is the one type that all
+    of a field's values fit (integers fit number, null fits any), or ``conflict``.  Texts that aren't JSON objects have no fields.
+    Counts are partial sums; what is merged are a few rows a field.
+    """
+    parsed = frame.select(F.try_parse_json(F.col(column)).alias("v"))
+    parsed = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
+    values = parsed.lateralJoin(frame.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z_]+", 0)
+    named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), kind), F.lower(kind))
+    n = values.select(F.col("key").alias("field"), named.alias("type")).groupBy("field", "type").agg(F.count("*").alias("n"))
+    some = F.array_remove(F.array_sort(F.collect_set("type")), "null")
+    merged = n.groupBy("field").agg(some.alias("t")).select(
+        F.col("field").alias("_f"),
+        F.when(F.size("t") == 0, "null").when(F.size("t") == 1, F.col("t")[0]).when(F.col("t") == F.array(F.lit("integer"), F.lit("number")), "number").otherwise("conflict").alias("merged"),
+    )
+    return n.join(merged, F.col("field") == F.col("_f")).drop("_f")
