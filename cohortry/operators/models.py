@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
-from pyspark.ml.feature import CountVectorizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lift import hash_split
+
+#: Classes of a target at most; one boosted model is fitted for each.
+CLASSES = 100
+
 
 def feature_matrix(profile: DataFrame, raw: DataFrame, kinds: list[str], target: str = "lead_submit") -> DataFrame:
     """One row per user of the profile: per kind counts, days, longest and summed dwell; diversity and totals; nulls are 0.
@@ -71,42 +76,73 @@ def prepared(frame: DataFrame, numeric: list[str], categorical: list[str], lists
     n = {c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) for c in numeric}
     k = {c: F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for c in categorical}
     a = {f"{c}__a": F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "") for c in lists}
-    return frame.withColumns(n | k | a)
+    return frame.withColumns(n | k | a | {"_class": F.lit(0.0)})
+
 
+def train(frame: DataFrame, target: str, kind: str, numeric: list[str], categorical: list[str] = (), lists: list[str] = (), trees: int = 20, depth: int = 4, seed: int = 42, hold_out: float = 0.0, id_col: str | None = None) -> PipelineModel:
+    """A boosted-tree pipeline for ``regression`` or ``binary``; for ``multi`` (classes 0, 1, ...) one of each class against the rest.
 
-def train(frame: DataFrame, target: str, kind: str, numeric: list[str], categorical: list[str] = (), lists: list[str] = (), trees: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """A boosted-tree pipeline for ``regression`` or ``binary``; for ``multi`` (classes 0, 1, ...) one of each class against the rest."""
-    rows = prepared(frame.where(F.col(target).isNotNull()), list(numeric), list(categorical), list(lists)).withColumn("label", F.col(target).cast("double"))
+    Classes may be texts: their dictionary, in alphabetic order and of at most CLASSES, is kept with the model, and ``predict`` gives texts back.
+    With ``hold_out`` that share of the rows, of each class, in the order of a digest of ``id_col``, is held out: boosting ends
+    once a tree no longer lowers its error, and the model has the trees up to there (``trees_used``).
+    """
+    frame, named = frame.where(F.col(target).isNotNull()), []
+    if kind != "regression" and dict(frame.dtypes)[target] == "string":
+        names = [r[0] for r in frame.select(target).distinct().orderBy(target).limit(CLASSES + 1).collect()]
+        if len(names) > CLASSES:
+            raise ValueError(f"{target} has more than {CLASSES} classes")
+        named = [IndexToString(inputCol="_class", outputCol="_class_name", labels=names)]
+        number = F.array_position(F.array(*map(F.lit, names)), F.col(target)) - 1
+    else:
+        number = F.col(target)
+    rows = prepared(frame, list(numeric), list(categorical), list(lists)).withColumn("label", number.cast("double"))
+    early = {}
+    if hold_out:
+        if id_col is None:
+            raise ValueError("rows are held out by a digest of id_col")
+        by = F.lit(0) if kind == "regression" else F.col("label")
+        rows = hash_split(rows.withColumn("_by", by), id_col, "_by", hold_out, "hold-out").withColumn("_held", F.col("split") == "val")
+        early = {"validationIndicatorCol": "_held"}
     if kind == "regression":
-        models = [GBTRegressor(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)]
+        models = [GBTRegressor(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, **early)]
     elif kind == "binary":
-        models = [GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)]
+        models = [GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, **early)]
     elif kind == "multi":
         classes = int(rows.agg(F.max("label")).first()[0] or 0) + 1
         rows = rows.withColumns({f"_is{k}": (F.col("label") == k).cast("double") for k in range(classes)})
         models = [
-            GBTClassifier(labelCol=f"_is{k}", predictionCol=f"_hit{k}", maxIter=trees, maxDepth=depth, seed=seed).setProbabilityCol(f"_prob{k}").setRawPredictionCol(f"_raw{k}")
+            GBTClassifier(labelCol=f"_is{k}", predictionCol=f"_hit{k}", maxIter=trees, maxDepth=depth, seed=seed, **early).setProbabilityCol(f"_prob{k}").setRawPredictionCol(f"_raw{k}")
             for k in range(classes)
         ]
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    return Pipeline(stages=[*feature_stages(list(numeric), list(categorical), list(lists)), *models]).fit(rows)
+    return Pipeline(stages=[*named, *feature_stages(list(numeric), list(categorical), list(lists)), *models]).fit(rows)
+
+
+def trees_used(model: PipelineModel) -> list[int]:
+    """The number of trees of each boosted model of a pipeline."""
+    return [m.getNumTrees for m in model.stages if hasattr(m, "getNumTrees")]
 
 
 def predict(model: PipelineModel, frame: DataFrame, kind: str, numeric: list[str], categorical: list[str] = (), lists: list[str] = ()) -> DataFrame:
     """``frame`` with ``xgb_prediction`` (clipped to 0-1 for regression), for two classes ``xgb_probability``, for more
-    ``xgb_probabilities`` (of all classes, their sum is 1); columns the frame lacks are empty.
+    ``xgb_probabilities`` (of all classes, their sum is 1); text classes are told as texts; columns the frame lacks are empty.
     """
     missing = {c: F.lit(None).cast("string") for c in [*numeric, *categorical, *lists] if c not in frame.columns}
     out = model.transform(prepared(frame.withColumns(missing) if missing else frame, list(numeric), list(categorical), list(lists)))
+    names = next((s.getLabels() for s in model.stages if isinstance(s, IndexToString)), None)
+
+    def told(index: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, names)), (index + 1).cast("int")) if names else index
+
     if kind == "regression":
         return out.select(*frame.columns, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("xgb_prediction"))
     if kind == "binary":
-        return out.select(*frame.columns, F.col("prediction").alias("xgb_prediction"), vector_to_array("probability")[1].alias("xgb_probability"))
+        return out.select(*frame.columns, told(F.col("prediction")).alias("xgb_prediction"), vector_to_array("probability")[1].alias("xgb_probability"))
     own = [vector_to_array(m.getProbabilityCol())[1] for m in model.stages if m.hasParam("probabilityCol")]
     shares = out.select(*frame.columns, F.array(*own).alias("_own")).withColumn("_sum", F.aggregate("_own", F.lit(0.0), lambda a, x: a + x))
     best = (F.array_position("_own", F.array_max("_own")) - 1).cast("double")
-    return shares.select(*frame.columns, best.alias("xgb_prediction"), F.transform("_own", lambda p: p / F.col("_sum")).alias("xgb_probabilities"))
+    return shares.select(*frame.columns, told(best).alias("xgb_prediction"), F.transform("_own", lambda p: p / F.col("_sum")).alias("xgb_probabilities"))
 
 
 def importances(model: PipelineModel, names: list[str], top: int = 10) -> list[tuple[str, float]]:

@@ -232,6 +232,13 @@ def s19_rule_output(spark, d):
     return spark.read.schema("name string, rule string, tgi double, coverage double, lead_rate double").json(out)
 
 
+def d33_named_classes(spark, d):
+    """The market segment of every customer by a model of text classes that stops early."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    model = M.train(c, "c_mktsegment", "multi", ["c_nationkey", "c_acctbal"], trees=4, depth=2, hold_out=0.2, id_col="c_custkey")
+    return M.predict(model, c, "multi", ["c_nationkey", "c_acctbal"]).select("c_custkey", "xgb_prediction")
+
+
 def a9_json_fields(spark, d):
     """Types of the fields of the events' properties."""
     return S.field_types(table(spark, d, "events"), "props")
@@ -246,7 +253,7 @@ def a9_field_types(spark, d):
     return S.field_types(c.select(told.alias("json")), "json")
 
 
-QUERIES = {f.__name__: f for f in (a13_feature_matrix, a16_event_flags, d30_column_kinds, d31_list_vocabulary, d31_multi_hot, d33_boosted_trees, d34_clipped_regression, d33_multi_class, d34_class_probabilities, d51_holdout_reports, d35_k_fold, d36_k_fold, d36_auc, t7_importances, d28_mined_rules, d35_regression_report, d36_classification_report, d36_confusion, s2_labelled_sets, s3_profiles_last_line, s5_load_summary, s5_load_modes, s1_json_arrays, s6_csv_with_check, s8_partition_range, s14_append_results, s18_triples, s19_rule_output, a9_json_fields, a9_field_types)}
+QUERIES = {f.__name__: f for f in (a13_feature_matrix, a16_event_flags, d30_column_kinds, d31_list_vocabulary, d31_multi_hot, d33_boosted_trees, d34_clipped_regression, d33_multi_class, d33_named_classes, d34_class_probabilities, d51_holdout_reports, d35_k_fold, d36_k_fold, d36_auc, t7_importances, d28_mined_rules, d35_regression_report, d36_classification_report, d36_confusion, s2_labelled_sets, s3_profiles_last_line, s5_load_summary, s5_load_modes, s1_json_arrays, s6_csv_with_check, s8_partition_range, s14_append_results, s18_triples, s19_rule_output, a9_json_fields, a9_field_types)}
 
 _PRED = "p AS (SELECT o_totalprice / 500000 AS y, (o_totalprice + o_custkey % 50 * 1000) / 500000 AS p, o_orderkey % 3 AS label, (o_orderkey + CAST(o_custkey % 4 = 0 AS INT)) % 3 AS pred FROM orders)"
 _TAGS = "l AS (SELECT o_custkey AS user_id, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS tags FROM orders GROUP BY 1)"
