@@ -146,18 +146,57 @@ def url_id(url: Column) -> Column:
     return F.substring(F.sha2(canonical_url_kept_scheme(url), 256), 1, 16)
 
 
+#: Named entities that addresses hold.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+
+
+def unescaped(text: Column) -> Column:
+    """A text with numbered entities and those of ENTITIES decoded, each once; others stay."""
+
+    def one(part: Column) -> Column:
+        digits = F.nullif(F.regexp_extract(part, r"^#([0-9]{1,7});", 1), F.lit(""))
+        number = F.coalesce(F.conv(F.nullif(F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10), digits).cast("int")
+        rest = F.regexp_replace(part, r"^[^;]*;", "")
+        out = F.concat(F.lit("&"), part)
+        for name, letter in ENTITIES.items():
+            out = F.when(part.startswith(f"{name};"), F.concat(F.lit(letter), rest)).otherwise(out)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(known, F.concat(letter, rest)).otherwise(out)
+
+    parts = F.split(text, "&")
+    more = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return F.when(text.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(more, ""))).otherwise(text)
+
+
+def _walked(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; it never leaves the root."""
+    segments = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(segments, none, lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    closed = F.concat(kept, F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none))
+    joined = F.array_join(closed, "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
 def resolved(base: Column, href: Column) -> Column:
-    """A link against its page: absolute, scheme-relative, root-relative, query-only and plain relative ones; null for what is no page."""
+    """A link against its page; null for what is no page.
+
+    Absolute and scheme-relative links stay as they are.  Paths from the root or the page's folder lose ``.`` and ``..`` segments
+    (those from the folder repeated slashes too), query-only links keep the page's path.  ``href`` has its entities decoded.
+    """
     h = F.trim(href)
     root = F.concat(url_part(base, "scheme"), F.lit("://"), url_part(base, "host"))
     folder = F.regexp_extract(url_part(base, "path"), r"^(.*/)[^/]*$", 1)
+    path, rest = F.regexp_extract(h, r"^[^?#]*", 0), F.regexp_replace(h, r"^[^?#]*", "")
+    below = F.regexp_replace(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/{2,}", "/")
     return (
         F.when((h == "") | h.rlike(r"^(#|javascript:|mailto:|tel:)"), F.lit(None))
         .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(url_part(base, "scheme"), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(root, h))
+        .when(h.startswith("/"), F.concat(root, _walked(path), rest))
         .when(h.startswith("?"), F.concat(root, url_part(base, "path"), h))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), h))
+        .otherwise(F.concat(root, _walked(below), rest))
     )
 
 

@@ -18,11 +18,22 @@ from ..functions import text as X
 from .groups import components, kept_first, stored
 
 
-def page_links(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``(id, url, place, link)``: every link of every page, canonical, in order."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    raw = pages.select(id_col, "url", F.posexplode(hrefs).alias("place", "href"))
-    absolute = raw.select(id_col, "url", "place", X.resolved(F.col("url"), F.col("href")).alias("absolute"))
+#: The opening tag of an anchor, and its address in it: in quotes of either kind or in none.
+ANCHOR = r"(?i)<a[\s/][^<>]*"
+HREF = r"""(?i)[\s"'/]href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+
+
+def page_links(pages: DataFrame, id_col: str = "page_id", selector: str | None = None) -> DataFrame:
+    """``(id, url, place, link)``: every link of every page, canonical, in order.
+
+    ``selector``: a pattern that an anchor's opening tag must match (its class or another attribute); places count such anchors.
+    Entities in addresses are decoded.  Pages without html have no links.
+    """
+    anchors = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
+    anchors = F.filter(anchors, lambda a: a.rlike(HREF) & (a.rlike(selector) if selector else F.lit(True)))
+    raw = pages.select(id_col, "url", F.posexplode(anchors).alias("place", "anchor"))
+    href = X.unescaped(F.regexp_replace(F.regexp_extract("anchor", HREF, 1), """^["']|["']$""", ""))
+    absolute = raw.select(id_col, "url", "place", X.resolved(F.col("url"), href).alias("absolute"))
     return absolute.select(id_col, "url", "place", X.canonical_url(F.col("absolute")).alias("link")).where("link is not null")
 
 
@@ -31,9 +42,14 @@ def keep_first(frame: DataFrame, by: list[str], order: list[Column]) -> DataFram
     return frame.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def article_links(pages: DataFrame, top: int = 20, least: int = 2, id_col: str = "page_id") -> DataFrame:
-    """The best-scored links of each page (first of equals kept, ties by place)."""
-    first = keep_first(page_links(pages, id_col), [id_col, "link"], [F.col("place")])
+def article_links(pages: DataFrame, top: int = 20, least: int = 2, id_col: str = "page_id", selector: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The best-scored links of each page (first of equals kept, ties by place).
+
+    ``pattern``: what a canonical link must match before it is scored; ``selector``: as in ``page_links``.
+    """
+    found = page_links(pages, id_col, selector)
+    found = found.where(F.col("link").rlike(pattern)) if pattern else found
+    first = keep_first(found, [id_col, "link"], [F.col("place")])
     scored = first.withColumn("score", X.link_score(F.col("link"), F.col("url"))).where(F.col("score") >= least)
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), "place")))
     return ranked.where(F.col("rank") <= top).select(id_col, "link", "score", "rank")

@@ -157,6 +157,20 @@ def d44_article_links(spark, d):
     return B.article_links(table(spark, d, "pages"), top=20, least=-1)
 
 
+def _listings(spark, d):
+    """Every page with an anchor of the class ``more`` to the next page's address (unquoted, escaped) and one beside its folder."""
+    p = table(spark, d, "pages")
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    more = F.concat(F.lit("<a class=more href="), F.regexp_replace("next", "&", "&amp;"), F.lit("&amp;utm_source=n>next</a>"))
+    beside = F.concat(F.lit("<a class='more' href='../news/story-of-page/"), (F.col("page_id") + 10000).cast("string"), F.lit("'>story</a>"))
+    return p.join(after, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce(more, F.lit("")), beside).alias("html"))
+
+
+def x4_listing_links(spark, d):
+    """Article links of listing pages: of the class ``more``, below a folder, with two points or more."""
+    return B.article_links(_listings(spark, d), selector=r"\bclass\s*=\s*['\"]?more\b", pattern=r"^https://[^/]+/[^/]+/")
+
+
 def w11_first_links(spark, d):
     return B.keep_first(B.page_links(table(spark, d, "pages")), ["page_id", "link"], [F.col("place")]).select("page_id", "place", "link")
 
@@ -357,7 +371,7 @@ def d43_scenario_tags(spark, d):
     return M.scenario_tags(t, spark.createDataFrame(_SCENARIOS, "scenario string, names array<string>"), key=["conv_id", "turn"])
 
 
-QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, w11_first_links, s10_upsert, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f10_many_keywords, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d41_suggestions, d42_value_search, t6_vector_search, d43_scenario_tags)}
+QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, x4_listing_links, w11_first_links, s10_upsert, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f10_many_keywords, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d41_suggestions, d42_value_search, t6_vector_search, d43_scenario_tags)}
 
 _FOLD = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _U = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', {})"
@@ -393,11 +407,15 @@ def _domain(url):
 _WEB = f"CASE WHEN lower({_part('url', 1)}) IN ('http', 'https') THEN {_CANON} END"
 _ROOT = f"{_part('page', 1)} || '://' || {_part('page', 2)}"
 _FOLDER = f"regexp_extract({_part('page', 3)}, '^(.*/)[^/]*$', 1)"
-#: Every link of every page, resolved and canonical; the first place of each link of a page.
-_LINKS = rf"""hr AS (SELECT page_id, url AS page, {_WEB} AS own, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages),
-h AS (SELECT page_id, page, own, trim(unnest(hs)) AS h, unnest(range(len(hs))) AS place FROM hr),
-ab AS (SELECT page_id, page, own, place, CASE WHEN h = '' OR regexp_matches(h, '^(#|javascript:|mailto:|tel:)') THEN NULL WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN {_part('page', 1)} || ':' || h WHEN starts_with(h, '/') THEN {_ROOT} || h WHEN starts_with(h, '?') THEN {_ROOT} || {_part('page', 3)} || h ELSE {_ROOT} || CASE WHEN {_FOLDER} = '' THEN '/' ELSE {_FOLDER} END || h END AS url FROM h),
-fl AS (SELECT page_id, ANY_VALUE(page) AS page, ANY_VALUE(own) AS own, MIN(place) AS place, link FROM (SELECT *, {_WEB} AS link FROM ab) WHERE link IS NOT NULL GROUP BY page_id, link)"""
+def _links(pages: str = "pages") -> str:
+    """SQL of every link of every page, resolved (one step up at most) and canonical; the first place of each link of a page."""
+    return rf"""hr AS (SELECT page_id, url AS page, {_WEB} AS own, regexp_extract_all(html, '(?i)<a[\s/](?:[^<>]*?[\s"''/])?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''<>]+)', 1) AS hs FROM {pages}),
+h AS (SELECT page_id, page, own, trim(replace(trim(unnest(hs), '"'''), '&amp;', '&')) AS h, unnest(range(len(hs))) AS place FROM hr),
+ab AS (SELECT page_id, page, own, place, CASE WHEN h = '' OR regexp_matches(h, '^(#|javascript:|mailto:|tel:)') THEN NULL WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN {_part('page', 1)} || ':' || h WHEN starts_with(h, '/') THEN {_ROOT} || h WHEN starts_with(h, '?') THEN {_ROOT} || {_part('page', 3)} || h ELSE {_ROOT} || CASE WHEN {_FOLDER} = '' THEN '/' ELSE {_FOLDER} END || h END AS raw FROM h),
+up AS (SELECT * EXCLUDE raw, regexp_replace(raw, '(://[^/]+/(?:[^?#]*/)?)[^/?#]+/\.\./', '\1') AS url FROM ab),
+fl AS (SELECT page_id, ANY_VALUE(page) AS page, ANY_VALUE(own) AS own, MIN(place) AS place, link FROM (SELECT *, {_WEB} AS link FROM up) WHERE link IS NOT NULL GROUP BY page_id, link)"""
+
+
 _SEGMENTS = f"list_filter(string_split({_part('link', 3)}, '/'), lambda x: x <> '')"
 _OUTSIDE = ", ".join(f"'{x}'" for x in X.OUTSIDE)
 _PAGING = ", ".join(f"'{x}'" for x in X.PAGING)
@@ -439,8 +457,11 @@ ORACLE = {
     "p19_html_dates": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2023-05-06' WHEN 2 THEN '2022-03-04' END AS date, CASE page_id % 4 WHEN 0 THEN 'meta' WHEN 1 THEN 'json_ld' WHEN 2 THEN 'url' ELSE 'none' END AS source FROM pages",
     "p20_html_fields": f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<meta[^>]+name=[\"'']description[\"''][^>]+content=[\"'']([^\"'']*)', 1), '\\s+', ' ', 'g')) AS description, length({_PLAIN}) AS n_plain FROM pages",
     "p22_feed_summaries": f"""WITH p AS (SELECT *, {_PLAIN} AS plain FROM pages), e AS (SELECT page_id, substr(plain, 1, 500) AS summary, length(plain) AS n_content, len(regexp_extract_all(html, '(?i)<img\\b[^>]*?\\bsrc\\s*=\\s*["'']([^"'']+)["'']', 1)) AS n_images, {_HTML_DATE} AS date FROM p) SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM e WHERE date IS NULL OR date >= DATE '2024-01-01'""",
-    "w11_first_links": f"WITH {_LINKS} SELECT page_id, CAST(place AS INT) AS place, link FROM fl",
-    "d44_article_links": f"WITH {_LINKS}, {_SCORED}, rk AS (SELECT page_id, link, score, CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, place) AS INT) AS rank FROM sc WHERE score >= -1) SELECT * FROM rk WHERE rank <= 20",
+    "x4_listing_links": "WITH listing AS (SELECT page_id, url, COALESCE('<a class=more href=' || replace(next, '&', '&amp;') || '&amp;utm_source=n>', '') || '<a href=\"../news/story-of-page/' || (page_id + 10000) || '\">' AS html FROM pages LEFT JOIN (SELECT page_id - 1 AS page_id, url AS next FROM pages) USING (page_id)), "
+    + _links("listing")
+    + f", {_SCORED}, rk AS (SELECT page_id, link, score, CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, place) AS INT) AS rank FROM sc WHERE score >= 2 AND regexp_matches(link, '^https://[^/]+/[^/]+/')) SELECT * FROM rk WHERE rank <= 20",
+    "w11_first_links": f"WITH {_links()} SELECT page_id, CAST(place AS INT) AS place, link FROM fl",
+    "d44_article_links": f"WITH {_links()}, {_SCORED}, rk AS (SELECT page_id, link, score, CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, place) AS INT) AS rank FROM sc WHERE score >= -1) SELECT * FROM rk WHERE rank <= 20",
     "p23_short_summaries": f"SELECT doc_id, {_short('text')} AS summary FROM documents",
     "d50_longer_content": f"WITH b AS (SELECT page_id, {_PLAIN} AS body FROM pages), j AS (SELECT doc_id AS id, CASE WHEN length(COALESCE(text, '')) < 200 AND length(body) > length(COALESCE(text, '')) THEN body ELSE text END AS c FROM documents LEFT JOIN b ON page_id = doc_id) SELECT id, length(c) AS n, {_short('c')} AS summary FROM j",
     "p25_prompts": "SELECT c_custkey, 'Rate ' || c_name || ' of ' || c_mktsegment || ' (' || c_nationkey || ').' AS prompt FROM customer",

@@ -111,3 +111,30 @@ def test_feed_entries_by_cutoff(spark):
     got = {r["page_id"]: r for r in B.feed_entries(pages, F.lit("2024-01-01").cast("date")).collect()}
     assert sorted(got) == [1, 3] and got[1]["images"] == ["i.png", "j.png"] and str(got[1]["date"]) == "2024-01-02"
     assert got[3]["date"] is None and len(got[3]["summary"]) == 500 and got[3]["n_content"] == 999
+
+
+def test_links_equal_those_of_the_standard_library(spark):
+    from itertools import product
+    from urllib.parse import urljoin
+
+    bases = ["https://a.com", "https://a.com/", "https://a.com/b/c", "https://a.com/b//c/", "https://a.com/b/c/d/e?q=1"]
+    heads = ["", "/", "../", "./", "../../../", "/../", "x/../"]
+    tails = ["y", "y/", "y//z", "y/..", ".", "..", "y/./z/../w", "a..b/...", "y?p=../q", "y/../z#../f", "é/y z"]
+    pairs = [(b, h + t) for b, h, t in product(bases, heads, tails)]
+    assert values(spark, pairs, X.resolved) == [urljoin(b, h) for b, h in pairs]
+
+
+def test_entities(spark):
+    given = ["a&amp;b", "&amp;amp;", "&#47;&#x2F;x", "&lt;&gt;&quot;&apos;", "a&b&copy;", "&#128512;&#0;&#xD800;", "plain", None, "&", "&#38;amp;"]
+    want = ["a&b", "&amp;", "//x", "<>\"'", "a&b&copy;", "😀&#0;&#xD800;", "plain", None, "&", "&amp;"]
+    assert values(spark, [(g, "") for g in given], lambda a, b: X.unescaped(a)) == want
+
+
+def test_links_of_a_page_by_selector_and_pattern(spark):
+    html = """<a data-href="/no" href="/one/a">1</a><A class="more x" HREF = '../two/b?x=1&amp;utm_source=n'>2</A><a class=more href=/three/c/>3</a>
+    <abbr href="/no">x</abbr><a name="top">4</a><a class='more' href="/one/a">5</a><a href="mailto:x@y.z">6</a>"""
+    pages = spark.createDataFrame([(1, "http://s.org/l/i", html), (2, "http://s.org/", None), (3, "http://s.org/", "")], "page_id long, url string, html string")
+    links = lambda **k: [r["link"] for r in B.page_links(pages, **k).orderBy("page_id", "place").collect()]
+    assert links() == ["https://s.org/one/a", "https://s.org/two/b?x=1", "https://s.org/three/c", "https://s.org/one/a"]
+    assert links(selector=r"\bclass\s*=\s*['\"]?more\b") == ["https://s.org/two/b?x=1", "https://s.org/three/c", "https://s.org/one/a"]
+    assert [r["link"] for r in B.article_links(pages, least=-5, pattern="/t[a-z]+/").orderBy("rank").collect()] == ["https://s.org/two/b?x=1", "https://s.org/three/c"]
