@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,3 +91,28 @@ def suggestions(values: DataFrame, catalog: DataFrame, top: int = 3, q: int = 2,
     met = v.join(c, "g").groupBy("value", "code", "_n", "n", "m").agg(F.count("*").alias("common"))
     best = met.groupBy("value", "code").agg(F.max(F.round(2 * F.col("common") / (F.col("n") + F.col("m")), 4)).alias("similarity"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy("value").orderBy(F.desc("similarity"), "code"))).where(F.col("rank") <= top)
+
+
+#: Letters of the pieces by which strings meet in ``held``.
+GRAM = 3
+
+
+def _pieces(text: Column, size: int) -> Column:
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def held(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``(x, y)``: each non-empty string x of ``short(x)`` with each y of ``long(y)`` that contains it, equal ones too.
+
+    An index of pieces of one to GRAM letters of the longer strings is asked for one piece of each shorter one, its rarest there;
+    strings that have it are then compared.  Both sides are shuffled by piece, nothing passes the driver.
+    """
+    x = short.select("x").where("x <> ''").distinct()
+    y = long.select("y").where("y <> ''").distinct()
+    every = F.array_distinct(F.concat(*[_pieces(F.col("y"), n) for n in range(1, GRAM + 1)]))
+    posted = y.select("y", F.explode(every).alias("g"))
+    own = F.when(F.length("x") < GRAM, F.array("x")).otherwise(_pieces(F.col("x"), GRAM))
+    asked = x.select("x", F.explode(own).alias("g")).join(posted.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
+    rarest = asked.groupBy("x").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0").select("x", F.col("m.g").alias("g"))
+    return rarest.join(posted, "g").where(F.col("y").contains(F.col("x"))).select("x", "y")

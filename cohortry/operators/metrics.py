@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keywords import contained
+from .groups import stored
+from .keywords import contained, held
 from .vectors import VectorIndex, nearest
 
 #: Days after the end in which conversions of a request may come back.
@@ -86,33 +87,80 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s,，;；/_-]+"), lambda t: t != ""))
 
 
+def tokens_hit(query: Column, text: Column) -> Column:
+    """How many of the query's tokens contain, or are in, some token of the text (both arrays)."""
+    return F.size(F.filter(query, lambda x: F.exists(text, lambda y: y.contains(x) | x.contains(y))))
+
+
 def token_share(query: Column, text: Column) -> Column:
     """Share of the query's tokens that contain, or are in, some token of the text."""
     q, t = tokens(query), tokens(text)
-    hit = F.size(F.filter(q, lambda x: F.exists(t, lambda y: y.contains(x) | x.contains(y))))
-    return F.when((F.size(q) > 0) & (F.size(t) > 0), hit / F.size(q)).otherwise(0.0)
+    return F.when((F.size(q) > 0) & (F.size(t) > 0), tokens_hit(q, t) / F.size(q)).otherwise(0.0)
+
 
+def lexical_search(queries: DataFrame, catalog: DataFrame, top: int = 5) -> DataFrame:
+    """``(query_id, value, similarity, rank)``: the ``top`` rows of ``catalog(value, value_desc)`` by token share, exactly.
 
-def value_search(queries: DataFrame, catalog: DataFrame, top: int = 5, fix: float = 0.5, vectors: bool = False, block: int = 10_000) -> DataFrame:
+    Queries with the same tokens are searched once, and of catalog rows with the same tokens only the ``top`` smallest values go on
+    (the others can't be told from them).  Tokens meet through an index of letter pieces (``keywords.held``), sets through their
+    tokens.  A query's rarer half of tokens is looked up first: if ``top`` rows then hit more tokens than the commoner half has, no
+    row outside them can be among the best; only other queries look up the rest.  Rows that hit nothing fill short lists in order
+    of values.  A null query has no tokens; ties go to the smaller value; repeated catalog rows count as often as they stand.
+    """
+    own = catalog.select("value", F.array_sort(tokens(F.concat_ws(" ", "value", "value_desc"))).alias("t")).withColumn("s", F.sha2(F.array_join("t", " "), 256))
+    few = own.withColumn("_r", F.row_number().over(W.partitionBy("s").orderBy("value"))).where(F.col("_r") <= top)
+    sets = stored(few.groupBy("s").agg(F.first("t").alias("t"), F.sort_array(F.collect_list(F.struct("value"))).alias("rows")), "value-sets")
+    asked = queries.select("query_id", F.array_sort(tokens(F.col("query"))).alias("q")).withColumn("k", F.sha2(F.array_join("q", " "), 256))
+    wanted = stored(asked.groupBy("k").agg(F.first("q").alias("q")), "query-sets")
+
+    x = wanted.select("k", F.explode("q").alias("x"))
+    y = sets.select("s", F.explode("t").alias("y"))
+    pairs = stored(held(x, y).unionByName(held(y.select(F.col("y").alias("x")), x.select(F.col("x").alias("y"))).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "token-pairs")
+    reach = pairs.join(y.groupBy("y").agg(F.count("*").alias("n")), "y").groupBy("x").agg(F.sum("n").alias("n"))
+    by = W.partitionBy("k")
+    ranked = x.join(reach, "x").withColumn("place", F.row_number().over(by.orderBy("n", "x"))).withColumn("m", F.count("*").over(by))
+    ranked = stored(ranked.select("k", "x", (F.col("place") <= F.ceil(F.col("m") / 2)).alias("rare"), F.floor(F.col("m") / 2).alias("rest")), "query-tokens")
+
+    def met(tokens_of: DataFrame) -> DataFrame:
+        return tokens_of.select("k", "x").join(pairs, "x").join(y, "y").select("k", "s").distinct()
+
+    def scored(found: DataFrame) -> DataFrame:
+        told = found.join(wanted, "k").join(sets, "s").select("k", "s", F.size("q").alias("n"), tokens_hit(F.col("q"), F.col("t")).alias("hit"), "rows")
+        return best(told.select("k", "s", "n", "hit", F.explode("rows.value").alias("value")))
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(by.orderBy(F.desc("hit"), "value"))).where(F.col("rank") <= top)
+
+    first = met(ranked.where("rare"))
+    early = stored(scored(first), "first-values")
+    sure = early.where(F.col("rank") == top).join(ranked.groupBy("k").agg(F.first("rest").alias("rest")), "k").where("hit > rest").select("k")
+    late = ranked.where("not rare").join(sure, "k", "left_anti")
+    more = scored(met(late).join(first, ["k", "s"], "left_anti"))
+    done = stored(best(early.unionByName(more).drop("rank")), "best-values")
+
+    # Rows that hit nothing: of the ``top`` smallest values, so many fetched at most.
+    spare = own.select("value", "s").orderBy("value").limit(top).collect()
+    short = wanted.join(done.where(F.col("rank") == top).select("k"), "k", "left_anti").select("k", F.size("q").alias("n"))
+    filled = done
+    if spare:
+        none = F.array(*[F.struct(F.lit(r["value"]).alias("value"), F.lit(r["s"]).alias("s")) for r in spare])
+        rows = short.select("k", "n", F.inline(none)).join(done.select("k", "s").distinct(), ["k", "s"], "left_anti").withColumn("hit", F.lit(0))
+        filled = best(done.drop("rank").unionByName(rows))
+    share = F.round(F.coalesce(F.try_divide(F.col("hit"), F.col("n")), F.lit(0.0)), 4)
+    return asked.select("query_id", "k").join(filled, "k").select("query_id", "value", share.alias("similarity"), "rank")
+
+
+def value_search(queries: DataFrame, catalog: DataFrame, top: int = 5, fix: float = 0.5, vectors: bool = False) -> DataFrame:
     """The ``top`` catalog values for each row of ``queries(query_id, query[, query_vector])``; ``fixed`` marks a best value sure enough to use.
 
-    Similarity is the token share, or 0.7 cosine + 0.3 token share with vectors.  With vectors an inverted file of
-    ``catalog(value, value_desc, vector)`` is searched, exactly (``vectors.nearest``).  Without, all of the catalog is
-    searched where it lies: queries are sent to it in blocks of about ``block`` rows, and each partition passes on its ``top`` values
-    of a query only.  Ties go to the smaller value.
+    Similarity is the token share (``lexical_search``), or 0.7 cosine + 0.3 token share with vectors.  With vectors an inverted file of
+    ``catalog(value, value_desc, vector)`` is searched, exactly (``vectors.nearest``).  Ties go to the smaller value.
     """
-    sim = token_share(F.col("query"), F.concat_ws(" ", "value", "value_desc"))
     if vectors:
-        both = cosine(F.col("query_vector"), F.col("vector")) * 0.7 + sim * 0.3
+        both = cosine(F.col("query_vector"), F.col("vector")) * 0.7 + token_share(F.col("query"), F.concat_ws(" ", "value", "value_desc")) * 0.3
         out = nearest(queries, VectorIndex(catalog), both, top, 0.7, 0.3)
-        return out.select("query_id", "value", "similarity", "rank", ((F.col("rank") == 1) & (F.col("similarity") >= fix)).alias("fixed"))
-    blocks = -(-queries.count() // block) or 1
-    out = None
-    for k in range(blocks):
-        asked = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        j = catalog.join(F.broadcast(asked)).withColumn("similarity", F.round(sim, 4)).select("query_id", "value", "similarity")
-        r = j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "value"))).where(F.col("rank") <= top)
-        out = r if out is None else out.unionAll(r)
+    else:
+        out = lexical_search(queries, catalog, top)
     return out.select("query_id", "value", "similarity", "rank", ((F.col("rank") == 1) & (F.col("similarity") >= fix)).alias("fixed"))
 
 
