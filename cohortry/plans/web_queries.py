@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..operators import keywords as K
 from ..operators import metrics as M
 from ..operators import web as B
+from ..sources.store import Store
+from ..streaming.run import shared_folder
 from .driver_tables import table
 from .wide_queries import ads
 from .wide_queries import SQL as ADS_SQL
@@ -196,6 +198,39 @@ def s12_changed_only(spark, d):
     return B.changed_only(old, t, "doc_id", "text").select("doc_id", "content_hash")
 
 
+def _store(spark, rows, key) -> Store:
+    return Store(spark, shared_folder(spark), ", ".join(f"{n} {t}" for n, t in rows.dtypes), key)
+
+
+def s10_store_upsert(spark, d):
+    """A store after a batch, a second that updates and adds, and that again."""
+    old, new = _halves(spark, d)
+    store = _store(spark, old, ["c_custkey"])
+    store.upsert("old", old)
+    store.upsert("new", new)
+    store.upsert("new", new)
+    return store.read()
+
+
+def s11_store_insert(spark, d):
+    """A store after a batch and another whose known keys are ignored."""
+    old, new = _halves(spark, d)
+    store = _store(spark, old, ["c_custkey"])
+    store.insert("old", old)
+    store.insert("new", new.union(new))
+    return store.read()
+
+
+def s12_store_changed(spark, d):
+    """Lengths of the texts in a store after two batches, of which the second writes new keys and texts that differ by more than white space."""
+    t = table(spark, d, "documents").select("doc_id", "text", X.content_hash(F.col("text")).alias("content_hash"))
+    old = t.where("doc_id % 4 > 0").withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.lit("other")).otherwise(F.concat(F.col("text"), F.lit("  "))))
+    store = _store(spark, t, ["doc_id"])
+    store.upsert_changed("old", old.drop("content_hash"), "text")
+    store.upsert_changed("new", t.drop("content_hash"), "text")
+    return store.read().select("doc_id", F.length("text").alias("n"))
+
+
 def s13_resume(spark, d):
     t = table(spark, d, "documents").select("doc_id", "source")
     return B.resume(t, t.where("doc_id % 5 < 3"), ["doc_id"])
@@ -371,7 +406,7 @@ def d43_scenario_tags(spark, d):
     return M.scenario_tags(t, spark.createDataFrame(_SCENARIOS, "scenario string, names array<string>"), key=["conv_id", "turn"])
 
 
-QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, x4_listing_links, w11_first_links, s10_upsert, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f10_many_keywords, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d41_suggestions, d42_value_search, t6_vector_search, d43_scenario_tags)}
+QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, x4_listing_links, w11_first_links, s10_upsert, s10_store_upsert, s11_store_insert, s12_store_changed, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f10_many_keywords, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d41_suggestions, d42_value_search, t6_vector_search, d43_scenario_tags)}
 
 _FOLD = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _U = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', {})"
@@ -468,6 +503,9 @@ ORACLE = {
     "p26_scorer_checks": "SELECT doc_id, CASE WHEN length(text) % 5 = 0 THEN 'bad insight_type' WHEN length(text) % 11 = 0 THEN 'no thoughts' WHEN length(text) % 7 < 2 THEN 'fewer than 3 tags' END AS error, CASE WHEN length(text) % 5 > 0 AND length(text) % 11 > 0 AND length(text) % 7 >= 2 THEN array_to_string(list_transform(range(1, CAST(LEAST(length(text) % 7 + 2, 7) AS INT)), lambda i: 't' || i), ',') END AS tags, CASE WHEN length(text) % 13 <= 10 THEN CAST(length(text) % 13 AS DOUBLE) END AS score FROM documents",
     "p27_quality_totals": "SELECT doc_id, CASE WHEN length(text) % 9 = 0 THEN NULL WHEN length(text) % 3 = 0 AND length(text) % 14 <= 10 THEN CAST(length(text) % 14 AS DOUBLE) ELSE ROUND((length(text) % 10) * 0.2::DOUBLE + 1 * 0.1::DOUBLE + 2 * 0.4::DOUBLE + 3 * 0.15::DOUBLE + 4 * 0.1::DOUBLE + 5 * 0.05::DOUBLE, 1) END AS total FROM documents",
     "s10_upsert": "SELECT c_custkey, c_mktsegment, ROUND(c_acctbal, 2) + CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 0 END AS bal FROM customer",
+    "s10_store_upsert": "SELECT c_custkey, c_mktsegment, ROUND(c_acctbal, 2) + CASE WHEN c_custkey % 3 < 2 THEN 1 ELSE 0 END AS bal FROM customer",
+    "s11_store_insert": "SELECT c_custkey, c_mktsegment, ROUND(c_acctbal, 2) + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS bal FROM customer",
+    "s12_store_changed": "SELECT doc_id, CAST(length(text) + CASE WHEN doc_id % 4 > 1 THEN 2 ELSE 0 END AS INT) AS n FROM documents",
     "s11_insert_or_ignore": "SELECT c_custkey, c_mktsegment, ROUND(c_acctbal, 2) + 1 AS bal FROM customer WHERE c_custkey % 3 = 0",
     "s12_changed_only": f"SELECT doc_id, sha256({_FOLD.format('text')}) AS content_hash FROM documents WHERE doc_id % 4 < 2",
     "s13_resume": "SELECT doc_id, source FROM documents WHERE doc_id % 5 >= 3",
