@@ -91,7 +91,23 @@ def st7_window_counts(spark, d):
     return drained(flagged).select(_text("start"), "kind", "n", "busy")
 
 
-QUERIES = {f.__name__: f for f in (st1_latest_fields, st2_view_sets, st3_needs_after_events, st4_rejects, st5_journey_log, st6_observation_windows, st7_window_counts)}
+def st7_sliding_counts(spark, d):
+    """Counts of closed days that begin every six hours."""
+    return drained(E.live_counts(stream(spark, d), slide="6 hours").drop("users")).select(_text("start"), "kind", "n")
+
+
+def st7_sessions(spark, d):
+    """Closed sessions: events of a user with less than two days between them."""
+    return drained(E.sessions(stream(spark, d), "2 days")).select("user_id", _text("start"), _text("end"), "n")
+
+
+def st7_view_to_journey(spark, d):
+    """Views with the journey events of the same user within three days."""
+    s = stream(spark, d)
+    return drained(E.followed(s.where("kind = 'view'"), stream(spark, d).where("kind = 'journey'"), "3 days")).select("user_id", "first_id", "then_id")
+
+
+QUERIES = {f.__name__: f for f in (st1_latest_fields, st2_view_sets, st3_needs_after_events, st4_rejects, st5_journey_log, st6_observation_windows, st7_window_counts, st7_sliding_counts, st7_sessions, st7_view_to_journey)}
 
 ORACLE = {
     "st1_latest_fields": f"WITH {SQL} SELECT user_id, field, arg_max(value, (ts, event_id)) AS value FROM e WHERE kind = 'profile' GROUP BY 1, 2",
@@ -101,4 +117,7 @@ ORACLE = {
     "st5_journey_log": f"WITH {SQL} SELECT user_id, field AS journey_event, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM e WHERE kind = 'journey'",
     "st6_observation_windows": f"WITH {SQL} SELECT user_id, field AS journey_event, strftime(MAX(ts) + to_days(CASE field WHEN 'E0' THEN 7 WHEN 'E2' THEN 365 ELSE 30 END), '%Y-%m-%d %H:%M:%S') AS until FROM e WHERE kind = 'journey' GROUP BY 1, 2",
     "st7_window_counts": f"WITH {SQL} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, kind, COUNT(*) AS n, COUNT(*) > 120 AS busy FROM e WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM e) GROUP BY 1, 2",
+    "st7_sliding_counts": f"WITH {SQL}, w AS (SELECT kind, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS * unnest(range(4)) AS s FROM e) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, kind, COUNT(*) AS n FROM w WHERE s + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM e) GROUP BY 1, 2",
+    "st7_sessions": f"WITH {SQL}, g AS (SELECT user_id, ts, SUM(CASE WHEN ts <= before + INTERVAL 2 DAYS THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e)) SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(MAX(ts) + INTERVAL 2 DAYS, '%Y-%m-%d %H:%M:%S') AS end, COUNT(*) AS n FROM g GROUP BY user_id, s HAVING MAX(ts) + INTERVAL 2 DAYS <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM e)",
+    "st7_view_to_journey": f"WITH {SQL} SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM e a JOIN e b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 3 DAYS WHERE a.kind = 'view' AND b.kind = 'journey'",
 }

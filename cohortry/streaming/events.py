@@ -48,15 +48,28 @@ def journey_log(events: DataFrame) -> DataFrame:
 
 
 def live_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Events by window and kind; rows later than the watermark are dropped."""
+    """Events by window (sliding if ``slide`` is given) and kind; rows later than the watermark are dropped."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "kind").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select("w.start", "w.end", "kind", "n", "users")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """A user's events, each no later than ``gap`` after the one before, as one row, told when the watermark passes its end (last event and gap)."""
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n")
 
 
+def followed(first: DataFrame, then: DataFrame, within: str = "7 days", late: str = "1 hour") -> DataFrame:
+    """``(user_id, first_id, then_id, first_ts, then_ts)``: events of ``first`` with each of ``then`` of the same user no later than ``within`` after.
+
+    Both are streams of events; rows leave the state when the watermark tells that no partner can come.  Rows later than the
+    watermark are dropped.
+    """
+    a = first.select(F.col("user_id"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts")).withWatermark("first_ts", late)
+    b = then.select(F.col("user_id").alias("_user"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts")).withWatermark("then_ts", late)
+    near = F.col("then_ts").between(F.col("first_ts"), F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col("user_id") == F.col("_user")) & near).drop("_user")
+
+
 def needs_per_batch(users_of: Callable[[DataFrame], DataFrame], infer: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: the batch's users, once each, get their needs derived again and written."""
 

@@ -29,11 +29,12 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(out)
 
 
-def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, progress: list | None = None) -> DataFrame:
     """The result of a stream over what is there now (trigger ``availableNow``).
 
     Append: all rows written.  Complete: the last result.  Update: every version of each row, in batches.  With
-    ``each`` a batch goes through that function, which writes to the folder it is given as attribute.
+    ``each`` a batch goes through that function, which writes to the folder it is given as attribute.  ``progress`` is filled with
+    what Spark tells of the last batches (``late_rows`` reads it).
     """
     spark = stream.sparkSession
     folder = shared_folder(spark)
@@ -55,9 +56,16 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(stream.schema).parquet(out) if each is None else spark.read.parquet(out)
 
 
+def late_rows(progress: list) -> int:
+    """Rows that stateful steps dropped for being later than the watermark (groups of rows, where a step aggregates before its shuffle)."""
+    return sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+
+
 def newest(stream: DataFrame, key: list[str]) -> DataFrame:
     """The last version of each row of a stream in update mode, rows being known by ``key``; without data, no rows.
 
