@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import needs as N
 from ..streaming import events as E
 from ..streaming.run import drained, newest, shared_folder
+from ..streaming.user_state import map_states, user_states
 from . import need_queries
 
 KIND = {"view": "view", "click": "profile", "signup": "journey", "error": "profile", "purchase": "journey"}
@@ -61,6 +62,33 @@ def st3_needs_after_events(spark, d):
     return rows.join(last, ["user_id", "batch"]).select("user_id", "need")
 
 
+_VIEW = "power_type string, body_type string, car_price_band string, car_size_level string"
+
+
+def _known_users(spark, d) -> DataFrame:
+    """The users' profile columns and views as maps of text."""
+    u = need_queries.users(spark, d)
+    names = [c for c in u.columns if c not in ("user_id", "views")]
+    fields = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("string") for n in names]))
+    views = F.map_from_entries(F.transform("views", lambda v, i: F.struct(F.concat(F.lit("seen"), i.cast("string")), F.to_json(v))))
+    return u.select(F.col("user_id").cast("string").alias("user_id"), fields.alias("fields"), views.alias("views"))
+
+
+def users_of_states(states: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """States as users for need rules: columns of the given names and types, and the views that are whole."""
+    views = F.filter(F.transform(F.map_values("views"), lambda v: F.from_json(v, _VIEW, {"mode": "PERMISSIVE"})), lambda v: v.isNotNull() & F.coalesce(*[v[x] for x in ("power_type", "body_type", "car_price_band", "car_size_level")]).isNotNull())
+    return states.select(F.col("user_id").cast("long").alias("user_id"), *[F.col("fields")[n].cast(t).alias(n) for n, t in schema.items()], views.alias("views"))
+
+
+def st3_state_needs(spark, d):
+    """Needs of the users that events touch, from the stream's own state: the users' tables are read once, as its beginning."""
+    rules = N.need_rules(need_queries.WORDS)
+    schema = {n: t for n, t in need_queries.users(spark, d).dtypes if n not in ("user_id", "views")}
+    with map_states(spark):
+        states = newest(user_states(stream(spark, d), _known_users(spark, d), 3650), ["user_id"])
+    return N.need_rows(N.infer_needs(users_of_states(states.where("not ended"), schema), rules), rules)
+
+
 def _lines(spark, d) -> DataFrame:
     s = stream(spark, d)
     n = F.col("event_id").cast("long")
@@ -107,12 +135,13 @@ def st7_view_to_journey(spark, d):
     return drained(E.followed(s.where("kind = 'view'"), stream(spark, d).where("kind = 'journey'"), "3 days")).select("user_id", "first_id", "then_id")
 
 
-QUERIES = {f.__name__: f for f in (st1_latest_fields, st2_view_sets, st3_needs_after_events, st4_rejects, st5_journey_log, st6_observation_windows, st7_window_counts, st7_sliding_counts, st7_sessions, st7_view_to_journey)}
+QUERIES = {f.__name__: f for f in (st1_latest_fields, st2_view_sets, st3_needs_after_events, st3_state_needs, st4_rejects, st5_journey_log, st6_observation_windows, st7_window_counts, st7_sliding_counts, st7_sessions, st7_view_to_journey)}
 
 ORACLE = {
     "st1_latest_fields": f"WITH {SQL} SELECT user_id, field, arg_max(value, (ts, event_id)) AS value FROM e WHERE kind = 'profile' GROUP BY 1, 2",
     "st2_view_sets": f"WITH {SQL} SELECT user_id, field AS car, arg_min(value, (ts, event_id)) AS attributes, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM e WHERE kind = 'view' GROUP BY 1, 2",
     "st3_needs_after_events": need_queries.ORACLE["d16_need_rows"] + " WHERE user_id IN (SELECT user_id FROM events)",
+    "st3_state_needs": need_queries.ORACLE["d16_need_rows"] + " WHERE user_id IN (SELECT user_id FROM events)",
     "st4_rejects": f"WITH {SQL} SELECT CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN '?' ELSE kind END AS kind, CASE CAST(event_id AS BIGINT) % 10 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no user_id' ELSE 'ok' END AS status, COUNT(*) AS n FROM e GROUP BY 1, 2",
     "st5_journey_log": f"WITH {SQL} SELECT user_id, field AS journey_event, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM e WHERE kind = 'journey'",
     "st6_observation_windows": f"WITH {SQL} SELECT user_id, field AS journey_event, strftime(MAX(ts) + to_days(CASE field WHEN 'E0' THEN 7 WHEN 'E2' THEN 365 ELSE 30 END), '%Y-%m-%d %H:%M:%S') AS until FROM e WHERE kind = 'journey' GROUP BY 1, 2",
