@@ -181,11 +181,16 @@ def s15_saved_table(spark, d):
 
 
 def s17_prediction_csv(spark, d):
+    """Predictions written and read back, held against those of the model."""
     f = model_queries._frame(spark, d)
     model = M.train(f, "is_lead", "binary", ["n_actions", "balance"], trees=3, depth=2)
     out = f"{shared_folder(spark)}/predictions"
-    FS.write_csv(M.predict(model, f.select("user_id", "n_actions", "balance"), "binary", ["n_actions", "balance"]), out)
-    return FS.read_csv(spark, out, ["user_id", "n_actions", "balance", "xgb_prediction", "xgb_probability"]).select(F.col("user_id").cast("long").alias("user_id"), F.col("n_actions").try_cast("double").cast("long").alias("n_actions"))
+    told = M.predict(model, f.select("user_id", "n_actions", "balance"), "binary", ["n_actions", "balance"])
+    FS.write_csv(told, out)
+    read = FS.read_csv(spark, out, ["user_id", "n_actions", "balance", "xgb_prediction", "xgb_probability"])
+    read = read.select(F.col("user_id").cast("long").alias("user_id"), F.col("n_actions").try_cast("double").cast("long").alias("n_actions"), F.col("xgb_prediction").try_cast("double").alias("_c"), F.col("xgb_probability").try_cast("double").alias("_p"))
+    same = (F.abs(F.col("_p") - F.col("xgb_probability")) < 1e-9) & (F.col("_c") == F.col("xgb_prediction")) & ((F.col("_c") == 1) == (F.col("_p") > 0.5))
+    return read.join(told.select("user_id", "xgb_prediction", "xgb_probability"), "user_id").select("user_id", "n_actions", same.alias("same_prediction"))
 
 
 def d32_label_encoding(spark, d):
@@ -228,7 +233,7 @@ ORACLE = {
     "s4_nested_behaviours": "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS event_raw, COUNT(*) AS n FROM events GROUP BY 1, 2",
     "s7_users_and_views": f"WITH {need_queries.SQL}, c AS (SELECT user_id, COUNT(DISTINCT (power, body, band, size)) AS n FROM v GROUP BY 1) SELECT u.user_id, COALESCE(n, 0) AS n_views FROM u LEFT JOIN c USING (user_id)",
     "s15_saved_table": _D49,
-    "s17_prediction_csv": f"{_W} SELECT profile.user_id, COUNT(raw.user_id) AS n_actions FROM profile LEFT JOIN (SELECT * FROM raw WHERE event_type <> 'lead_submit') raw USING (user_id) GROUP BY 1",
+    "s17_prediction_csv": f"{_W} SELECT profile.user_id, COUNT(raw.user_id) AS n_actions, TRUE AS same_prediction FROM profile LEFT JOIN (SELECT * FROM raw WHERE event_type <> 'lead_submit') raw USING (user_id) GROUP BY 1",
     "d32_label_encoding": "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS code, CASE WHEN c_custkey % 2 = 0 THEN ROUND(c_acctbal, 2) ELSE 0 END AS bal FROM customer",
     "d20_long_commute": f"WITH {need_queries.SQL} SELECT user_id FROM nd WHERE long_commute",
 }

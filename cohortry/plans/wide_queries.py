@@ -107,10 +107,11 @@ def w2_top_apps_older(spark, d):
     return T.top_apps(a17_app_usage(spark, d), LEADS.recent_from, False, LEADS.older_rows)
 
 
-def w3_latest_installs(spark, d):
+def w3_latest_installs(spark, d, installs=1000, uninstalls=100):
+    """The latest installs and uninstalls of each device."""
     u = usage(spark, d).select("device", "app", "day", F.when(F.col("l_returnflag") == "R", "uninstall").otherwise("install").alias("kind"), "l_linenumber")
-    ins = T.capped(u.where("kind = 'install'"), ["device"], [F.desc("day"), F.col("app"), F.col("l_linenumber")], 4)
-    out = T.capped(u.where("kind = 'uninstall'"), ["device"], [F.desc("day"), F.col("app"), F.col("l_linenumber")], 1)
+    ins = T.capped(u.where("kind = 'install'"), ["device"], [F.desc("day"), F.col("app"), F.col("l_linenumber")], installs)
+    out = T.capped(u.where("kind = 'uninstall'"), ["device"], [F.desc("day"), F.col("app"), F.col("l_linenumber")], uninstalls)
     return ins.unionByName(out).select("device", "app", F.col("day").cast("string").alias("day"), "kind", "row_num")
 
 
@@ -120,8 +121,9 @@ def w4_latest_behaviours(spark, d):
     return T.latest_behaviours({k: T.bind(f, b) for k, f in sources(spark, d).items()}).withColumn("day", F.col("day").cast("string"))
 
 
-def w5_latest_ads(spark, d):
-    return T.latest_ads(ads(spark, d), 3)
+def w5_latest_ads(spark, d, most=100):
+    """The latest ad rows of each account and event type."""
+    return T.latest_ads(ads(spark, d), most)
 
 
 def w6_share_of_total(spark, d):
@@ -277,7 +279,7 @@ rest AS (SELECT DISTINCT account FROM binding WHERE account IS NOT NULL AND acco
 pool AS (SELECT * FROM pos UNION ALL SELECT account, 'negative_click', 0 FROM neg1 UNION ALL SELECT account, 'negative_random', 0 FROM rest1)"""
 
 
-_A17, _APPS, _W5, _POOL = _a17(LEADS), _apps(LEADS), _ads(3), _pool_sql(LEADS)
+_A17, _APPS, _W5, _POOL = _a17(LEADS), _apps(LEADS), _ads(100), _pool_sql(LEADS)
 _ADT = ", ad_text AS (SELECT account, 'day,event,app,n' || chr(10) || string_agg(concat_ws(',', day, event_type, app, n), chr(10) ORDER BY concat_ws(',', day, event_type, app, n) DESC) AS seq FROM w5 GROUP BY 1)"
 _FEATURES = "'segment:' || COALESCE(c_mktsegment, 'unknown') || ';nation:' || CASE c_nationkey WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'unknown' END"
 _FLAGS = "CASE WHEN imp > {} THEN 'too many impressions' WHEN click > {} THEN 'too many clicks' WHEN conv > {} THEN 'too many conversions' ELSE 'normal' END AS abnormal_user_flag"
@@ -306,7 +308,7 @@ ORACLE = {
     "a17_app_usage": _W + _A17 + " SELECT * FROM a17",
     "w1_top_apps_recent": _W + _APPS + " SELECT * FROM w1",
     "w2_top_apps_older": _W + _APPS + " SELECT * FROM w2",
-    "w3_latest_installs": _W + " SELECT device, app, CAST(day AS VARCHAR) AS day, kind, row_num FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY device, kind ORDER BY day DESC, app, l_linenumber) AS row_num FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'uninstall' ELSE 'install' END AS kind FROM usage)) WHERE row_num <= CASE kind WHEN 'install' THEN 4 ELSE 1 END",
+    "w3_latest_installs": _W + " SELECT device, app, CAST(day AS VARCHAR) AS day, kind, row_num FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY device, kind ORDER BY day DESC, app, l_linenumber) AS row_num FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'uninstall' ELSE 'install' END AS kind FROM usage)) WHERE row_num <= CASE kind WHEN 'install' THEN 1000 ELSE 100 END",
     "w4_latest_behaviours": _W + _behaviours() + " SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM w4",
     "w5_latest_ads": _W + _W5 + " SELECT * FROM w5",
     "w6_share_of_total": _W + " SELECT event_type, COUNT(*) AS n, ROUND(COUNT(*) * 100 / SUM(COUNT(*)) OVER (), 2) AS pct FROM ads GROUP BY 1",
