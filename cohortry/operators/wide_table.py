@@ -231,6 +231,31 @@ def training_table(spec: Vertical, pool: DataFrame, binding: DataFrame, facts: D
     return wide(pool, tables)
 
 
+def write_usage(facts: DataFrame, binding: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Facts bound to accounts and summed (``usage_sums``), written once as ``table``, bucketed by account for all verticals.
+
+    Sums are made before rows move to their account's bucket, so an account's bucket holds its distinct devices, days and apps and not
+    its facts.  ``buckets`` grows with the data: a bucket is a task's work.
+    """
+    sums = usage_sums(bind(facts, binding))
+    sums.repartition(buckets, "account").write.mode("overwrite").bucketBy(buckets, "account").sortBy("account").saveAsTable(table)
+    return facts.sparkSession.table(table)
+
+
+def apps_of_accounts(spec: Vertical, pool: DataFrame, usage: DataFrame) -> DataFrame:
+    """``pool`` with ``app_seq``, the texts of ``training_table``, from a table that ``write_usage`` made.
+
+    Rows stay in their bucket from the scan to the join: windows and groups all have the account among their keys, recent and older
+    rows are ranked by one window, and only the pool moves.
+    """
+    mine = usage.where(F.col("day").between(*spec.feature)).join(small(pool.select("account")), "account", "left_semi")
+    recent = F.col("day") >= spec.recent_from
+    rank = F.row_number().over(W.partitionBy("account", "device", "_part").orderBy(F.desc("seconds"), "app", "day"))
+    ranked = mine.withColumn("_part", F.when(recent, F.col("day")).otherwise("")).withColumn("row_num", rank)
+    kept = ranked.where(F.col("row_num") <= F.when(recent, spec.recent_rows).otherwise(spec.older_rows))
+    return wide(pool, {"app_seq": (sequence_text(kept, ["day", "app", "seconds"], "day,app,seconds", out="app_seq"), "")})
+
+
 def distribution(frame: DataFrame, by: str) -> DataFrame:
     """Rows and share in percent of each value."""
     n = frame.groupBy(by).agg(F.count("*").alias("n"))

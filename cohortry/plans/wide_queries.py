@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,6 +202,17 @@ def d39_payment_table(spark, d):
     return _training_table(spark, d, PAYMENT)
 
 
+def j8_bucketed_verticals(spark, d):
+    """App texts of three verticals from usage that is bound, summed and bucketed by account once."""
+    usage_table = T.write_usage(usage(spark, d), binding(spark, d), f"usage_{uuid.uuid4().hex}")
+    out = None
+    for spec in (LEADS, LOAN, PAYMENT):
+        pool = stored(_pool(spark, d, spec))
+        one = T.apps_of_accounts(spec, pool, usage_table).select(F.lit(spec.name).alias("vertical"), "account", "app_seq")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def a24_wide_coverage(spark, d):
     return T.coverage(d39_wide_table(spark, d), ["profile_text", "app_seq", "ad_seq", "travel_seq", "finance_seq", "did_list"])
 
@@ -232,7 +245,7 @@ def u2_action_union(spark, d):
     return a.groupBy("account", branch.alias("branch")).agg(F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (j1_bound_usage, j2_dimension_fallback, j3_case_key_join, j4_conditional_join, f7_blacklist, f8_invalid_ad_events, a17_app_usage, w1_top_apps_recent, w2_top_apps_older, w3_latest_installs, w4_latest_behaviours, w5_latest_ads, w6_share_of_total, a18_abnormal_users, a19_behaviour_text, a20_ad_text, a21_action_path, a22_device_lists, a23_positive_samples, d38_sample_pool, t1_repeatable_sample, j5_semi_join_pool, j6_anti_join_pool, d39_wide_table, d39_loan_table, d39_payment_table, a24_wide_coverage, a25_class_overlaps, a26_conversion_types, p8_polymorphic_columns, p7_profile_text, u2_action_union)}
+QUERIES = {f.__name__: f for f in (j8_bucketed_verticals, j1_bound_usage, j2_dimension_fallback, j3_case_key_join, j4_conditional_join, f7_blacklist, f8_invalid_ad_events, a17_app_usage, w1_top_apps_recent, w2_top_apps_older, w3_latest_installs, w4_latest_behaviours, w5_latest_ads, w6_share_of_total, a18_abnormal_users, a19_behaviour_text, a20_ad_text, a21_action_path, a22_device_lists, a23_positive_samples, d38_sample_pool, t1_repeatable_sample, j5_semi_join_pool, j6_anti_join_pool, d39_wide_table, d39_loan_table, d39_payment_table, a24_wide_coverage, a25_class_overlaps, a26_conversion_types, p8_polymorphic_columns, p7_profile_text, u2_action_union)}
 
 _W = f"WITH {SQL}"
 _FIELDS = {"travel": ("l_suppkey", "l_returnflag"), "finance": ("l_linestatus", "l_suppkey"), "shop": ("l_returnflag", "l_linestatus")}
@@ -332,3 +345,4 @@ ORACLE = {
     "p7_profile_text": f"SELECT c_custkey, {_FEATURES} AS features FROM customer",
     "u2_action_union": _W + " SELECT account, CASE WHEN day < DATE '2000-01-01' THEN 'far ' ELSE 'near ' END || event_type AS branch, CAST(SUM(n) AS BIGINT) AS n FROM ads WHERE event_type <> 'skip' GROUP BY 1, 2",
 }
+ORACLE["j8_bucketed_verticals"] = " UNION ALL ".join(f"SELECT '{spec.name}' AS vertical, account, app_seq FROM ({ORACLE[name]})" for spec, name in ((LEADS, "d39_wide_table"), (LOAN, "d39_loan_table"), (PAYMENT, "d39_payment_table")))
