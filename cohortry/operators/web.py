@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import Store
 from .groups import components, kept_first, stored
 
 
@@ -313,3 +314,16 @@ def score_rows(rows: DataFrame, scorer: Callable[[dict], dict], out: str, attemp
 def relevance_gate(scored: DataFrame, least: float = 6.0) -> DataFrame:
     """Rows whose checked score is ``least`` or more."""
     return scored.where(F.col("score") >= least)
+
+
+def insights(selected: DataFrame, store: Store, batch: str, scorer: Callable[[dict], dict], out: str, categories: list[str] | None = None, category: str = "category", model: str = "") -> DataFrame:
+    """The insights that ``store`` holds after those of ``selected`` are added: a scorer's columns ``out`` for each article, by the store's key.
+
+    Only articles of ``categories`` (all, if none are given) and without an insight yet are scored, so that a run that comes again
+    asks for what failed or is new; each run has its own ``batch``.  Rows whose scoring failed aren't stored.
+    """
+    rows = selected.where(F.col(category).isin(categories)) if categories else selected
+    todo = rows.join(store.read().select(*store.key), store.key, "left_anti").dropDuplicates(store.key)
+    told = stored(score_rows(todo, scorer, out, model=model), "insights")
+    store.insert(batch, told.where("prediction_status = 'success'"))
+    return store.read()

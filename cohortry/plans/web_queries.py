@@ -318,6 +318,24 @@ def d46_article_stages(spark, d):
     return B.quota_top(kept, spark.createDataFrame([("en", 30)], "category string, quota int"), 50).select("id", "category", "quality", "score")
 
 
+def d46_insights(spark, d):
+    """Stage tables of selected articles and of insights by a plain stand-in for a model; the insight stage runs twice."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    chosen = d46_article_stages(spark, d).join(texts, "id")
+    selected = _store(spark, chosen, ["id"])
+    selected.upsert("first", chosen)
+
+    def scorer(row):
+        n = len(row["text"])
+        if n % 7 == 0:
+            raise ValueError("no answer")
+        return {"thoughts": f"{row['category']} {n}"}
+
+    found = Store(spark, shared_folder(spark), "id long, category string, thoughts string, llm_model string", ["id"])
+    B.insights(selected.read(), found, "first", scorer, "thoughts string", ["en", "de"], model="stub")
+    return B.insights(selected.read(), found, "second", scorer, "thoughts string", ["en", "de"], model="stub")
+
+
 def d48_relevance_gate(spark, d):
     s = _answers(spark, d).select("doc_id", X.checked_score(F.col("answer")).alias("score"))
     return B.relevance_gate(s, 6.0)
@@ -406,7 +424,7 @@ def d43_scenario_tags(spark, d):
     return M.scenario_tags(t, spark.createDataFrame(_SCENARIOS, "scenario string, names array<string>"), key=["conv_id", "turn"])
 
 
-QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, x4_listing_links, w11_first_links, s10_upsert, s10_store_upsert, s11_store_insert, s12_store_changed, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f10_many_keywords, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d41_suggestions, d42_value_search, t6_vector_search, d43_scenario_tags)}
+QUERIES = {f.__name__: f for f in (p1_tag_columns, p2_tag_map, p3_behaviour_keys, p4_event_times, p5_conversion_inferred, p9_payloads, p13_canonical_urls, p14_url_ids, p15_domains, p16_content_hash, p17_language, p18_publish_dates, p19_html_dates, p20_html_fields, p22_feed_summaries, p23_short_summaries, p24_normal_titles, p25_prompts, p26_scorer_checks, p27_quality_totals, d44_article_links, x4_listing_links, w11_first_links, s10_upsert, s10_store_upsert, s11_store_insert, s12_store_changed, s11_insert_or_ignore, s12_changed_only, s13_resume, f12_validity, f10_keyword_hits, f10_many_keywords, f9_date_window, a31_stage_counters, w12_quota_top, d47_best_of_group, t8_scored_or_filled, d50_longer_content, d45_same_titles, d46_article_stages, d46_insights, d48_relevance_gate, d37_batch_labelling, d40_event_time_metrics, d40_request_time_metrics, a29_ratio_metrics, t5_truncated, d41_resolve_names, d41_suggestions, d42_value_search, t6_vector_search, d43_scenario_tags)}
 
 _FOLD = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _U = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', {})"
@@ -530,3 +548,4 @@ ORACLE = {
     "t6_vector_search": "WITH c AS (SELECT 'v' || vec_id AS value, 'l' || label AS l, embedding AS v FROM embeddings), s AS (SELECT vec_id AS query_id, value, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) * 0.7::DOUBLE + CASE WHEN contains(l, 'l' || label) OR contains('l' || label, l) THEN 0.3::DOUBLE ELSE 0 END, 4) AS similarity FROM embeddings, c WHERE vec_id % 100 = 0), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, value) AS rank FROM s) SELECT query_id, value, similarity, rank, rank = 1 AND similarity >= 0.5 AS fixed FROM r WHERE rank <= 3",
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}
+ORACLE["d46_insights"] = f"SELECT s.id, s.category, s.category || ' ' || length(text) AS thoughts, 'stub' AS llm_model FROM ({ORACLE['d46_article_stages']}) s JOIN documents ON doc_id = s.id WHERE s.category IN ('en', 'de') AND length(text) % 7 > 0"
