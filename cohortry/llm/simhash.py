@@ -45,6 +45,44 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
 
 
+def section_words(hashes, sections: int):
+    """``(places, words)`` of a long fingerprint, places of its occupied sections ascending: a set's hashes (uint64) are dealt to sections
+    by value, and a section's 64-bit word is the SimHash of those in it.  Without ``sections`` every hash has a section of its own.
+
+    Sets that differ in d hashes have the same words in all but d sections at most, as a hash touches one section.
+    """
+    import numpy as np
+
+    if not sections:
+        own = np.sort(hashes)
+        return own, own
+    place = (hashes * np.uint64(0xA24BAED4963EE407) >> np.uint64(32)) % np.uint64(sections)
+    order = np.argsort(place, kind="stable")
+    place, own = place[order], hashes[order]
+    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    counts = np.diff(starts, append=len(own))
+    words = own[starts]
+    two = starts[counts == 2]
+    words[counts == 2] &= own[two + 1]  # more than half of two bits: both
+    # A byte's eight bits stand in the eight bytes of a lane, so that one addition counts them all.
+    lanes = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    few = np.flatnonzero((counts > 2) & (counts <= 255))
+    for at in range(0, len(few), BLOCK // 255):
+        some = few[at : at + BLOCK // 255]
+        n = counts[some]
+        ends = np.cumsum(n)
+        members = own[np.arange(ends[-1]) + np.repeat(starts[some] - ends + n, n)]
+        sums = np.add.reduceat(lanes[members.view(np.uint8).reshape(-1, 8)], ends - n, axis=0).view(np.uint8)
+        words[some] = np.packbits(sums > (n // 2)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for k in np.flatnonzero(counts > 255):
+        total = np.zeros(BITS, np.int64)
+        for i in range(int(starts[k]), int(starts[k] + counts[k]), BLOCK):
+            part = own[i : min(i + BLOCK, int(starts[k] + counts[k]))]
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words[k] = np.packbits(2 * total > counts[k], bitorder="little").view(np.uint64)[0]
+    return place[starts], words
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` for every row, fp the fingerprint's bits as a signed long.  No shuffle."""
 
