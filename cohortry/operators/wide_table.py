@@ -167,12 +167,15 @@ def top_apps(sums: DataFrame, recent_from: str, recent: bool, most: int) -> Data
 
 
 def latest_behaviours(sources: dict[str, DataFrame], most: int = 200) -> DataFrame:
-    """The latest rows of every source and device; sources share their columns and are ranked in one shuffle."""
+    """The latest rows of every source and device; sources share their columns and are ranked in one shuffle.
+
+    Rows of a day, app and line go by their fields, so that reruns agree.
+    """
     rows = None
     for name, frame in sources.items():
         one = frame.withColumn("source", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
-    return capped(rows, ["source", "account", "device"], [F.desc("day"), F.col("app"), F.col("line")], most)
+    return capped(rows, ["source", "account", "device"], [F.desc("day"), F.col("app"), F.col("line"), F.col("field1"), F.col("field2")], most)
 
 
 def latest_ads(ads: DataFrame, most: int = 100) -> DataFrame:
