@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import needs as N
 from ..streaming import events as E
 from ..streaming.run import drained, newest, shared_folder
-from ..streaming.user_state import map_states, user_states
+from ..streaming.user_state import BUCKET_USERS, BUCKETS, map_states, user_states
 from . import need_queries
+from .driver_tables import table
 
 KIND = {"view": "view", "click": "profile", "signup": "journey", "error": "profile", "purchase": "journey"}
 
@@ -85,7 +86,8 @@ def st3_state_needs(spark, d):
     rules = N.need_rules(need_queries.WORDS)
     schema = {n: t for n, t in need_queries.users(spark, d).dtypes if n not in ("user_id", "views")}
     with map_states(spark):
-        states = newest(user_states(stream(spark, d), _known_users(spark, d), 3650), ["user_id"])
+        buckets = max(BUCKETS, table(spark, d, "customer").count() // BUCKET_USERS)
+        states = newest(user_states(stream(spark, d), _known_users(spark, d), 3650, buckets=buckets), ["user_id"])
     return N.need_rows(N.infer_needs(users_of_states(states.where("not ended"), schema), rules), rules)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -25,70 +27,129 @@ def map_states(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
+#: The two parts of a user's state, each with what makes an event's entry take the place of another: the last write of a field, the first sight of a view.
+PARTS = {"fields": lambda new, old: new[1:] > old[1:], "views": lambda new, old: new[1:] < old[1:]}
+
+
 class _Users(StatefulProcessor):
-    """A user's latest fields and first-seen views, an entry of a map each: a batch touches the entries it changes."""
+    """Users' latest fields and first-seen views, an entry of the bucket's map for each user that events touched.
+
+    Each step of a state is a message to another process, so a bucket's users at the beginning are one value, from which a user goes to the map with
+    the first event, and a batch's events are brought together before the states of their users are read and written, once each.
+    """
 
     def __init__(self, keep_us: int):
         self.keep_us = keep_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.fields = handle.getMapState("fields", "name string", "value string, us long, id string")
-        self.views = handle.getMapState("views", "car string", "value string, us long, id string")
-        self.last = handle.getValueState("last", "us long")
+        self.begun = handle.getValueState("begun", "users binary")
+        self.users = handle.getMapState("users", "user_id string", "state string")
+        self.timer = handle.getValueState("timer", "ms long")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for row in initialState.itertuples():
-            for state, given in ((self.fields, row.fields), (self.views, row.views)):
-                for name, value in dict(given or {}).items():
-                    if value is not None:
-                        state.updateValue((name,), (value, 0, ""))
+        begun: dict = {}
+        for text in initialState["users"]:
+            for row in json.loads(text):
+                user = begun.setdefault(row["user_id"], {part: {} for part in PARTS})
+                for part in PARTS:
+                    user[part] |= {name: value for name, value in (row.get(part) or {}).items() if value is not None}
+        self._begin(begun)
+
+    def _begin(self, users: dict) -> None:
+        self.begun.update((zlib.compress(json.dumps(users).encode(), 1),))
+
+    def _begun(self) -> dict:
+        return json.loads(zlib.decompress(self.begun.get()[0])) if self.begun.exists() else {}
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self.last.get()[0] if self.last.exists() else None
-        latest = before
+        changed: dict = {}
         for batch in rows:
-            for e in batch.itertuples():
-                latest = e.us if latest is None else max(latest, e.us)
-                if e.kind == "profile":
-                    old = self.fields.getValue((e.field,)) if self.fields.containsKey((e.field,)) else None
-                    if old is None or (e.us, e.event_id) > (old[1], old[2]):
-                        self.fields.updateValue((e.field,), (e.value, int(e.us), e.event_id))
-                elif e.kind == "view":
-                    old = self.views.getValue((e.field,)) if self.views.containsKey((e.field,)) else None
-                    if old is None or (e.us, e.event_id) < (old[1], old[2]):
-                        self.views.updateValue((e.field,), (e.value, int(e.us), e.event_id))
-        latest = int(latest)
-        if latest != before:
+            for user, event, kind, name, value, us in zip(*(batch[c].tolist() for c in ("user_id", "event_id", "kind", "field", "value", "us"))):
+                new = changed.get(user)
+                if new is None:
+                    new = changed[user] = {"us": us, **{part: {} for part in PARTS}}
+                new["us"] = max(new["us"], us)
+                if part := {"profile": "fields", "view": "views"}.get(kind):
+                    self._put(new[part], part, name, [value, us, event])
+        begun, told = None, []
+        for user, new in changed.items():
+            if self.users.containsKey((user,)):
+                state = json.loads(self.users.getValue((user,))[0])
+            else:
+                begun = self._begun() if begun is None else begun
+                first = begun.get(user) or {part: {} for part in PARTS}
+                state = {"us": new["us"], **{part: {name: [value, 0, ""] for name, value in first[part].items()} for part in PARTS}}
+            state["us"] = max(state["us"], new["us"])
+            for part in PARTS:
+                for name, entry in new[part].items():
+                    self._put(state[part], part, name, entry)
+            self.users.updateValue((user,), (json.dumps(state),))
+            told.append((user, state, False))
+        self._wake(min(self._end(state) for _, state, _ in told))
+        yield self._told(told)
+
+    @staticmethod
+    def _put(entries: dict, part: str, name: str, new: list) -> None:
+        old = entries.get(name)
+        if old is None or PARTS[part](new, old):
+            entries[name] = new
+
+    def _end(self, state: dict) -> int:
+        return (state["us"] + self.keep_us) // 1000
+
+    def _wake(self, ms: int) -> None:
+        """Sets the bucket's one timer, unless it comes earlier anyway."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before is None or ms < before:
             if before is not None:
-                self.handle.deleteTimer((before + self.keep_us) // 1000)
-            self.last.update((latest,))
-            self.handle.registerTimer((latest + self.keep_us) // 1000)
-        yield self._told(key, latest, False)
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        latest = self.last.get()[0]
-        for state in (self.fields, self.views, self.last):
-            state.clear()
-        yield self._told(key, latest, True)
-
-    def _told(self, key, us: int, ended: bool) -> pd.DataFrame:
-        maps = [{} if ended else {k[0]: v[0] for k, v in state.iterator()} for state in (self.fields, self.views)]
-        return pd.DataFrame({"user_id": [key[0]], "fields": [maps[0]], "views": [maps[1]], "us": [us], "ended": [ended]})
+        now, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        ends = {k[0]: (self._end(state), state) for k, v in self.users.iterator() for state in (json.loads(v[0]),)}
+        ended = {user: state for user, (ms, state) in ends.items() if ms < now or ms == fired}
+        self.timer.clear()
+        if ended:
+            for user in ended:
+                self.users.removeKey((user,))
+            begun = self._begun()
+            if any(user in begun for user in ended):  # they don't begin again
+                self._begin({user: state for user, state in begun.items() if user not in ended})
+        if left := [ms for user, (ms, _) in ends.items() if user not in ended]:
+            self._wake(min(left))
+        if ended:
+            yield self._told([(user, state, True) for user, state in ended.items()])
+
+    @staticmethod
+    def _told(rows: list) -> pd.DataFrame:
+        parts = {part: [{} if ended else {name: entry[0] for name, entry in state[part].items()} for _, state, ended in rows] for part in PARTS}
+        return pd.DataFrame({"user_id": [user for user, _, _ in rows], **parts, "us": [state["us"] for _, state, _ in rows], "ended": [ended for _, _, ended in rows]})
 
     def close(self) -> None:
         pass
 
 
-def user_states(events: DataFrame, initial: DataFrame | None = None, keep_days: int = 365, late: str = "1 day") -> DataFrame:
+#: Buckets of users, unless told otherwise; some hundred users in each keep states small and messages few.
+BUCKETS, BUCKET_USERS = 256, 256
+
+
+def user_states(events: DataFrame, initial: DataFrame | None = None, keep_days: int = 365, late: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """``(user_id, fields, views, us, ended)``: of each user that a batch touches, once a batch, all fields (last written) and views (first seen).
 
     ``events(event_id, user_id, kind, field, value, ts)`` is a stream; ``initial(user_id, fields, views)``, maps of text, is read with
     the first batch only, and gives way to any event.  ``keep_days`` after a user's last event, by event time, the state ends
     and a row with ``ended`` and no fields tells so.  Rows later than the watermark are dropped; rows without user or time are left out.
+    Users are kept in ``buckets`` by a hash of their id, a number that a stream keeps as long as its checkpoint.
     Start the stream inside ``map_states``, in update mode.
     """
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket")
     e = events.where("user_id IS NOT NULL AND ts IS NOT NULL AND field IS NOT NULL").withWatermark("ts", late)
-    e = e.select("user_id", F.coalesce("event_id", F.lit("")).alias("event_id"), "kind", "field", "value", F.unix_micros("ts").alias("us"), "ts")
-    start = None if initial is None else initial.select("user_id", "fields", "views").groupBy("user_id")
-    return e.groupBy("user_id").transformWithStateInPandas(_Users(keep_days * 86_400_000_000), STATE, "Update", "EventTime", initialState=start)
+    e = e.select(bucket, "user_id", F.coalesce("event_id", F.lit("")).alias("event_id"), "kind", "field", "value", F.unix_micros("ts").alias("us"), "ts")
+    start = None
+    if initial is not None:
+        rows = initial.where("user_id IS NOT NULL").select(bucket, F.struct("user_id", "fields", "views").alias("user"))
+        start = rows.groupBy("bucket").agg(F.to_json(F.collect_list("user")).alias("users")).groupBy("bucket")
+    return e.groupBy("bucket").transformWithStateInPandas(_Users(keep_days * 86_400_000_000), STATE, "Update", "EventTime", initialState=start)

@@ -60,3 +60,23 @@ def test_state_ends_and_late_rows_are_dropped(versions):
     assert ({}, True) in u and ({"city": "Z"}, False) in u and len(u) == 3
     assert not any("late" in r["fields"].values() for r in rows)
     assert R.late_rows(told) == 1
+
+
+def test_many_known_users_are_few_rows_of_state(spark, versions):
+    known = [(f"u{i}", {"age": "old", "city": f"c{i}"}, {"car0": "given"}) for i in range(2000)]
+    rows, told = versions(
+        [
+            [("1", "u1", "profile", "age", "young", "01-01T10:00:00"), ("2", "u2", "view", "car0", "a", "01-01T10:00:00"), ("3", "u2", "view", "car1", "b", "01-01T10:00:00")],
+            [("4", "v", "profile", "age", "old", "06-01T10:00:00")],
+            [("5", "v", "profile", "age", "older", "06-02T10:00:00")],
+            [("6", "u1", "profile", "job", "Z", "06-03T10:00:00"), ("7", "u3", "profile", "job", "Z", "06-03T10:00:00")],
+        ],
+        spark.createDataFrame(known, "user_id string, fields map<string,string>, views map<string,string>"),
+    )
+    by = {u: [(r["fields"], r["views"], r["ended"]) for r in rows if r["user_id"] == u] for u in ("u1", "u2", "u3")}
+    given = {"car0": "given"}
+    assert sorted(by["u1"], key=str) == sorted([({"age": "young", "city": "c1"}, given, False), ({}, {}, True), ({"job": "Z"}, {}, False)], key=str)
+    assert sorted(by["u2"], key=str) == sorted([({"age": "old", "city": "c2"}, {"car0": "given", "car1": "b"}, False), ({}, {}, True)], key=str)
+    assert by["u3"] == [({"age": "old", "city": "c3", "job": "Z"}, given, False)]
+    assert {r["user_id"] for r in rows} == {"u1", "u2", "u3", "v"}
+    assert max(o["numRowsTotal"] for p in told for o in p["stateOperators"]) < 1000
